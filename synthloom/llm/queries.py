@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from synthloom.llm import mixing, packing, sharding
+from synthloom.llm import mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_sharding": sharding.op2_sharding,
+    "op7_quality": quality.op7_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
+    "op7_quality": quality.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
