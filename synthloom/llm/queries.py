@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from synthloom.llm import mixing, packing, quality, sharding
+from synthloom.llm import mixing, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_sharding": sharding.op2_sharding,
+    "op4_pii": pii.op4_pii,
     "op7_quality": quality.op7_quality,
     "op10_mixing": mixing.op10_mixing,
 }
