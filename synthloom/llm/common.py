@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +74,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def measured(df: DataFrame, *arrays: str, row_bytes: int = 48, item_bytes: int = 8) -> DataFrame:
+    """small() with the rows and the items of the array columns counted."""
+    items = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in arrays]
+    rows, *sizes = df.agg(F.count(F.lit(1)), *items).first()
+    return F.broadcast(df) if rows * row_bytes + sum(sizes) * item_bytes <= BROADCAST_BYTES else df
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if it is measured to be small, else unchanged (a shuffle join then)."""
     rows = df.count() if rows is None else rows
@@ -86,6 +96,17 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in runs of rows whose values in a text or binary column come to about `size` bytes, with these values, null as empty."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = np.cumsum(sizes, dtype=np.int64) // size
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+    empty = b"" if pa.types.is_binary(batch.schema.field(column).type) or pa.types.is_large_binary(batch.schema.field(column).type) else ""
+    for a, b in zip(edges, edges[1:], strict=False):
+        run = batch.slice(a, b - a)
+        yield run, [x or empty for x in run.column(column).to_pylist()]
+
+
 def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -10,12 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthloom.llm.common import table
+from synthloom.llm.common import slices, table
 
 ROOM = 4096
 END = 1
@@ -24,8 +23,6 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 GROUP_ROWS = 16384
 #: Distinct words whose ids a worker keeps between slices; all are forgotten when there are more.
 KNOWN_WORDS = 600_000
-#: Characters of text that are split into words at a time.
-SLICE_CHARS = 1 << 21
 
 # str.split() also splits at these four, which the tokenizer does not take for white space
 _ODD = re.compile("[\x1c-\x1f]")
@@ -102,16 +99,6 @@ def coder(path: str) -> WordIds:
     return _coders[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """A batch in runs of rows whose texts come to about `chars` characters; null texts are empty."""
-    sizes = pc.utf8_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    at = np.cumsum(sizes) // chars
-    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-    for a, b in zip(edges, edges[1:], strict=False):
-        run = batch.slice(a, b - a)
-        yield run, [x or "" for x in run.column(column).to_pylist()]
-
-
 def token_pieces(docs: DataFrame, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """docs as pieces of at most `room` tokens: id_col, piece, start, length, ids_crc32. Only longer documents are cut.
 
