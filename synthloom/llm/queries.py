@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from synthloom.llm import mixing, packing, pii, quality, sharding, substrings
+from synthloom.llm import jaccard, mixing, packing, pii, quality, sharding, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_sharding": sharding.op2_sharding,
     "op4_pii": pii.op4_pii,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op7_quality": quality.op7_quality,
     "op9_substrings": substrings.op9_substrings,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
+    "op5_jaccard": jaccard.OP5_SQL,
     "op7_quality": quality.OP7_SQL,
     "op9_substrings": substrings.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
