@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from synthloom.llm import jaccard, mixing, packing, pii, quality, sharding, substrings
+from synthloom.llm import extraction, jaccard, media, mixing, packing, pii, quality, sharding, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_extraction": extraction.op3_extraction,
     "op4_pii": pii.op4_pii,
     "op5_jaccard": jaccard.op5_jaccard,
     "op7_quality": quality.op7_quality,
+    "op8_media": media.op8_media,
     "op9_substrings": substrings.op9_substrings,
     "op10_mixing": mixing.op10_mixing,
 }
