@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from synthloom.llm import extraction, jaccard, media, mixing, packing, pii, quality, sharding, substrings
+from synthloom.llm import extraction, jaccard, language, media, mixing, packing, pii, quality, sharding, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_extraction": extraction.op3_extraction,
     "op4_pii": pii.op4_pii,
     "op5_jaccard": jaccard.op5_jaccard,
+    "op6_language": language.op6_language,
     "op7_quality": quality.op7_quality,
     "op8_media": media.op8_media,
     "op9_substrings": substrings.op9_substrings,
