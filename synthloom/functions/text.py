@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,12 +34,19 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), SEPARATORS), lambda x: x != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once and only if the result is asked for: inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(c: Column, k: int) -> Column:
     """k-token shingles: all tokens joined if they are fewer, none for a blank text, one empty one for separators only."""
-    t = tokens(c)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
-    none = F.array().cast("array<string>")
-    return F.when(trim_ws(F.coalesce(c, F.lit(""))) == "", none).when(F.size(t) < k, F.array(F.array_join(t, " "))).otherwise(many)
+
+    def of(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
+        return F.when(F.size(t) < k, F.array(F.array_join(t, " "))).otherwise(many)
+
+    return F.when(trim_ws(F.coalesce(c, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(let(tokens(c), of))
 
 
 def truncate_lines(c: Column, n: int, marker: str = MARKER) -> Column:

@@ -304,9 +304,8 @@ def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "minhash_dedup",
-    f"""WITH RECURSIVE {SIGNED}, pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM sig a JOIN sig b ON a.doc_id < b.doc_id
-  WHERE list_sum(list_transform(range(1, 129), lambda i: (a.sig[i] = b.sig[i])::INT)) >= 109
+    f"""WITH RECURSIVE {SIGNED}, slots AS (SELECT doc_id, unnest(range(128)) AS k, unnest(sig) AS v FROM sig), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM slots a JOIN slots b ON a.k = b.k AND a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 109
 ), earlier AS (SELECT b AS n, list(a) AS a FROM pairs GROUP BY b), o AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, coalesce(a, []) AS a FROM documents LEFT JOIN earlier ON n = doc_id
 ), walk AS (
@@ -338,10 +337,10 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 
 ID = "substr(sha256(fqn || chr(10) || 'explanation' || chr(10) || 'explanation@1'), 1, 16)"
 SYNC = f"""{S}, cur AS (SELECT {ID} AS id, sha256(body) AS sha, doc_id FROM s), man AS (
-  SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha END AS sha, doc_id AS at FROM cur WHERE doc_id % 5 <> 0
+  SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha END AS sha, doc_id AS pos FROM cur WHERE doc_id % 5 <> 0
   UNION ALL SELECT 'gone' || s_suppkey, 'gone', s_suppkey + 100000000 FROM supplier
 ), diff AS (
-  SELECT coalesce(man.id, cur.id) AS id, man.sha AS old_sha, cur.sha AS new_sha, man.at,
+  SELECT coalesce(man.id, cur.id) AS id, man.sha AS old_sha, cur.sha AS new_sha, man.pos,
          CASE WHEN man.id IS NULL THEN 'new' WHEN cur.id IS NULL THEN 'orphan' WHEN man.sha = cur.sha THEN 'unchanged' ELSE 'stale' END AS status
   FROM man FULL JOIN cur ON man.id = cur.id
 )"""
@@ -393,11 +392,11 @@ for _policy in sync.ORPHANS:
     query(
         f"sync_apply_{_policy}",
         f"""WITH {SYNC}, kept AS (
-  SELECT id, at, CASE WHEN status = 'stale' AND id NOT LIKE 'f%' THEN new_sha ELSE old_sha END AS body_sha, CASE WHEN status = 'stale' AND id NOT LIKE 'f%' THEN 'new ' ELSE 'old ' END || id AS response
+  SELECT id, pos, CASE WHEN status = 'stale' AND id NOT LIKE 'f%' THEN new_sha ELSE old_sha END AS body_sha, CASE WHEN status = 'stale' AND id NOT LIKE 'f%' THEN 'new ' ELSE 'old ' END || id AS response
   FROM diff WHERE status IN ('stale', 'unchanged'{", 'orphan'" if _policy == "keep" else ""})
   UNION ALL SELECT id, NULL, new_sha, 'new ' || id FROM diff WHERE status = 'new' AND id NOT LIKE 'f%'
 )
-SELECT id, body_sha, response, (row_number() OVER (ORDER BY at NULLS LAST, id) - 1)::INT AS row_offset FROM kept""",
+SELECT id, body_sha, response, (row_number() OVER (ORDER BY pos NULLS LAST, id) - 1)::INT AS row_offset FROM kept""",
     )(_sync(_policy))
 query("sync_archived", f"WITH {SYNC} SELECT id, 'old ' || id AS response FROM diff WHERE status = 'orphan'")(_sync("archive", True))
 
@@ -513,7 +512,7 @@ def mixed_fanout(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "token_cost_estimate",
-    """SELECT lang, count(*)::BIGINT AS n_rows, round(avg(n), 6) AS mean_tokens, round(quantile_cont(n, 0.1), 6) AS p10_tokens, round(quantile_cont(n, 0.9), 6) AS p90_tokens, sum(n)::BIGINT AS total_tokens, round(sum(n) * 0.0000025, 6) AS price
+    """SELECT lang, count(*)::BIGINT AS n_rows, round(avg(n), 6) AS mean_tokens, round(quantile_cont(n, 0.1), 6) AS p10_tokens, round(quantile_cont(n, 0.9), 6) AS p90_tokens, sum(n)::BIGINT AS total_tokens, round(sum(n) * (0.0025 / 1000)::DOUBLE, 6) AS price
 FROM (SELECT lang, ceil(length(text) / 4)::BIGINT AS n FROM documents) GROUP BY lang""",
 )
 def token_cost_estimate(spark: SparkSession, d: str) -> DataFrame:
