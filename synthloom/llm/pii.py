@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from synthloom.functions.text import let
 from synthloom.llm.common import fresh, small, table, text_of, written
-from synthloom.llm.quality import let
 
 # The patterns are written possessively and anchored to where a run begins: they find the same leftmost matches as their
 # plain forms, in time linear in the text and without recursion.
@@ -112,20 +112,27 @@ def disclosing(docs: DataFrame, near: DataFrame, text_col: str = "text", general
     All probabilities are shares of the different texts. A term gives the pointwise mutual information
     log2(p(term, entity) / (p(term) p(entity))) of the -log2 p(entity) that the entity holds.
     """
-    joint = near.groupBy("entity", "term").agg(F.count_distinct("text_key").alias("both")).filter(F.col("both") >= support)
-    joint = written(joint, "pii-joint")
-    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = written(joint.select("term").distinct(), "pii-terms")
     text = text_of(docs[text_col])
     keyed = docs.select(text.alias("text"))
     n_texts = keyed.select(F.xxhash64("text").alias("k")).distinct().count()
+    n = F.lit(float(max(2, n_texts)))
+    information = F.log2(n / F.col("n_entity"))
+
+    def share(n_term: Column) -> Column:
+        mutual = F.log2(F.col("both") * n / (n_term * F.col("n_entity")))
+        return F.when(information > 0, mutual / information).otherwise(0.0)
+
+    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # a term is in as many texts at least as it is in near entities: most pairs can't reach the threshold whatever the count
+    around = near.select("term", "text_key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    joint = near.groupBy("entity", "term").agg(F.count_distinct("text_key").alias("both")).filter(F.col("both") >= support)
+    joint = joint.join(entities, "entity").join(around, "term").filter(share(F.col("n_near")) >= generalise_at)
+    joint = written(joint.select("entity", "term", "both", "n_entity"), "pii-joint")
+    terms = written(joint.select("term").distinct(), "pii-terms")
     held = keyed.select(F.xxhash64("text").alias("text_key"), F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
     held = held.select("text_key", F.btrim(F.lower("word"), F.lit(_EDGES)).alias("term")).join(small(terms, 64), "term", "left_semi").distinct()
     frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = F.lit(float(max(2, n_texts)))
-    information = F.log2(n / F.col("n_entity"))
-    mutual = F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity")))
-    scored = joint.join(entities, "entity").join(frequency, "term").select("entity", "term", F.when(information > 0, mutual / information).otherwise(0.0).alias("disclosed"))
+    scored = joint.join(frequency, "term").select("entity", "term", share(F.col("n_term")).alias("disclosed"))
     return scored.filter(F.col("disclosed") >= generalise_at)
 
 
