@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,63 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from synthloom.tables import BROADCAST_BYTES, discard, small, written
+
+__all__ = ["discard", "small", "written"]
+
 #: A word is a maximal run of anything but these six characters.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: A table is broadcast only if its measured rows times the stated bytes a row stay below this.
-BROADCAST_BYTES = 32 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir; a temporary one where that is unset on a local master."""
-    kept = getattr(spark.sparkContext, "_synthloom_scratch", None)
-    if kept:
-        return kept
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="synthloom-")
-    path = f"{base.rstrip('/')}/synthloom-{uuid.uuid4().hex}"
-    spark.sparkContext._synthloom_scratch = path
-    atexit.register(dropped, spark, path)
-    return path
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table; a stopped session is left alone."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the gateway may be gone at exit
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing that came before."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._synthloom_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind written() once nothing lazy reads them any more."""
-    path = getattr(df, "_synthloom_path", None)
-    if path:
-        dropped(df.sparkSession, path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,12 +35,6 @@ def measured(df: DataFrame, *arrays: str, row_bytes: int = 48, item_bytes: int =
     return F.broadcast(df) if rows * row_bytes + sum(sizes) * item_bytes <= BROADCAST_BYTES else df
 
 
-def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """df marked for broadcast if it is measured to be small, else unchanged (a shuffle join then)."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
