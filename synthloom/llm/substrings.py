@@ -68,7 +68,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     named = written(sources.mapInArrow(symbols, "_name long, _key long, _ordinal int"), "symbols")
     shared = written(named.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_name"), "shared-symbols")
-    marks = written(named.join(measured(shared), "_name").groupBy("_key").agg(F.collect_list("_ordinal").alias("_shared")), "marks")
+    marks = written(named.join(shared, "_name").groupBy("_key").agg(F.collect_list("_ordinal").alias("_shared")), "marks")
     discard(named)
     discard(shared)
 
@@ -92,10 +92,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 digest = window_hashes(hashes, window)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), run.column("_key").take(pa.array(where[at])), pa.array(place[at].astype(np.int32))], names=["_window", "_key", "_place"])
 
-    candidates = sources.join(measured(marks, "_shared"), "_key", "left")
+    candidates = sources.join(marks, "_key", "left")
     hashed = written(candidates.mapInArrow(windows, "_window long, _key long, _place int"), "windows")
     twice = written(hashed.groupBy("_window").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_window"), "repeated-windows")
-    places = hashed.join(measured(twice), "_window").groupBy("_key").agg(F.sort_array(F.collect_set("_place")).alias("_places"))
+    places = hashed.join(twice, "_window").groupBy("_key").agg(F.sort_array(F.collect_set("_place")).alias("_places"))
     spans = places.select("_key", F.lit(False).alias("_whole"), *_merged(F.col("_places"), window))
     copied = copies.select("_key", F.lit(True).alias("_whole"), F.array().cast("array<int>").alias("_starts"), F.array().cast("array<int>").alias("_ends"))
     out = written(spans.join(measured(copies.select("_key")), "_key", "left_anti").unionByName(copied), "spans")
