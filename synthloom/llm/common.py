@@ -16,7 +16,6 @@ __all__ = ["discard", "small", "written"]
 
 #: A word is a maximal run of anything but these six characters.
 SPACES = " \t\n\x0b\x0c\r"
-WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthloom.llm.common import discard, measured, slices, table, text_of, written
+from synthloom.llm.common import discard, fresh, measured, slices, table, text_of, written
 from synthloom.llm.components import components
 from synthloom.llm.recompression import mixed, window_hashes
 
@@ -312,15 +312,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of near_duplicates(): the one of least id. Texts without a word all stay."""
     found = near_duplicates(docs, threshold, shingle, id_col, text_col)
-    out_of = found.filter(F.col("n_links") > 0).select(F.col(id_col).alias("_id"), F.col("_key").alias("_k"), (F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("_key") == F.col("class_key"))).alias("_stays"))
-    judged = written(out_of.groupBy("_id", "_k", "_stays").agg(F.count(F.lit(1)).alias("_rows")), "judged")
-    same = (F.xxhash64(text_of(docs[text_col])) == F.col("_k")) & docs[id_col].eqNullSafe(F.col("_id"))
-    kept = docs.join(measured(judged.filter(~F.col("_stays"))), same, "left_anti")
-    if judged.filter("_stays and _rows > 1").isEmpty():
+    i, k = fresh(docs, "id"), fresh(docs, "key")
+    stays = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("_key") == F.col("class_key"))
+    out_of = found.filter(F.col("n_links") > 0).select(F.col(id_col).alias(i), F.col("_key").alias(k), stays.alias("_stays"))
+    judged = written(out_of.groupBy(i, k, "_stays").agg(F.count(F.lit(1)).alias("_rows")), "judged").select(i, k, "_stays", "_rows")
+    gone, repeated = judged.filter(~F.col("_stays")).select(i, k), judged.filter("_stays and _rows > 1").select(i, k)
+    same = (F.xxhash64(text_of(docs[text_col])) == F.col(k)) & docs[id_col].eqNullSafe(F.col(i))
+    kept = docs.join(measured(gone), same, "left_anti")
+    if repeated.isEmpty():
         return kept
-    repeated = measured(judged.filter("_stays and _rows > 1"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+    once = kept.join(measured(repeated), same, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(measured(repeated), same, "left_anti").unionByName(once)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

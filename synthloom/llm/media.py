@@ -163,11 +163,13 @@ def probe_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     """The other columns of `media` with the features of the file in media_col, which is dropped.
 
     Codec, size, duration and keyframe byte ranges come from boxes and tables; the digests are of the samples' bytes, in
-    their order, as the tables place them. Files that are null or hold no whole track have null features.
+    their order, as the tables place them. Files that are null or hold no whole track have null features. Columns that
+    already have a feature's name are replaced.
     """
-    others = [c for c in media.columns if c != media_col]
-    schema = T.StructType([*(media.schema[c] for c in others), *T.StructType.fromDDL(FEATURES).fields])
-    names = [f.name for f in schema.fields[len(others) :]]
+    new = T.StructType.fromDDL(FEATURES).fields
+    names = [f.name for f in new]
+    others = [c for c in media.columns if c != media_col and c not in names]
+    schema = T.StructType([*(media.schema[c] for c in others), *new])
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,7 @@ def probe_media(media: DataFrame, media_col: str = "media") -> DataFrame:
                 columns = [pa.array([r.get(n) for r in rows], kind) for n, kind in zip(names, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(run.column(c) for c in others), *columns], names=schema.names)
 
-    return media.mapInArrow(probe, schema)
+    return media.select(*others, media_col).mapInArrow(probe, schema)
 
 
 def _features(file: bytes) -> dict:

@@ -102,12 +102,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A row is known by the hash of its id and text, so rows that repeat both are taken alike.
     """
-    row = fresh(docs, "row")
+    row, at, copies, turn = (fresh(docs, x) for x in ("row", "at", "copies", "turn"))
     keyed = docs.withColumn(row, F.xxhash64(id_col, text_col))
     taken = mix(keyed.select(row, text_col, source_col), id_col=row, text_col=text_col, source_col=source_col, **how)
-    taken = written(taken.filter("copies > 0").groupBy(F.col(row).alias("_at")).agg(F.max("copies").alias("_copies")), "taken")
-    turn = fresh(docs, "turn")
-    out = keyed.join(small(taken, 40), F.col(row) == F.col("_at")).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    taken = written(taken.filter("copies > 0").groupBy(F.col(row).alias(at)).agg(F.max("copies").alias(copies)), "taken")
+    out = keyed.join(small(taken, 40), F.col(row) == F.col(at)).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*(keyed[c] for c in docs.columns))
 
 

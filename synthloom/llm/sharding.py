@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthloom.llm.common import running, table, text_of
+from synthloom.llm.common import fresh, running, table, text_of
 
 SHARDS = 8
 
@@ -44,8 +44,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str =
 
     Each shard is written by several tasks, dealt by slot, so a large shard never meets in one.
     """
-    where = byte_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias("_at"), "shard", "slot")
-    out = docs.drop("shard", "slot").join(where, docs[id_col] == F.col("_at")).drop("_at")
+    at = fresh(docs, "at")
+    where = byte_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias(at), "shard", "slot")
+    out = docs.drop("shard", "slot").join(where, docs[id_col] == F.col(at)).drop(at)
     out.repartition("shard", F.floor(F.col("slot") / 65536)).write.partitionBy("shard").parquet(path)
 
 

@@ -11,7 +11,7 @@ from synthloom.llm import jaccard, recompression, substrings
 from synthloom.llm.components import components
 
 ODD = [(1, None, 9), (2, "", 9), (3, " \n", 9), (4, "one two", 9), (5, "one two", 9), (5, "one two", 9), (None, "one two", 9), (7, "w " * 20000, 9)]
-COLUMNS = "doc_id long, text string, _key int"
+COLUMNS = "doc_id long, text string, _id int"
 
 
 def near_texts(seed=0):

@@ -120,7 +120,7 @@ def test_mix_of_odd_rows(spark):
 
 
 def test_mixed_documents_repeat_whole_rows(spark):
-    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.when(F.col("id") < 200, "a").otherwise("b").alias("source"), F.lit(1).alias("_row"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.when(F.col("id") < 200, "a").otherwise("b").alias("source"), F.lit(1).alias("_row"), F.lit(2).alias("_at"))
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     taken = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}

@@ -189,5 +189,5 @@ def test_damaged_files(spark):
     for cut in range(0, len(whole), 7):
         media._features(whole[:cut])
     assert media.probed(struct.pack(">I4s", 4, b"moov")) is None
-    df = spark.createDataFrame([(1, None), (2, b"junk"), (3, whole)], "k int, media binary")
+    df = spark.createDataFrame([(1, None, "x"), (2, b"junk", "x"), (3, whole, "x")], "k int, media binary, codec string")
     assert [r.n_samples for r in media.probe_media(df).collect()] == [None, None, 1]
