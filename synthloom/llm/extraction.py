@@ -55,8 +55,8 @@ MAIN = frozenset(("article", "main"))
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"<]*+\"|'[^'<]*+'|[^'\"<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S
 )
-_MARKS = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+_UNSEEN = re.compile(r"(?:^|[;\s])display\s*+:\s*+none\b", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -79,6 +79,19 @@ class Open:
     header: bool
 
 
+def attributes_of(tag: str) -> dict[str, str]:
+    """The attributes of a tag by name in lower case; of those that repeat the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(tag):
+        found.setdefault(name.lower(), entities.unescape(a or b or c))
+    return found
+
+
+def is_hidden(marks: dict[str, str]) -> bool:
+    """Whether an element's own attributes hide it: what values of other attributes say is not asked."""
+    return marks.get("hidden", "false").strip().lower() != "false" or marks.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(marks.get("style", "")))
+
+
 def blocks(page: str) -> list[tuple[str, Block]]:
     """The page's runs of text between block tags, with white space made one space, in page order; empty ones are left out."""
     stack = [Open("", 0, False, False, False)]
@@ -144,9 +157,9 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if name not in BLOCKS:
             continue
         top = stack[-1]
-        marks = {k.lower(): a or b or c for k, a, b, c in _MARKS.findall(attributes)}
+        marks = attributes_of(attributes)
         names = {x.lower() for k in ("class", "id") for x in _NAMES.findall(marks.get(k, ""))}
-        hidden = bool(_HIDDEN.search(attributes)) if attributes else False
+        hidden = is_hidden(marks)
         if name in ("html", "body"):
             close(name)
             continue

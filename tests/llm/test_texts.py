@@ -95,6 +95,19 @@ def test_extraction():
     assert extraction.main_text("") == "" and extraction.main_text("just text") == "just text"
 
 
+STORY = "The first paragraph is about the weather and it is one of the longest in the text."
+MORE = "The second one is on the same thing as the first, and it was not in the way of the others."
+
+
+def test_extraction_hides_only_what_is_hidden():
+    for seen in ('class="content overflow-hidden"', 'style="overflow:hidden"', 'data-hidden="true"', 'title="none is hidden here"', "hidden=false", 'data-style="display:none"', 'data-id="comments"'):
+        assert extraction.main_text(f"<div {seen}><p>{STORY}</p></div>") == STORY, seen
+        assert extraction.main_text(f"<main {seen}><p>{STORY}</p></main>") == STORY, seen
+        assert extraction.main_text(f"<article><div {seen}><p>{STORY}</p></div><p>{MORE}</p></article>") == f"{STORY}\n{MORE}", seen
+    for unseen in ("hidden", "HIDDEN class=x", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display : none"', "style='display:none!important'"):
+        assert extraction.main_text(f"<article><div {unseen}><p>{STORY}</p></div><p>{MORE}</p></article>") == MORE, unseen
+
+
 def test_extraction_is_linear_and_survives_broken_pages():
     for page in ('<a href="' * 20000, "<p " * 50000, "<" * 100000, "<div>" * 20000 + "x" + "</section>" * 20000, "<!--" * 20000, "<select>" * 20000, "<p>x" * 20000):
         extraction.main_text(page)
