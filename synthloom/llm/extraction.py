@@ -49,6 +49,14 @@ AROUND = OTHERS | frozenset(
     notices notification overlay pager pagination popup promo promoted promotion search share sharebar sharing sidebar signup
     skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets""".split()
 )
+#: Ids of sections that mark comments inside a region too, where other ids are anchors.
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+#: Parts of a class that say what an element lacks, goes with or is filed under, and parts that only say how it is laid out.
+MODIFIERS = frozenset("cat category has hide no not tag term topic with without".split())
+LAYOUT = frozenset(
+    """area block body bottom box btn button buttons container content group inner item items left link links list main outer panel
+    right row section text top wrap wrapper""".split()
+)
 MAIN = frozenset(("article", "main"))
 
 # a tag ends before the next "<": so whatever is left open, each place is read once
@@ -66,6 +74,7 @@ class Block:
     tag: str = ""
     region: int = 0  # the article or main element it lies in, 0 outside of any
     out: bool = False  # in an element that surrounds articles
+    by: frozenset[str] = frozenset()  # the words of classes and ids that put it out, if nothing else did
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -77,6 +86,8 @@ class Open:
     out: bool
     others: bool  # out for holding what others wrote: articles inside don't come back
     header: bool
+    by: frozenset[str] = frozenset()
+    barred: bool = False  # out by element, role or hiding, whatever the classes say
 
 
 def attributes_of(tag: str) -> dict[str, str]:
@@ -92,8 +103,27 @@ def is_hidden(marks: dict[str, str]) -> bool:
     return marks.get("hidden", "false").strip().lower() != "false" or marks.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(marks.get("style", "")))
 
 
-def blocks(page: str) -> list[tuple[str, Block]]:
-    """The page's runs of text between block tags, with white space made one space, in page order; empty ones are left out."""
+def words_of(value: str) -> set[str]:
+    """What the names in a class or id stand for: each whole, or its last part that says more than layout.
+
+    has-sidebar, no-sidebar, tag-search and what follows "--" tell of the element's surroundings or subject: they give nothing.
+    """
+    found = set()
+    for token in value.split():
+        parts = [x.lower() for x in _NAMES.findall(token.split("--")[0])]
+        found.add("".join(parts))
+        while len(parts) > 1 and parts[-1] in LAYOUT:
+            parts.pop()
+        if parts and MODIFIERS.isdisjoint(parts[:-1]):
+            found.add(parts[-1])
+    return found
+
+
+def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Block]]:
+    """The page's runs of text between block tags, with white space made one space, in page order; empty ones are left out.
+
+    The words in but mark nothing in classes and ids.
+    """
     stack = [Open("", 0, False, False, False)]
     found: list[tuple[str, Block]] = []
     block = Block()
@@ -108,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             found.append((text, block))
         top = stack[-1]
         out = top.out or (top.header and tag not in HEADINGS)
-        block = Block(tag, top.region, out)
+        block = Block(tag, top.region, out, frozenset() if top.barred or out and not top.out else top.by)
 
     def say(text: str) -> None:
         if text:
@@ -158,27 +188,38 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             continue
         top = stack[-1]
         marks = attributes_of(attributes)
-        names = {x.lower() for k in ("class", "id") for x in _NAMES.findall(marks.get(k, ""))}
+        names = words_of(marks.get("class", ""))
+        if name not in HEADINGS:  # the id of a heading is an anchor
+            ids = words_of(marks.get("id", ""))
+            names |= ids & COMMENTS if name == "section" and stack[-1].region else ids
+        names -= but
         hidden = is_hidden(marks)
         if name in ("html", "body"):
             close(name)
             continue
         others = top.others or bool(names & OTHERS) or name == "aside"
-        out = top.out or name in ASIDE or bool(names & AROUND) or marks.get("role", "").lower() in ROLES or hidden
+        barred = top.barred or name in ASIDE or marks.get("role", "").lower() in ROLES or hidden
+        by = top.by | (names & AROUND)
+        out = top.out or bool(names & AROUND) or barred
         region, header = top.region, top.header or name == "header" or "header" in names
         if header and not region:
+            if name == "header":
+                barred = True
+            elif not top.header:
+                by |= {"header"}
             out, header = True, False
         if name in MAIN or marks.get("role", "").lower() == "main":
             if not others and not hidden and not names & AROUND:
-                out, header = False, False
+                out, header, by, barred = False, False, frozenset(), False
             if not region:
                 regions += 1
                 region = regions
         if name in LEAVES:
             close(name)
             block.out = block.out or out
+            block.by = frozenset() if barred else block.by | by
         else:
-            stack.append(Open(name, region, out, others, header))
+            stack.append(Open(name, region, out, others, header, by, barred))
             depth[name] += 1
             close(name)
     say(page[at:])
@@ -186,21 +227,38 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     return found
 
 
+def is_prose(text: str, linked: int) -> bool:
+    """Whether a block is long enough and has stop words enough, and few links."""
+    words = _WORDS.findall(text.lower())
+    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return len(text) >= LENGTH and density >= STOP_DENSITY and not linked > 0.2 * len(text)
+
+
 def main_text(page: str) -> str:
     """The article of a page: its blocks joined by newlines.
 
     First pass: a block is other if it lies in what surrounds articles or is mostly links, text if it is long enough and
     has stop words enough, and undecided else. Second pass: an undecided block takes the label of the nearest decided
     neighbours in its region, those that surround articles aside; of two as near that disagree, text wins; where nothing
-    is decided it is text. If an article or main element holds text, what lies outside of them is other.
+    is decided it is text. If article and main elements hold text, and as much of what is text by the first pass as lies
+    outside of them at least, what lies outside is other.
+
+    If nothing or headings only would be left, and classes or ids alone put prose out, the page is read again without the
+    words that put out its longest block of prose, comments and the like last.
     """
     found = blocks(page)
-    labels: list[bool | None] = []
-    for text, b in found:
-        n = len(text)
-        words = _WORDS.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        labels.append(False if b.out or b.linked > LINK_DENSITY * n else True if n >= LENGTH and density >= STOP_DENSITY and not b.linked > 0.2 * n else None)
+    decided = chosen(found)
+    if all(b.tag in HEADINGS for (_, b), d in zip(found, decided, strict=True) if d):
+        lost = [(not b.by & OTHERS, len(text), b.by) for text, b in found if b.out and b.by and is_prose(text, b.linked)]
+        if lost:
+            found = blocks(page, max(lost, key=lambda x: x[:2])[2])
+            decided = chosen(found)
+    return "\n".join(text for (text, _), d in zip(found, decided, strict=True) if d)
+
+
+def chosen(found: list[tuple[str, Block]]) -> list[bool]:
+    """Whether each block belongs to the article."""
+    labels: list[bool | None] = [False if b.out or b.linked > LINK_DENSITY * len(text) else True if is_prose(text, b.linked) else None for text, b in found]
     near: list[list[tuple[int, bool]]] = [[] for _ in found]  # (distance, whether it is other) of the decided neighbours
     for order in (range(len(found)), reversed(range(len(found)))):
         last: dict[int, int] = {}
@@ -211,9 +269,12 @@ def main_text(page: str) -> str:
             elif labels[i] is not None and not b.out:
                 last[b.region] = i
     decided = [label if label is not None else not min(n)[1] if n else True for label, n in zip(labels, near, strict=True)]
-    if any(d and b.region for (_, b), d in zip(found, decided, strict=True)):
+    held = [0, 0]  # characters of prose outside of regions and inside
+    for (text, b), label in zip(found, labels, strict=True):
+        held[bool(b.region)] += len(text) if label else 0
+    if held[1] >= held[0] and any(d and b.region for (_, b), d in zip(found, decided, strict=True)):
         decided = [bool(d and b.region) for (_, b), d in zip(found, decided, strict=True)]
-    return "\n".join(text for (text, _), d in zip(found, decided, strict=True) if d)
+    return decided
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -108,6 +108,30 @@ def test_extraction_hides_only_what_is_hidden():
         assert extraction.main_text(f"<article><div {unseen}><p>{STORY}</p></div><p>{MORE}</p></article>") == MORE, unseen
 
 
+def test_extraction_takes_whole_names_for_marks():
+    for name in ("layout has-sidebar", "no-sidebar", "layout--sidebar", "search-results", "page-with-sidebar"):
+        assert extraction.main_text(f'<div class="{name}"><p>{STORY}</p></div>') == STORY, name
+    assert extraction.main_text(f'<article class="post tag-search category-legal"><p>{STORY}</p></article>') == STORY
+    for mark in ("discussion", "related-work", "search", "legal"):
+        page = f'<article><p>{STORY}</p><section id="{mark}"><h2 id="{mark}">Heading</h2><p>{MORE}</p></section></article>'
+        assert extraction.main_text(page) == f"{STORY}\nHeading\n{MORE}", mark
+    for name in ("sidebar", "cookie-banner", "comment-list", "sideBar", "sidebar-left", "post-share-buttons"):
+        assert extraction.main_text(f'<div><p>{STORY}</p></div><div class="{name}"><p>{MORE}</p></div>') == STORY, name
+
+
+def test_extraction_marks_never_empty_a_page():
+    assert extraction.main_text(f'<h1>Title</h1><div class="page-sidebar"><p>{STORY}</p><div class="share">Tell us</div></div>') == f"Title\n{STORY}"
+    assert extraction.main_text(f'<div class="x-widget"><p>{STORY}</p></div><div class="x-widget"><p>{MORE}</p></div>') == f"{STORY}\n{MORE}"
+    assert extraction.main_text(f'<div class="page-header"><p>{STORY}</p></div>') == STORY
+    assert extraction.main_text(f'<div class="widget" hidden><p>{STORY}</p></div><nav class="widget"><p>{MORE}</p></nav>') == ""
+
+
+def test_extraction_keeps_a_story_beside_a_teaser():
+    got = extraction.main_text(f"<div><p>{STORY}</p><p>{MORE}</p></div><article><p>{MORE}</p></article>")
+    assert got.startswith(f"{STORY}\n{MORE}")
+    assert extraction.main_text(f"<div><p>{STORY}</p></div><article><p>{MORE}</p><p>{STORY}</p></article>") == f"{MORE}\n{STORY}"
+
+
 def test_extraction_is_linear_and_survives_broken_pages():
     for page in ('<a href="' * 20000, "<p " * 50000, "<" * 100000, "<div>" * 20000 + "x" + "</section>" * 20000, "<!--" * 20000, "<select>" * 20000, "<p>x" * 20000):
         extraction.main_text(page)
