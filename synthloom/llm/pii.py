@@ -21,14 +21,13 @@ MASKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_VALID = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
-#: Code points on either side of an entity in which a term co-occurs with it.
-RADIUS = 160
 #: Share of an entity's information that a term must give to be generalised, and to be removed.
 GENERALISE_AT, REMOVE_AT = 0.7, 0.9
 #: Different texts in which a term must co-occur with an entity: one text alone is no estimate.
 SUPPORT = 2
-TERM = r"^\p{L}{4,}$"
-_EDGES = ".,;:!?\"'()[]"
+#: A term: letters and digits of any number, with single hyphens and apostrophes between them.
+TERM = r"[\p{L}\p{M}\p{N}]++(?:['\u2019-][\p{L}\p{M}\p{N}]++)*+"
+_PART_OF_TERM = r"[\p{L}\p{M}\p{N}]"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -88,25 +87,47 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def contexts(docs: DataFrame, text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(text_key, entity, term): each protected entity of each different text with the words near it."""
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def outside(text: Column, spans: Column) -> Column:
+    """The text with a space for each pattern span: what is part of an entity doesn't tell of it."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], F.lit(" "), gap)).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return let(done, lambda d: F.concat(d["out"], F.lit(" "), F.substring(text, d["at"] + 1, F.length(text))))
+
+
+def entities_of(docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
+    """(text_key, entity, n_entity): the protected entities of each different text, of those in `support` texts or more.
+
+    No term can be in more texts with an entity than the entity is in: the others give no pair.
+    """
     text = text_of(docs[text_col])
     spotted = docs.select(text.alias("text")).withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
     one = spotted.select(F.xxhash64("text").alias("text_key"), "text", F.explode("spans").alias("s"))
     value = F.expr("substring(text, s.start + 1, s.end - s.start)")
     entity = F.concat_ws(":", F.get(F.array(*(F.lit(x) for x in KINDS)), F.col("s.kind")), F.when(F.col("s.kind") >= 2, F.translate(value, "+ ().-", "")).otherwise(F.lower(value)))
-    left = F.expr(f"substring(text, greatest(s.start - {radius}, 0) + 1, s.start - greatest(s.start - {radius}, 0))")
-    right = F.expr(f"substring(text, s.end + 1, {radius})")
-    # a word that the radius cuts is left out
-    left = F.when(F.col("s.start") > radius, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.when(F.length("text") > F.col("s.end") + radius, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    words = F.split(F.lower(F.concat_ws(" ", left, right)), r"\s+")
-    near = one.select("text_key", entity.alias("entity"), F.explode(F.array_distinct(words)).alias("word"))
-    term = F.btrim("word", F.lit(_EDGES))
-    return near.select("text_key", "entity", term.alias("term")).filter(F.col("term").rlike(TERM)).distinct()
-
-
-def disclosing(docs: DataFrame, near: DataFrame, text_col: str = "text", generalise_at: float = GENERALISE_AT, support: int = SUPPORT) -> DataFrame:
+    held = written(one.select("text_key", entity.alias("entity")).distinct(), "pii-entities")
+    counted = written(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support), "pii-counted")
+    return written(held.join(small(counted, 96), "entity").select("text_key", "entity", "n_entity"), "pii-held")
+
+
+def terms_beside(docs: DataFrame, held: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_key, term): all different terms of the texts in held, wherever they stand."""
+    text = text_of(docs[text_col])
+    keyed = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key"))
+    mine = keyed.join(small(held.select("text_key").distinct(), 16), "text_key", "left_semi")
+    found = mine.select("text_key", F.explode(terms_of(outside(F.col("text"), base_spans(F.col("text"))))).alias("term"))
+    return written(found.distinct(), "pii-beside")
+
+
+def disclosing(docs: DataFrame, held: DataFrame, beside: DataFrame, text_col: str = "text", generalise_at: float = GENERALISE_AT, support: int = SUPPORT) -> DataFrame:
     """(entity, term, disclosed): the share of an entity's information content that a term gives away.
 
     All probabilities are shares of the different texts. A term gives the pointwise mutual information
@@ -118,37 +139,49 @@ def disclosing(docs: DataFrame, near: DataFrame, text_col: str = "text", general
     n = F.lit(float(max(2, n_texts)))
     information = F.log2(n / F.col("n_entity"))
 
-    def share(n_term: Column) -> Column:
-        mutual = F.log2(F.col("both") * n / (n_term * F.col("n_entity")))
+    def share(n_term: Column, both: Column) -> Column:
+        mutual = F.log2(both * n / (n_term * F.col("n_entity")))
         return F.when(information > 0, mutual / information).otherwise(0.0)
 
-    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # a term is in as many texts at least as it is in near entities: most pairs can't reach the threshold whatever the count
-    around = near.select("term", "text_key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    joint = near.groupBy("entity", "term").agg(F.count_distinct("text_key").alias("both")).filter(F.col("both") >= support)
-    joint = joint.join(entities, "entity").join(around, "term").filter(share(F.col("n_near")) >= generalise_at)
-    joint = written(joint.select("entity", "term", "both", "n_entity"), "pii-joint")
+    # a term is in as many texts at least as it is in texts with entities, and with an entity in as many at most as the
+    # entity is in: most pairs can't reach the threshold whatever the counts
+    around = beside.groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).filter(F.col("n_near") >= support)
+    most = F.least("n_near", "n_entity")
+    (largest,) = held.agg(F.coalesce(F.max("n_entity"), F.lit(0))).first()
+    # of entities with more texts a term may have more: the largest bounds the terms
+    bound = around.withColumn("n_entity", F.lit(largest)).filter(share(F.col("n_near"), most) >= generalise_at).drop("n_entity")
+    rare = written(bound, "pii-rare")
+    pairs = beside.join(small(rare, 64), "term").join(small(held, 112), "text_key").filter(share(F.col("n_near"), most) >= generalise_at)
+    joint = pairs.groupBy("entity", "term", "n_entity", "n_near").agg(F.count(F.lit(1)).alias("both"))
+    joint = written(joint.filter((F.col("both") >= support) & (share(F.col("n_near"), F.col("both")) >= generalise_at)), "pii-joint")
     terms = written(joint.select("term").distinct(), "pii-terms")
-    held = keyed.select(F.xxhash64("text").alias("text_key"), F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
-    held = held.select("text_key", F.btrim(F.lower("word"), F.lit(_EDGES)).alias("term")).join(small(terms, 64), "term", "left_semi").distinct()
-    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    scored = joint.join(frequency, "term").select("entity", "term", share(F.col("n_term")).alias("disclosed"))
+    holding = keyed.select(F.xxhash64("text").alias("text_key"), F.explode(terms_of(F.col("text"))).alias("term"))
+    holding = holding.join(small(terms, 64), "term", "left_semi").distinct()
+    frequency = holding.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # a term that only stands on its own with the entity beside it cut out is not in frequency
+    n_term = F.greatest("n_near", F.coalesce("n_term", F.lit(0)))
+    scored = joint.join(frequency, "term", "left").select("entity", "term", share(n_term, F.col("both")).alias("disclosed"))
     return scored.filter(F.col("disclosed") >= generalise_at)
 
 
-def actions_on(docs: DataFrame, text_col: str = "text", radius: int = RADIUS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
-    """(_text_key, _told, _removed): for each text, the terms near its entities that give them away, and those to remove."""
-    near = written(contexts(docs, text_col, radius), "pii-contexts")
-    told = disclosing(docs, near, text_col, generalise_at, support)
+def actions_on(docs: DataFrame, text_col: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
+    """(_text_key, _told, _removed): for each text, the terms that give its entities away, and those to remove.
+
+    Of terms that begin alike the longer ones stand first.
+    """
+    held = entities_of(docs, text_col, support)
+    beside = terms_beside(docs, held, text_col)
+    told = written(disclosing(docs, held, beside, text_col, generalise_at, support), "pii-told")
+    mine = beside.join(small(told.select("term").distinct(), 64), "term", "left_semi").join(small(held.select("text_key", "entity"), 96), "text_key")
     removed = F.collect_set(F.when(F.col("disclosed") >= remove_at, F.col("term")))
-    actions = near.join(told, ["entity", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_set("term")).alias("_told"), F.array_sort(removed).alias("_removed"))
+    actions = mine.join(small(told, 128), ["entity", "term"]).groupBy("text_key").agg(F.sort_array(F.collect_set("term"), asc=False).alias("_told"), F.array_sort(removed).alias("_removed"))
     return written(actions.withColumnRenamed("text_key", "_text_key"), "pii-actions")
 
 
 def found(docs: DataFrame, text_col: str = "text", **how) -> tuple[DataFrame, dict[str, str]]:
     """docs with three more columns and their names: base (pattern spans), spans (all spans), removed (terms to drop).
 
-    A term span is a whole-word occurrence, in any case, of a term that gives away an entity near it in this very text; it
+    A term span is a whole-word occurrence, in any case, of a term that gives away an entity of this very text; it
     never overlaps a pattern span.
     """
     names = {k: fresh(docs, k) for k in ("base", "spans", "removed", "key", "told")}
@@ -158,7 +191,7 @@ def found(docs: DataFrame, text_col: str = "text", **how) -> tuple[DataFrame, di
     keyed = docs.withColumn(names["base"], base_spans(text)).withColumn(names["key"], F.xxhash64(text))
     joined = keyed.join(small(actions, 512), names["key"], "left")
     base, told = F.col(names["base"]), F.col(names["told"])
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(told, "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{_PART_OF_TERM})(?:"), F.array_join(told, "|"), F.lit(rf")(?!{_PART_OF_TERM})"))
     terms = located(text, pattern, len(PATTERNS), lambda m: F.lit(True))
     clear = F.filter(terms, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     spans = F.when(F.size(F.coalesce(told, F.array().cast("array<string>"))) > 0, F.array_sort(F.concat(base, clear))).otherwise(base)

@@ -76,6 +76,18 @@ def test_disclosing_terms_are_sanitised(spark):
     assert pii.sanitised(docs.limit(0)).count() == 0
 
 
+def test_terms_of_any_form_anywhere_are_sanitised(spark):
+    filler = "and more of the common talk on plain words " * 12
+    rows = [(i, f"{filler} number {chr(97 + i % 26)}{chr(97 + i // 26)}xyz") for i in range(200)]
+    names = ("Kim", "Anne-Marie", "O'Neil", "EMP12345")
+    rows += [(900 + i, f"{' '.join(names)}, {filler} {'abcdefghij'[i]}qqqq zeb@mail.org") for i in range(4)]
+    out = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(4):
+        assert not any(name.lower() in out[900 + i].lower() for name in ("kim", "anne", "marie", "neil", "emp12345"))
+        assert "[EMAIL]" in out[900 + i] and filler.strip() in out[900 + i] and f"{'abcdefghij'[i]}qqqq" in out[900 + i]
+    assert all(out[i] == rows[i][1] for i in range(200))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1><ul><li><a href="/">Home</a></ul></header>
 <div class="cookie-banner">We use cookies for the best of all that is on this site and for you and us.</div>
 <main><article><h1>Heading &amp; more</h1><p>The first paragraph is about   the weather &#233; and it is one of the longest in the text.</p><div class="advert">Buy one of the best that there is for all of you and for the rest of us now.</div>
