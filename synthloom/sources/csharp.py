@@ -116,6 +116,10 @@ def symbols_in(code: str, path: str) -> list[dict]:
     return out
 
 
+#: What precedes the first token of a file: blanks, comments and directives, of any length.
+LEADING = r"^\x{FEFF}?(?:\s++|//[^\r\n]*+|#[^\r\n]*+|/\*(?s:.*?)\*/)*+"
+
+
 def read_symbols(
     spark: SparkSession,
     path: str,
@@ -130,7 +134,7 @@ def read_symbols(
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.cs").text(path, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("file_path"), "value")
     if not include_generated:
-        files = files.filter(~is_generated(F.col("file_path"), F.substring("value", 1, 2000)))
+        files = files.filter(~is_generated(F.col("file_path"), F.lower(F.regexp_extract("value", LEADING, 0))))
     if not include_tests:
         files = files.filter(~F.col("file_path").rlike(r"(?i)\.(?:Tests|Test|UnitTests|IntegrationTests|AcceptanceTests)/"))
     names = [f.name for f in SYMBOL.fields]

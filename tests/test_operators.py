@@ -218,3 +218,16 @@ def test_partition_invariance_of_uniform(spark):
     u = [sorted(values(spark.range(50).repartition(n), text.uniform(1, F.col("id")))) for n in (1, 5)]
     assert u[0] == u[1] and all(0 < x < 1 for x in u[0])
     assert len(set(itertools.chain(*u))) == 50
+
+
+def test_generated_files_are_known_by_all_that_precedes_the_code(spark, tmp_path):
+    from synthloom.sources.csharp import read_symbols
+
+    body = "namespace N { class %s { int M() { return 1; } } }"
+    licence = "// a long licence line\r\n" * 200
+    (tmp_path / "A.cs").write_text(licence + "#nullable enable\n/* * <Auto-Generated/> */\n" + body % "Made")
+    (tmp_path / "B.cs").write_text('namespace N { class Own { string M() { return "<auto-generated>"; } } }')
+    (tmp_path / "C.cs").write_text("/* not closed <auto-generated\n" + licence)
+    (tmp_path / "D.cs").write_text(licence + body % "Plain")
+    paths = {r.file_path.rsplit("/", 1)[-1] for r in read_symbols(spark, str(tmp_path)).select("file_path").collect()}
+    assert paths == {"B.cs", "D.cs"}
