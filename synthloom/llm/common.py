@@ -43,14 +43,20 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """A batch in runs of rows whose values in a text or binary column come to about `size` bytes, with these values, null as empty."""
+def runs(batch: pa.RecordBatch, column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose values in a text or binary column come to about `size` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = np.cumsum(sizes, dtype=np.int64) // size
     edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-    empty = b"" if pa.types.is_binary(batch.schema.field(column).type) or pa.types.is_large_binary(batch.schema.field(column).type) else ""
     for a, b in zip(edges, edges[1:], strict=False):
-        run = batch.slice(a, b - a)
+        yield batch.slice(a, b - a)
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """runs() with the values of the column, null as empty."""
+    kind = batch.schema.field(column).type
+    empty = b"" if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else ""
+    for run in runs(batch, column, size):
         yield run, [x or empty for x in run.column(column).to_pylist()]
 
 
@@ -73,38 +79,40 @@ def n_words_of(column: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, GAP))).cast("long")
 
 
-def running(keyed: DataFrame, within: Sequence[str], order: Sequence[str], size: str, name: str) -> DataFrame:
-    """keyed with _before (total of `size` over earlier rows of the same `within` values) and _rank (their count).
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a whole text, null as empty."""
+    return F.unhex(F.md5(text_of(text).cast("binary")))
 
-    Rows are range-partitioned by (within, order), so neither a group that holds most rows nor a run of ties meets in one
-    task; each partition's totals (one row per partition and group) give the offset of the next ones. Rows that agree in
-    every ordering column are told apart by their place in the input: they differ in nothing that is returned.
+
+def running(keyed: DataFrame, within: Sequence[str], order: Sequence[str], size: str, name: str, also: Sequence[str] = ()) -> DataFrame:
+    """keyed with _before (total of `size` over earlier rows of the same `within` values), _rank (their count), and
+    _before_<c> for each column in `also`.
+
+    The rows are written first, so what they are computed from runs once. They are range-partitioned by (within, order),
+    so neither a group that holds most rows nor a run of ties meets in one task; each partition's totals (one row per
+    partition and group) give the offset of the next ones. Rows that agree in every ordering column are told apart by their
+    place in the written table: they differ in nothing that is returned.
     """
     spark = keyed.sparkSession
     ordered = [*within, *order, "_tie"]
-    ranged = written(
-        keyed.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(parts(spark), *ordered)
-        .withColumn("_pid", F.spark_partition_id()),
-        name,
-    )
-    totals = ranged.groupBy("_pid", *within).agg(F.sum(size).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    rows = written(keyed, f"{name}-rows")
+    ranged = written(rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts(spark), *ordered).withColumn("_pid", F.spark_partition_id()), name)
+    discard(rows)
+    summed = {"_before": size, **{f"_before_{c}": c for c in also}}
+    totals = ranged.groupBy("_pid", *within).agg(F.count(F.lit(1)).alias("_rows"), *(F.sum(c).alias(f"_total{b}") for b, c in summed.items()))
     earlier = Window.partitionBy(*within).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         F.col("_pid").alias("_opid"),
         *(F.col(c).alias(f"_o_{c}") for c in within),
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_sum0"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows0"),
+        *(F.coalesce(F.sum(f"_total{b}").over(earlier), F.lit(0)).alias(f"_offset{b}") for b in summed),
     )
-    local = Window.partitionBy("_pid", *within).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_pid", *within).orderBy(*order, "_tie")
+    above = local.rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_pid") == F.col("_opid")
     for c in within:
         same &= F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    return (
-        ranged.withColumn("_sum1", F.coalesce(F.sum(size).over(local), F.lit(0)))
-        .withColumn("_rows1", F.row_number().over(Window.partitionBy("_pid", *within).orderBy(*order, "_tie")) - 1)
-        .join(offsets, same)
-        .withColumn("_before", F.col("_sum0") + F.col("_sum1"))
-        .withColumn("_rank", F.col("_rows0") + F.col("_rows1"))
-        .drop("_tie", "_pid", "_opid", "_sum0", "_rows0", "_sum1", "_rows1", *(f"_o_{c}" for c in within))
-    )
+    counted = ranged.withColumns({"_rows1": F.row_number().over(local) - 1, **{f"_local{b}": F.coalesce(F.sum(c).over(above), F.lit(0)) for b, c in summed.items()}})
+    joined = counted.join(offsets, same).withColumn("_rank", F.col("_rows0") + F.col("_rows1"))
+    joined = joined.withColumns({b: F.col(f"_offset{b}") + F.col(f"_local{b}") for b in summed})
+    return joined.drop("_tie", "_pid", "_opid", "_rows0", "_rows1", *(f"_o_{c}" for c in within), *(f"_{x}{b}" for x in ("offset", "local") for b in summed))

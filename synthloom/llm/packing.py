@@ -5,34 +5,50 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthloom.llm.common import slices, table
+from synthloom.llm.common import runs, table, written
 
 ROOM = 4096
 END = 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Documents a packing group is meant to hold: what bounds a task's memory, at any size of the input.
+#: Pieces a packing group is meant to hold: what bounds a task's memory, at any size of the input.
 GROUP_ROWS = 16384
-#: Distinct words whose ids a worker keeps between slices; all are forgotten when there are more.
-KNOWN_WORDS = 600_000
+#: Bytes of words, their ids and what Python keeps with them that a task remembers; all are forgotten when there are more.
+KNOWN_BYTES = 48 << 20
+ENTRY_BYTES = 220
+#: A sequence filled less than this is packed once more, with those of the other groups.
+FULL = 0.99
 
-# str.split() also splits at these four, which the tokenizer does not take for white space
-_ODD = re.compile("[\x1c-\x1f]")
+# white space for Arrow that is none for the tokenizer
+_ODD = "[\x1c-\x1f]"
+# what the tokenizer makes of ASCII words in lower case: each part's last id closes a word
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# a letter and a mark after it, which the tokenizer parts; "<|" begins its special tokens
+_LETTER_MARK, _SPECIAL = r"([a-zA-Z\p{Ll}\p{Lo}])([^\s\pL\pN\pM'])", "<|"
+
+
+def _laid_out(values: np.ndarray, begins: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of values that `at` names, one after another, and where each of them begins (and the end)."""
+    n = length[at]
+    upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    return values[np.repeat(begins[at] - upto[:-1], n) + np.arange(upto[-1])], upto
 
 
 class WordIds:
-    """The ids of texts, as little-endian bytes, by way of the ids of their words.
+    """The ids of texts by way of the ids of their different words, and these by way of their parts. One lives as long as its task.
 
-    The tokenizer never joins what white space parts, nor letters with a full stop or comma, and it ignores case. So a new
-    word is reduced to its letters where that is safe (ASCII case, one closing mark), and only new reduced words are coded.
+    The tokenizer never joins what white space parts, nor letters with marks that follow them, and it ignores case. Arrow
+    finds the different words and their different parts, and only parts that are new are coded.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,66 +59,62 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def coded(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in out]
 
-    def coded_letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, coded as one text: each has one id that closes a word, its last."""
+    def coded_at_once(self, words: list[str], parts: np.ndarray) -> list[bytes]:
+        """Words coded as one text and parted where the ids close as many words as each has parts."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
-        if len(ends) != len(words) or len(words) and ends[-1] != 4 * len(ids):  # a letter fell apart when normalised
+        if len(ends) != parts.sum() or len(ends) and ends[-1] != 4 * len(ids):  # a letter fell apart when normalised
             return self.coded(words)
         raw, at = ids.tobytes(), 0
-        return [raw[at : (at := end)] for end in ends.tolist()]
-
-    def learn(self, words: set[str]) -> None:
-        known = self.known
-        new = {w: reduced(w) for w in words}
-        bases = {b for b, _ in new.values()}.union(m for _, m in new.values() if m).difference(known)
-        letters = [b for b in bases if b.isalpha()]
-        others = [b for b in bases if not b.isalpha()]
-        known.update(zip(letters, self.coded_letters(letters), strict=True))
-        known.update(zip(others, self.coded(others), strict=True))
-        for w, (base, mark) in new.items():
-            known[w] = known[base] + known[mark] if mark else known[base]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        get = self.known.get
-        words = [x.split() for x in texts]
-        ids = [list(map(get, w)) for w in words]
-        lacking = {w for ws, found in zip(words, ids, strict=True) if None in found for w, x in zip(ws, found, strict=True) if x is None}
-        if lacking:
-            self.learn(lacking)
-            ids = [list(map(get, w)) if None in found else found for w, found in zip(words, ids, strict=True)]
-        return [self.coded([x])[0] if _ODD.search(x) else b"".join(found) for x, found in zip(texts, ids, strict=True)]
-
-
-def reduced(word: str) -> tuple[str, str]:
-    """A word without its closing mark and in lower case, if its ids follow from that, and the mark."""
-    mark = word[-1] if word[-1] in ".," and word[:-1].isalpha() else ""
-    base = word[:-1] if mark else word
-    return base.lower() if base.isascii() else base, mark
-
-
-_coders: dict[str, WordIds] = {}
-
-
-def coder(path: str) -> WordIds:
-    """One a process: Spark keeps its Python workers, so the words stay known from task to task."""
-    if path not in _coders:
-        _coders[path] = WordIds(path)
-    return _coders[path]
+        return [raw[at : (at := end)] for end in ends[np.cumsum(parts) - 1].tolist()]
+
+    def learn(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()]
+        plain = [w for w in words if not w.isalpha() and w.isascii() and _SPECIAL not in w]
+        others = [w for w in words if not w.isalpha() and (not w.isascii() or _SPECIAL in w)]
+        counts = np.fromiter((len(_PARTS.findall(w)) for w in plain), np.int64, len(plain))
+        self.known.update(zip(letters, self.coded_at_once(letters, np.ones(len(letters), np.int64)), strict=True))
+        self.known.update(zip(plain, self.coded_at_once(plain, counts), strict=True))
+        self.known.update(zip(others, self.coded(others), strict=True))
+        self.held += sum(len(w) + len(self.known[w]) + ENTRY_BYTES for w in words)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (and the end)."""
+        if self.held > KNOWN_BYTES:
+            self.known, self.held = {"": b""}, 0
+        words = pc.utf8_split_whitespace(texts)
+        word = words.flatten().dictionary_encode()
+        parted = pc.replace_substring_regex(pc.ascii_lower(word.dictionary), _LETTER_MARK, r"\1 \2")
+        parts = pc.split_pattern(pc.if_else(pc.match_substring(word.dictionary, _SPECIAL), word.dictionary, parted), " ")
+        part = parts.flatten().dictionary_encode()
+        different = part.dictionary.to_pylist()
+        self.learn([w for w in different if w not in self.known])
+        ids = list(map(self.known.__getitem__, different))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        by_word, upto = _laid_out(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length) - length, length, part.indices.to_numpy())
+        edges = upto[parts.offsets.to_numpy()]
+        out, upto = _laid_out(by_word, edges[:-1], np.diff(edges), word.indices.to_numpy())
+        edges = upto[words.offsets.to_numpy()]
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return out, edges
+        whole = [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for i in odd.tolist():
+            whole[i] = np.frombuffer(self.coded([texts[i].as_py()])[0], "<u4")
+        return np.concatenate(whole), np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in whole])])
 
 
 def token_pieces(docs: DataFrame, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """docs as pieces of at most `room` tokens: id_col, piece, start, length, ids_crc32. Only longer documents are cut.
 
-    A document's ids end with `end`, so null and empty texts make a piece of one id.
+    A document's ids end with `end`, so null and empty texts make a piece of one id. Texts are coded whole.
     """
     schema = T.StructType(
         [
@@ -116,14 +128,15 @@ def token_pieces(docs: DataFrame, room: int = ROOM, id_col: str = "doc_id", text
     last = int(end).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(tokenizer)
+        code = WordIds(tokenizer)
         for batch in batches:
-            for run, texts in slices(batch, text_col):
+            for run in runs(batch, text_col):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(code.of(texts)):
-                    ids += last
-                    for k, at in enumerate(range(0, len(ids), 4 * room)):
-                        part = ids[at : at + 4 * room]
+                ids, edges = code.of(pc.fill_null(run.column(text_col), ""))
+                for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                    raw = ids[a:b].tobytes() + last
+                    for k, at in enumerate(range(0, len(raw), 4 * room)):
+                        part = raw[at : at + 4 * room]
                         row.append(i)
                         piece.append(k)
                         start.append(at // 4)
@@ -189,25 +202,50 @@ def pack(
 ) -> DataFrame:
     """Pack all documents into sequences of at most `room` tokens.
 
-    Pieces are dealt by a hash of their content to groups of about group_rows, as many as the table needs, and each group
-    is packed by best_two_fit: a group wastes at most its last few sequences, whatever the size of the input. A sequence
-    belongs to one group; sequence_id holds the group in its upper half.
+    Pieces are dealt to groups of about group_rows by their place in a written table, as many groups as there have to be,
+    and each is packed by best_two_fit. What its last sequences leave open is dealt out again, with that of the other
+    groups, until one group holds it or another round would gain little: so no task meets more than about group_rows pieces,
+    repeated rows part like others, and the open ends of all groups are shared. A sequence belongs to one group;
+    sequence_id holds that group in its upper half.
 
-    Returns id_col, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are one end token; null ids
-    and repeated rows are packed like others; an empty table gives no row; other columns are not read.
+    Returns id_col, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are one end token; texts of
+    any length are read whole; null ids and repeated rows are packed like others; of equally long pieces any comes first;
+    an empty table gives no row; other columns are not read, whatever their names.
     """
-    groups = max(1, -(-docs.count() // group_rows))
-    pieces = token_pieces(docs, room, id_col, text_col, tokenizer, end)
-    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)))
-    schema = T.StructType([*pieces.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    rows = written(token_pieces(docs, room, id_col, text_col, tokenizer, end), "pieces")
+    columns = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_fill", T.LongType())])
+    done: list[DataFrame] = []
+    made, before = 0, None
+    while True:
+        n = rows.count()
+        groups = max(1, -(-n // group_rows))
+        dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        packed = dealt.groupBy("_group").applyInArrow(_placer(room, made), schema)
+        if groups == 1 or before is not None and 2 * n > before:
+            done.append(packed)
+            break
+        packed = written(packed, "packed")
+        done.append(packed.filter(F.col("_fill") >= FULL * room))
+        rows = packed.filter(F.col("_fill") < FULL * room).select(*columns)
+        made, before = made + groups, n
+    return reduce(DataFrame.unionByName, done).drop("_fill")
+
+
+def _placer(room: int, made: int) -> Callable[[pa.Table], pa.Table]:
+    """What packs a group; groups of earlier rounds have the numbers below `made`."""
 
     def place(group: pa.Table) -> pa.Table:
+        number = int(group.column("_group")[0].as_py()) + made
+        group = group.drop_columns(["_group"]).sort_by([("ids_crc32", "ascending"), ("piece", "ascending")])
         lengths = group.column("length").to_numpy()
         bins, offsets = best_two_fit(lengths, room)
-        bins += int(group.column("_group")[0].as_py()) << 32
-        return group.drop_columns(["_group"]).append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offsets))
+        fill = np.bincount(bins, lengths).astype(np.int64)
+        for name, values in (("sequence_id", bins + (number << 32)), ("offset", offsets), ("_fill", fill[bins])):
+            group = group.append_column(name, pa.array(values))
+        return group
 
-    return pieces.groupBy("_group").applyInArrow(place, schema)
+    return place
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

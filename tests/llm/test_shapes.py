@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,9 @@ def test_words_code_like_whole_texts():
     coder = packing.WordIds(packing.TOKENIZER)
     texts = ["Don't STOP, it's 12,5 Été. x y", "a\x1cb İstanbul ΣΣ 한글 é", "<|endoftext|> www.a.b ...", "", " \n"]
     want = [np.array(coder.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
-    assert coder.of(texts) == want == coder.of(texts)
+    for _ in range(2):
+        ids, edges = coder.of(pa.array(texts))
+        assert [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] == want
 
 
 def test_shards_are_contiguous_and_balanced(spark, sf):
@@ -128,6 +131,32 @@ def test_mixed_documents_repeat_whole_rows(spark):
     assert all(abs(taken[s] - t) <= 7 for s, t in want.items())
 
 
+def test_mix_gives_what_it_takes_where_rows_repeat(spark):
+    rows = [(7, "five words are in it", "b", 1)] * 2000 + [(i, "w " * (1 + i % 5), "a", i) for i in range(900)] + [(None, "x y", None, 3)] * 3 + [(1, None, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, _more int").repartition(7)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    given = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    mixed = mixing.mix(docs.withColumn("k", F.unhex(F.md5(F.concat_ws(":", F.xxhash64("doc_id", "source").cast("string"), F.hex(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))))))), id_col="k")
+    taken = {r.source: (r.n, r.target) for r in mixed.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()}
+    assert all(given[s] == n and abs(n - target) <= 3 for s, (n, target) in taken.items())
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_open_ends_of_all_groups_are_packed_together(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.col("id") * 7919 % 1500).cast("int")).alias("text"))
+    few = docs.unionByName(spark.range(1).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")).crossJoin(spark.range(500)).drop("id"))
+    rows = packing.pack(few, group_rows=64).collect()
+    assert len(rows) == 3500 and len({(r.sequence_id, r.offset) for r in rows}) == 3500
+    filled = {}
+    for r in rows:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in filled.values():
+        held.sort()
+        assert [a for a, _ in held] == [0, *np.cumsum([n for _, n in held])[:-1]] and sum(n for _, n in held) <= 4096
+    assert len(filled) <= -(-sum(r.length for r in rows) // 4096) * 1.02 + 2
+
+
 def brute_repeats(words):
     seen = {}
     for i in range(len(words) - 2):
@@ -140,6 +169,9 @@ def test_repeated_words(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.n for r in df.select("i", quality.features(F.col("t"))["n_repeat_words"].alias("n")).collect()}
     assert got == {i: brute_repeats(t.split()) for i, t in enumerate(texts)}
+    # with four bits of hash nearly all windows collide, and are told apart by their words
+    few = {r.i: r.n for r in df.select("i", quality.repeated_words(quality.words_of(F.col("t")), place_bits=60).alias("n")).collect()}
+    assert few == got
 
 
 def test_cascade_keeps_clean_documents(spark):
