@@ -1,11 +1,14 @@
 """Extraction, personal data, language, media: against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
+import random
 import re
 import struct
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from synthloom.llm import extraction, language, media, pii
@@ -88,6 +91,87 @@ def test_terms_of_any_form_anywhere_are_sanitised(spark):
     assert all(out[i] == rows[i][1] for i in range(200))
 
 
+def brute_actions(texts, at=pii.DISCLOSED_AT, support=pii.SUPPORT, prior=pii.PRIOR):
+    """{text: {term: level}} by the definition, with Python's own loops."""
+    term = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['\u2019-][\p{L}\p{M}\p{N}]+)*")
+    texts = set(texts)
+    held, beside, words = {}, {}, {}
+    for text in texts:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(text).split(",") if s]
+        named = set()
+        for s, (a, b) in zip(brute_spans(text).split(","), spans, strict=False):
+            value, kind = text[a:b], s.split(":")[0]
+            if kind == "email":
+                named |= {value.lower(), "@" + value.lower().split("@")[-1]}
+            elif kind == "ip":
+                named |= {value, "net" + ".".join(value.split(".")[:3])}
+            else:
+                digits = re.sub("[^0-9]", "", value)
+                named |= {kind + digits, kind + "s" + digits[: 6 if kind == "card" else 5]}
+        held[text] = named
+        cut = "".join(" " if any(a <= i < b for a, b in spans) else c for i, c in enumerate(text))
+        beside[text] = set(term.findall(cut.lower()))
+        words[text] = set(term.findall(text.lower()))
+
+    def classes(t):
+        return t[: -(-len(t) // 2)] + "*", t[0] + "**"
+
+    def share(n_term, n_entity, both):
+        rate = n_entity / max(2, len(texts))
+        return math.log2((both + prior * rate) / (n_term + prior) / rate) / -math.log2(rate) if rate < 1 else 0.0
+
+    out = {}
+    for entity in set().union(*held.values()):
+        near = [t for t in texts if entity in held[t]]
+        if len(near) < support:
+            continue
+        for t in set().union(*(beside[x] for x in near)):
+            both = sum(t in beside[x] for x in near)
+            with_entities = sum(t in beside[x] for x in texts if any(sum(e in held[y] for y in texts) >= support for e in held[x]))
+            n_term = max(sum(t in words[x] for x in texts), with_entities)
+            if both < support or share(n_term, len(near), both) < at:
+                continue
+            level = 3
+            for k, c in reversed(list(enumerate(classes(t)))):
+                among = sum(any(c in classes(w) for w in beside[x]) for x in near)
+                if share(max(among, sum(any(c in classes(w) for w in words[x]) for x in texts)), len(near), among) < at:
+                    level = k + 1
+            for x in near:
+                if t in beside[x]:
+                    out.setdefault(x, {})[t] = max(out.get(x, {}).get(t, 0), level)
+    return out
+
+
+def test_disclosure_is_that_of_its_definition(spark):
+    rng = random.Random(4)
+    common = [f"{a}{b}" for a in "abcdefgh" for b in ("alu", "ore", "in")]
+    texts = []
+    for i in range(160):
+        words = rng.choices(common, k=12)
+        if i % 5 == 0:
+            team = rng.randrange(3)
+            words += [f"Code{team}x", f"zulu-{team}", f"me{i}@team{team}.org", "aluminium" if team else "kilo"]
+        if i % 11 == 0:
+            words += [f"10.0.{i % 2}.{i}", f"rack{i % 2}", "+49 170 1234567"]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:9] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    wide, names = pii.found(docs)
+    got = {r.text: dict(zip(r.told, r.levels, strict=True)) for r in wide.select("text", F.col(names["told"]).alias("told"), F.col(names["levels"]).alias("levels")).collect() if r.told}
+    want = brute_actions([t or "" for t in texts])
+    assert got == want and {k for held in want.values() for k in held.values()} >= {2, 3}
+
+
+def test_long_texts_with_many_spans(spark):
+    text = "".join(f"words before u{i}@h{i}.org and after \U0001f600 " for i in range(1500))
+    docs = spark.createDataFrame([(1, text), (2, "a@b.cd"), (3, "x" * 9000 + " a@b.cd")], "doc_id int, text string")
+    out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert out[1] == re.sub(r"u\d+@h\d+\.org", "[EMAIL]", text) and out[2] == "[EMAIL]" and out[3] == "x" * 9000 + " [EMAIL]"
+    (spans,) = docs.filter("doc_id = 1").select(pii.described(pii.base_spans(F.col("text")))).first()
+    assert spans == brute_spans(text)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1><ul><li><a href="/">Home</a></ul></header>
 <div class="cookie-banner">We use cookies for the best of all that is on this site and for you and us.</div>
 <main><article><h1>Heading &amp; more</h1><p>The first paragraph is about   the weather &#233; and it is one of the longest in the text.</p><div class="advert">Buy one of the best that there is for all of you and for the rest of us now.</div>
