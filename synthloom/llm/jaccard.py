@@ -13,20 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthloom.llm.common import discard, fresh, measured, slices, table, text_of, written
+from synthloom.llm.common import discard, fresh, measured, slices, table, text_key, text_of, written
 from synthloom.llm.components import components
 from synthloom.llm.recompression import mixed, window_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: MinHash values, and how many of them make a band: texts at the threshold share none of 32 bands once in 2e7 pairs.
-HASHES, BAND = 128, 4
+#: MinHash values, and the chance that texts at the threshold share none of their bands (0.8: bands of 4, once in 2e7 pairs).
+HASHES, MISSED = 128, 1e-6
 #: A pair is dropped when the posterior probability that it reaches the threshold falls below this.
 TOLERANCE = 1e-6
 #: Values compared so far at each look.
 LOOKS = (8, 16, 32, 64, 128)
-#: Texts of a bucket, or of a component, that meet in a task; larger groups are dealt out in blocks of this size.
-BUCKET_BLOCK, EXACT_BLOCK = 512, 256
+#: Texts of a bucket, or of a component, that meet in a task; larger groups are dealt out in blocks of this size. A
+#: component's blocks hold so many shingles at most on average, too: texts may be long.
+BUCKET_BLOCK, EXACT_BLOCK = 512, 128
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
@@ -74,12 +76,20 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, lo
     return out
 
 
+def band_width(threshold: float = THRESHOLD) -> int:
+    """The most values a band can have for pairs at the threshold to share one but for a chance of MISSED."""
+    fit = [r for r in range(1, HASHES + 1) if (1 - threshold**r) ** (HASHES // r) <= MISSED]
+    if not fit:
+        raise ValueError(f"{HASHES} values can't find pairs of similarity {threshold}")
+    return max(fit)
+
+
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(_id, _key, _set, _size, _sig, _short): per row its text's hash, its shingle set's hash and size, MinHash values whole and by their upper halves."""
     text = text_of(docs[text_col])
-    keyed = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("_text"))
+    keyed = docs.select(docs[id_col].alias("_id"), text_key(text).alias("_key"), text.cast("binary").alias("_text"))
     schema = T.StructType(
-        [T.StructField("_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("_key long, _set long, _size int, _sig binary, _short binary").fields]
+        [T.StructField("_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("_key binary, _set long, _size int, _sig binary, _short binary").fields]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +114,10 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
     return keyed.mapInArrow(sign, schema)
 
 
-def _blocks(rows: DataFrame, group: str, count: str, size: int) -> DataFrame:
-    """rows with _lo, _hi, _mine: of the groups with more than `size` rows, each row goes to the tasks that pair its block with every block."""
-    n = F.ceil(F.col(count) / size).cast("int")
-    mine = F.pmod(F.xxhash64("_set"), n).cast("int")
-    dealt = rows.withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0), n - 1)))
+def _blocks(rows: DataFrame, n: str) -> DataFrame:
+    """rows with _lo, _hi, _mine: of groups that are cut in n blocks, each row goes to the tasks that pair its block with every block."""
+    mine = F.pmod(F.xxhash64("_set"), F.col(n)).cast("int")
+    dealt = rows.withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     return dealt.withColumn("_lo", F.least("_mine", "_with")).withColumn("_hi", F.greatest("_mine", "_with")).drop("_with")
 
 
@@ -156,13 +165,29 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _likely(batches: Iterator[pa.RecordBatch], keep: list[int]) -> Iterator[pa.RecordBatch]:
+def _surviving(short: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, keep: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs i, j that sizes allow and that no look at their MinHash values drops."""
+    fits = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+    i, j = i[fits], j[fits]
+    equal = np.zeros(len(i), np.int32)
+    for k, (done, look) in enumerate(zip((0, *LOOKS), LOOKS, strict=False)):
+        equal = equal + (short[i, done:look] == short[j, done:look]).sum(axis=1)
+        stays = equal >= keep[k]
+        i, j, equal = i[stays], j[stays], equal[stays]
+    return i, j
+
+
+def _values(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("_short").to_pylist()), np.uint16).reshape(rows.num_rows, HASHES)
+
+
+def _likely(batches: Iterator[pa.RecordBatch], keep: list[int], threshold: float) -> Iterator[pa.RecordBatch]:
     """Of each bucket task, links (a, b) that join what pairs surviving the incremental comparison join."""
     for rows, starts in _whole_groups(batches, ["_bucket", "_lo", "_hi"]):
         sets = rows.column("_set").to_numpy()
         size = rows.column("_size").to_numpy()
         mine, lo, hi = (rows.column(c).to_numpy() for c in ("_mine", "_lo", "_hi"))
-        short = np.frombuffer(b"".join(rows.column("_short").to_pylist()), np.uint16).reshape(len(sets), HASHES)
+        short = _values(rows)
         ends = np.repeat(starts[1:], np.diff(starts))
         after = ends - np.arange(len(sets)) - 1
         kept_i, kept_j = [], []
@@ -172,13 +197,8 @@ def _likely(batches: Iterator[pa.RecordBatch], keep: list[int]) -> Iterator[pa.R
             a = np.arange(at, min(upto, len(sets)))
             i = np.repeat(a, after[a])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[a]) - after[a], after[a])
-            fits = ((lo[i] == hi[i]) | (mine[i] != mine[j])) & (np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j]) - 1e-9)
-            i, j = i[fits], j[fits]
-            equal = np.zeros(len(i), np.int32)
-            for k, (done, look) in enumerate(zip((0, *LOOKS), LOOKS, strict=False)):
-                equal = equal + (short[i, done:look] == short[j, done:look]).sum(axis=1)
-                stays = equal >= keep[k]
-                i, j, equal = i[stays], j[stays], equal[stays]
+            apart = (lo[i] == hi[i]) | (mine[i] != mine[j])
+            i, j = _surviving(short, size, i[apart], j[apart], keep, threshold)
             kept_i.append(i)
             kept_j.append(j)
             at = int(a[-1]) + 1
@@ -187,38 +207,45 @@ def _likely(batches: Iterator[pa.RecordBatch], keep: list[int]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(sets[tied]), pa.array(sets[root[tied]])], names=["a", "b"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
-    """Of each component task, every text's exact links: (_set, the rows linked to it, a text that they tie it to)."""
+def _verified(batches: Iterator[pa.RecordBatch], keep: list[int], threshold: Fraction) -> Iterator[pa.RecordBatch]:
+    """Of each component task, every text's exact links: (_set, the rows linked to it, a text that they tie it to).
+
+    Pairs are pruned by their MinHash values first; only what survives is looked up in the shingle sets.
+    """
     for rows, starts in _whole_groups(batches, ["_component", "_lo", "_hi"]):
         columns = {c: rows.column(c).to_numpy() for c in ("_set", "_copies", "_mine", "_lo", "_hi")}
-        lists = rows.column("_shingles").to_pylist()
+        short = _values(rows)
+        lists = rows.column("_shingles")
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             # rows that repeat id and text bring the same set more than once
             at = a + np.unique(columns["_set"][a:b], return_index=True)[1]
             sets, copies = columns["_set"][at], columns["_copies"][at]
-            shingles = [np.frombuffer(lists[k], np.uint64) for k in at]
+            shingles = [np.frombuffer(lists[int(k)].as_py(), np.uint64) for k in at]
+            size = np.array([len(x) for x in shingles])
             within = columns["_lo"][a] == columns["_hi"][a]
             left = np.flatnonzero(columns["_mine"][at] == columns["_lo"][a])
             right = left if within else np.flatnonzero(columns["_mine"][at] == columns["_hi"][a])
-            size = np.array([len(x) for x in shingles])
-            common = _intersections(shingles, left, right)
-            near = common * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[left][:, None] + size[right][None, :])
+            i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
             if within:
-                np.fill_diagonal(near, False)
-            linked = np.zeros(len(at), np.int64)
-            linked[left] += near @ copies[right]
-            if not within:
-                linked[right] += copies[left] @ near
-            i, j = np.nonzero(near)
-            root = _roots(len(at), left[i], right[j])
+                i, j = i[i < j], j[i < j]
+            i, j = _surviving(short[at], size, i, j, keep, float(threshold))
+            common = _intersections(shingles, i, j)
+            near = common * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[i] + size[j])
+            i, j = i[near], j[near]
+            linked = np.bincount(i, copies[j], len(at)) + np.bincount(j, copies[i], len(at))
+            root = _roots(len(at), i, j)
             some = linked > 0
-            yield pa.RecordBatch.from_arrays([pa.array(sets[some]), pa.array(linked[some]), pa.array(sets[root][some])], names=["_set", "_linked", "_root"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets[some]), pa.array(linked[some].astype(np.int64)), pa.array(sets[root][some])], names=["_set", "_linked", "_root"])
 
 
-def _intersections(shingles: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many shingles each left text has in common with each right one; shingles of one text only are left out first."""
-    values, inverse, count = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(shingles)), [len(x) for x in shingles])
+def _intersections(shingles: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles texts i and j have in common, pair by pair; shingles of one text only are left out first."""
+    if not len(i):
+        return np.zeros(0, np.int64)
+    left, right = np.unique(i), np.unique(j)
+    asked = np.union1d(left, right)
+    values, inverse, count = np.unique(np.concatenate([shingles[k] for k in asked]), return_inverse=True, return_counts=True)
+    doc = np.repeat(asked, [len(shingles[k]) for k in asked])
     shared = count[inverse] > 1
     doc, column = doc[shared], (np.cumsum(count > 1) - 1)[inverse[shared]]
     order = np.argsort(column, kind="stable")
@@ -230,7 +257,7 @@ def _intersections(shingles: list[np.ndarray], left: np.ndarray, right: np.ndarr
         present = np.zeros((len(shingles), min(4096, n - at)), np.float32)
         present[doc[a:b], column[a:b] - at] = 1
         out += present[left] @ present[right].T
-    return out.astype(np.int64)
+    return out[np.searchsorted(left, i), np.searchsorted(right, j)].astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,14 +265,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
     1. Rows of equal shingle sets (copies) are one text from here on.
     2. Texts that share a band of MinHash values are compared a few values at a time and dropped once the posterior
-       probability of reaching the threshold is below TOLERANCE. Buckets of any size are done in full, in blocks.
-    3. What the survivors join is compared pair by pair on whole shingle sets, in blocks. Tasks return a text's number of
-       links and one text that they tie it to, not the pairs, so rows grow with the texts and not with their square.
+       probability of reaching the threshold is below TOLERANCE. Buckets of any size are done in full, in blocks. What
+       survives is kept as the components that it joins, not as pairs: a group of m texts has m^2 / 2 of these.
+    3. In the blocks of a component, the pairs that survive the same comparison are verified on whole shingle sets. Tasks
+       return a text's number of links and one text that they tie it to, so rows grow with the texts, not their square.
 
     Returns _id (as id_col), _key (hash of the text), class_id and class_key (the least id and its text's hash in the class,
     a class being what links connect), n_links. Texts without a word have no link and are classes of their own; null ids
-    sort before others; repeated rows are copies; an empty table gives no row; other columns are not read.
+    sort before others; repeated rows are copies; an empty table gives no row; very long texts meet few others in a task;
+    other columns are not read, so their names (class_id among them) don't matter, but id_col can't be named like a result.
     """
+    width = band_width(threshold)
     marked = written(_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     texts = written(
         marked.filter("_size > 0")
@@ -259,34 +289,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
         ),
         "texts",
     )
-    bands = F.array(*(F.xxhash64(F.lit(b), F.substring("_sig", 4 * BAND * b + 1, 4 * BAND)) for b in range(HASHES // BAND)))
+    bands = F.array(*(F.xxhash64(F.lit(b), F.substring("_sig", 4 * width * b + 1, 4 * width)) for b in range(HASHES // width)))
     rows = texts.select("_set", F.explode(bands).alias("_bucket"))
     full = written(rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_in")).filter("_in > 1"), "buckets")
-    met = _blocks(rows.join(measured(full), "_bucket"), "_bucket", "_in", BUCKET_BLOCK).drop("_in")
+    n_blocks = F.ceil(F.col("_in") / BUCKET_BLOCK).cast("int")
+    met = _blocks(rows.join(measured(full), "_bucket").withColumn("_in", n_blocks), "_in").drop("_in")
     keep = least_matches(threshold)
     compared = _grouped(met.join(texts.select("_set", "_size", "_short"), "_set"), ["_bucket", "_lo", "_hi"])
-    likely = components(compared.mapInArrow(lambda x: _likely(x, keep), "a long, b long"))
+    likely = components(compared.mapInArrow(lambda x: _likely(x, keep, threshold), "a long, b long"))
     likely = written(likely.select(F.col("node").alias("_set"), F.col("root").alias("_component")), "likely")
     discard(full)
 
-    counts = likely.groupBy("_component").agg(F.count(F.lit(1)).alias("_in"))
-    sizes = written(counts, "component-sizes")
-    wanted = likely.join(measured(sizes), "_component").join(texts.select("_set", "_copies", "_rep"), "_set")
-    wanted = written(wanted.select("_set", "_component", "_in", "_copies", F.col("_rep._id").alias("_rid"), F.col("_rep._key").alias("_key")), "wanted")
+    held = likely.join(texts.select("_set", "_size", "_copies", "_rep", "_short"), "_set")
+    n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / EXACT_BLOCK, F.sum("_size") / BLOCK_SHINGLES)).cast("int")
+    sizes = written(held.groupBy("_component").agg(n_blocks.alias("_in")), "component-sizes")
+    wanted = held.join(measured(sizes), "_component")
+    wanted = written(wanted.select("_set", "_component", "_in", "_copies", "_short", F.col("_rep._id").alias("_rid"), F.col("_rep._key").alias("_key")), "wanted")
     text = text_of(docs[text_col])
-    keyed = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("_text"))
-    sources = keyed.join(measured(wanted, row_bytes=96), "_key").filter(F.col("_id").eqNullSafe(F.col("_rid"))).select("_set", "_component", "_in", "_copies", "_text")
+    keyed = docs.select(docs[id_col].alias("_id"), text_key(text).alias("_key"), text.cast("binary").alias("_text"))
+    sources = keyed.join(measured(wanted, row_bytes=384), "_key").filter(F.col("_id").eqNullSafe(F.col("_rid"))).select("_set", "_component", "_in", "_copies", "_short", "_text")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run, some in slices(batch, "_text"):
                 sets = pa.array([s.tobytes() for s in shingle_sets(some, shingle)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(run.column(c) for c in ("_set", "_component", "_in", "_copies")), sets], names=["_set", "_component", "_in", "_copies", "_shingles"])
+                yield pa.RecordBatch.from_arrays([*(run.column(c) for c in kept), sets], names=[*kept, "_shingles"])
 
-    expanded = sources.mapInArrow(expand, "_set long, _component long, _in long, _copies long, _shingles binary")
-    tasks = _grouped(_blocks(expanded, "_component", "_in", EXACT_BLOCK), ["_component", "_lo", "_hi"])
+    kept = ("_set", "_component", "_in", "_copies", "_short")
+    expanded = sources.mapInArrow(expand, "_set long, _component long, _in int, _copies long, _short binary, _shingles binary")
+    tasks = _grouped(_blocks(expanded, "_in").drop("_in"), ["_component", "_lo", "_hi"])
     exact = Fraction(str(threshold))
-    links = written(tasks.mapInArrow(lambda x: _verified(x, exact), "_set long, _linked long, _root long"), "links")
+    links = written(tasks.mapInArrow(lambda x: _verified(x, keep, exact), "_set long, _linked long, _root long"), "links")
     classes = components(links.select(F.col("_set").alias("a"), F.col("_root").alias("b"))).select(F.col("node").alias("_set"), "root")
     linked = links.groupBy("_set").agg(F.sum("_linked").alias("_linked"))
 
@@ -310,14 +343,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class of near_duplicates(): the one of least id. Texts without a word all stay."""
+    """docs with one row of each class of near_duplicates(): the one of least id. Texts without a word all stay.
+
+    Of rows that repeat id and text one stays, any of them; null ids are least; an empty table stays empty; texts of any
+    length are read whole; other columns are carried along, whatever their names.
+    """
     found = near_duplicates(docs, threshold, shingle, id_col, text_col)
     i, k = fresh(docs, "id"), fresh(docs, "key")
     stays = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("_key") == F.col("class_key"))
     out_of = found.filter(F.col("n_links") > 0).select(F.col(id_col).alias(i), F.col("_key").alias(k), stays.alias("_stays"))
     judged = written(out_of.groupBy(i, k, "_stays").agg(F.count(F.lit(1)).alias("_rows")), "judged").select(i, k, "_stays", "_rows")
     gone, repeated = judged.filter(~F.col("_stays")).select(i, k), judged.filter("_stays and _rows > 1").select(i, k)
-    same = (F.xxhash64(text_of(docs[text_col])) == F.col(k)) & docs[id_col].eqNullSafe(F.col(i))
+    same = (text_key(docs[text_col]) == F.col(k)) & docs[id_col].eqNullSafe(F.col(i))
     kept = docs.join(measured(gone), same, "left_anti")
     if repeated.isEmpty():
         return kept
