@@ -51,6 +51,23 @@ def to_sharegpt(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.array(turn("human", human), turn("gpt", output)).alias("conversations"))
 
 
+def to_preference(df: DataFrame, *keep: str) -> DataFrame:
+    """prompt, chosen and rejected as texts; the prompt is the instruction with the input below it."""
+    instruction, given, _ = _turns(df)
+    asked = F.when(given == "", instruction).otherwise(F.concat(instruction, F.lit("\n\n"), given))
+    return df.select(*keep, asked.alias("prompt"), first_text(_text(df, "chosen")).alias("chosen"), first_text(_text(df, "rejected")).alias("rejected"))
+
+
+def to_preference_sharegpt(df: DataFrame, *keep: str) -> DataFrame:
+    """conversations, a human turn; chosen and rejected, a model's turn each."""
+    flat = to_preference(df, *keep)
+
+    def turn(who: str, said: str) -> Column:
+        return F.struct(F.lit(who).alias("from"), F.col(said).alias("value"))
+
+    return flat.select(*keep, F.array(turn("human", "prompt")).alias("conversations"), turn("gpt", "chosen").alias("chosen"), turn("gpt", "rejected").alias("rejected"))
+
+
 def output_fields(df: DataFrame, write_metadata: bool = True) -> DataFrame:
     """Columns that are written: none that begins with an underscore; without metadata, core fields only."""
     core = {c.lower() for c in CORE_FIELDS}

@@ -105,8 +105,19 @@ def judge(
     return kept.withColumn("judge_score", F.col("_judged.score")).withColumn("judge_reason", F.col("_judged.reason")).drop("_reply", "_judged")
 
 
+#: The margin of a pair that needs no judge.
+BUG_FIX_MARGIN = 4.0
+
+
 def preference_pairs(df: DataFrame, make: Maker, judge_of: Maker, min_chosen: float = 3.0, dataset_type: str = "explanation") -> DataFrame:
-    """Rows with chosen, rejected and margin: two replies to one prompt, the better scored first; ties and weak winners go."""
+    """Rows with chosen, rejected and margin: two replies to one prompt, the better scored first; ties and weak winners go.
+
+    A bug-fix reply holds both sides, the fixed code and the buggy one: these are the pair, and neither a second reply nor a
+    judge is asked for.
+    """
+    if prompt(dataset_type).name == "bug-fix":
+        made = generate(df, make, dataset_type).filter("fixed_code != buggy_code")
+        return made.withColumns({"chosen": F.col("fixed_code"), "rejected": F.col("buggy_code"), "chosen_score": F.lit(5.0), "margin": F.lit(BUG_FIX_MARGIN)})
     p = rendered(df, dataset_type)
     twice = p.withColumn("_a", completed(F.col("_messages"), make, Options(temperature=0.7))["raw"])
     again = F.concat(F.col("_messages"), F.array(message("user", F.lit("Answer once more, differently."))))

@@ -4,42 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthloom.functions.identity import body_sha, prompt_version, row_id
 from synthloom.tables import written
 
 
-def current_rows(symbols: DataFrame, dataset_type: str) -> DataFrame:
-    """What a dataset of all symbols would hold: (id, symbol_fqn, symbol_kind, dataset_type, prompt_version, body_sha)."""
+def facts(dataset_type: str) -> dict[str, Column]:
+    """What a manifest holds of a symbol: id, symbol_fqn, symbol_kind, dataset_type, prompt_version, body_sha."""
     s = F.col("symbol")
     kind = F.lit(dataset_type)
     version = prompt_version(kind)
-    return symbols.select(
-        row_id(s["fully_qualified_name"], kind, version).alias("id"),
-        s["fully_qualified_name"].alias("symbol_fqn"),
-        s["kind"].alias("symbol_kind"),
-        kind.alias("dataset_type"),
-        version.alias("prompt_version"),
-        body_sha(F.coalesce(s["body_text"], F.lit(""))).alias("body_sha"),
-    )
+    return {
+        "id": row_id(s["fully_qualified_name"], kind, version),
+        "symbol_fqn": s["fully_qualified_name"],
+        "symbol_kind": s["kind"],
+        "dataset_type": kind,
+        "prompt_version": version,
+        "body_sha": body_sha(F.coalesce(s["body_text"], F.lit(""))),
+    }
 
 
-def refuse_repeats(df: DataFrame, column: str, what: str) -> DataFrame:
-    """df, or an error that names a value that occurs twice (overloads share a name, for one)."""
-    twice = df.groupBy(column).count().filter("count > 1").head(1)
-    if twice:
-        raise ValueError(f"{what} {twice[0][0]!r} occurs {twice[0][1]} times")
-    return df
+def current_rows(symbols: DataFrame, dataset_type: str) -> DataFrame:
+    """What the manifest of a dataset of all symbols would hold."""
+    return symbols.select(*(c.alias(name) for name, c in facts(dataset_type).items()))
+
+
+def _once(df: DataFrame, what: str) -> DataFrame:
+    """(id, sha): an id that occurs twice raises when it is read (overloads share a name, for one)."""
+    held = df.groupBy("id").agg(F.max("body_sha").alias("sha"), F.count(F.lit(1)).alias("n"))
+    repeated = F.raise_error(F.concat(F.lit(f"{what} id "), F.col("id"), F.lit(" occurs "), F.col("n").cast("string"), F.lit(" times")))
+    return held.select("id", F.when(F.col("n") > 1, repeated.cast("string")).otherwise(F.col("sha")).alias("sha"))
 
 
 def diff(manifest: DataFrame | None, current: DataFrame) -> DataFrame:
-    """Each id with status new, unchanged, stale or orphan, and both hashes. No manifest: all is new."""
-    now = current.select("id", F.col("body_sha").alias("new_sha"))
+    """Each id with status new, unchanged, stale or orphan, and both hashes. No manifest: all is new. Ids must be unique on
+    either side; that is counted by the id that the join shuffles by, so it costs no shuffle of its own."""
+    now = _once(current, "current").withColumnRenamed("sha", "new_sha")
     if manifest is None:
         return now.select("id", F.lit("new").alias("status"), F.lit(None).cast("string").alias("old_sha"), "new_sha")
-    old = manifest.select("id", F.col("body_sha").alias("old_sha"))
+    old = _once(manifest, "manifest").withColumnRenamed("sha", "old_sha")
     status = (
         F.when(F.col("old_sha").isNull(), "new").when(F.col("new_sha").isNull(), "orphan").when(F.col("old_sha") == F.col("new_sha"), "unchanged").otherwise("stale")
     )
@@ -80,30 +85,34 @@ def apply(existing: DataFrame, manifest: DataFrame | None, current: DataFrame, m
     return numbered(updated.unionByName(new)), gone.select("id", "row_offset", *content)
 
 
-def numbered(rows: DataFrame, at: str = "_at") -> DataFrame:
-    """rows with row_offset from 0 by `at` (null last), then id: ranges are sorted apart and offset by the counts before them."""
+def numbered(rows: DataFrame, at: str = "_at", tie: str = "id") -> DataFrame:
+    """rows with row_offset from 0 by `at` (null last), then `tie`: ranges are sorted apart and offset by the counts before them."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(at).asc_nulls_last(), F.col("id").asc()]
+    order = [F.col(at).asc_nulls_last(), F.col(tie).asc()]
     ranged = written(rows.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_pid").count()  # a row a partition
     before = counts.select(F.col("_pid"), (F.sum("count").over(Window.orderBy("_pid")) - F.col("count")).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    return ranged.withColumn("_local", local).join(F.broadcast(before), "_pid").withColumn("row_offset", (F.col("_before") + F.col("_local") - 1).cast("int")).drop("_pid", "_local", "_before", at)
+    return ranged.withColumn("_local", local).join(F.broadcast(before), "_pid").withColumn("row_offset", F.col("_before") + F.col("_local") - 1).drop("_pid", "_local", "_before", at)
 
 
-POLICIES = ("ours", "theirs", "newer")
+POLICIES = ("ours", "theirs", "newer", "regenerate", "prompt")
 
 
 def merge(ours: DataFrame, theirs: DataFrame, policy: str = "newer") -> DataFrame:
-    """Two datasets' rows (id, body_sha, generated_at, ...) by id; where both have one and they differ, the policy decides. Of equally new ones, ours."""
+    """Two datasets' rows (id, body_sha, generated_at, ...) by id; where both have one and they differ, the policy decides.
+
+    Of equally new ones, ours. Under regenerate and prompt ours stay too, marked so that the caller makes these rows anew or
+    asks: `merged` is that policy's name instead of "conflict".
+    """
     if policy not in POLICIES:
         raise ValueError(f"unknown merge policy {policy!r}; known: {', '.join(POLICIES)}")
     content = [c for c in ours.columns if c != "id"]
     a = ours.select("id", F.lit(True).alias("_a"), *(F.col(c).alias(f"_a_{c}") for c in content))
     b = theirs.select("id", F.lit(True).alias("_b"), *(F.col(c).alias(f"_b_{c}") for c in content))
-    other = {"ours": F.lit(False), "theirs": F.lit(True), "newer": F.coalesce(F.col("_b_generated_at") > F.col("_a_generated_at"), F.lit(False)) if "generated_at" in content else F.lit(False)}[policy]
+    other = {"ours": F.lit(False), "theirs": F.lit(True), "newer": F.coalesce(F.col("_b_generated_at") > F.col("_a_generated_at"), F.lit(False)) if "generated_at" in content else F.lit(False), "regenerate": F.lit(False), "prompt": F.lit(False)}[policy]
     same = F.col("_a_body_sha") == F.col("_b_body_sha")
     use_b = F.col("_a").isNull() | (F.col("_b").isNotNull() & ~same & other)
-    side = F.when(F.col("_a").isNull(), "theirs").when(F.col("_b").isNull(), "ours").when(same, "same").otherwise("conflict")
+    side = F.when(F.col("_a").isNull(), "theirs").when(F.col("_b").isNull(), "ours").when(same, "same").otherwise(policy if policy in ("regenerate", "prompt") else "conflict")
     return a.join(b, "id", "full_outer").select("id", *(F.when(use_b, F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}")).alias(c) for c in content), side.alias("merged"))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
 import yaml
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from synthloom.operators import dedup, generate, sample
 from synthloom.operators.prompts import prompt
 from synthloom.sources.csharp import read_symbols
 from synthloom.sources.files import write_dataset
+from synthloom.tables import written
 
 Step = Callable[[SparkSession, DataFrame | None, Mapping], DataFrame]
 
@@ -39,13 +39,47 @@ class PipelineConfig:
 
 
 def load(text: str, environ: Mapping[str, str] | None = None) -> PipelineConfig:
-    """A configuration from YAML; ${NAME} stands for a variable of the environment."""
+    """A configuration from YAML. ${NAME} stands for a variable of the environment; a variable whose name is the path of a
+    value, with __ between keys and places (OUTPUT__DIR, STEPS__0__CONFIG__MAX_ROWS), overrides it. Keys are in snake_case or
+    PascalCase."""
     environ = os.environ if environ is None else environ
-    raw = yaml.safe_load(re.sub(r"\$\{(\w+)\}", lambda m: environ.get(m[1], m[0]), text)) or {}
-    steps = tuple(StepConfig(s["name"], s["type"], tuple(dict.fromkeys(s.get("depends_on") or ())), s.get("config") or {}) for s in raw.get("steps") or ())
+    raw = _snake_keys(yaml.safe_load(re.sub(r"\$\{(\w+)\}", lambda m: environ.get(m[1], m[0]), text)) or {})
+    for name, value in environ.items():
+        keys = [snake(x) for x in name.split("__")]
+        if len(keys) > 1 and keys[0] in ("name", "solution", "output", "steps"):
+            _put(raw, keys, value)
+    steps = tuple(StepConfig(s["name"], ALIASES.get(s["type"], s["type"]), tuple(dict.fromkeys(s.get("depends_on") or ())), s.get("config") or {}) for s in raw.get("steps") or ())
     return PipelineConfig(raw.get("name", "pipeline"), steps, raw.get("solution") or {}, raw.get("output") or {})
 
 
+def snake(key: str) -> str:
+    """DependsOn, dependsOn or DEPENDS_ON as depends_on."""
+    return (key if key.isupper() else re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key)).lower()
+
+
+def _snake_keys(value: object) -> object:
+    if isinstance(value, dict):
+        return {snake(str(k)): _snake_keys(v) for k, v in value.items()}
+    return [_snake_keys(v) for v in value] if isinstance(value, list) else value
+
+
+def _put(raw: object, keys: Sequence[str], value: str) -> None:
+    """Set what the keys lead to, as YAML reads the value; places in lists must exist."""
+    for k in keys[:-1]:
+        if isinstance(raw, list):
+            if not k.isdigit() or int(k) >= len(raw):
+                return
+            raw = raw[int(k)]
+        elif isinstance(raw, dict):
+            if raw.get(k) is None:
+                raw[k] = {}
+            raw = raw[k]
+        else:
+            return
+    if isinstance(raw, dict):
+        raw[keys[-1]] = yaml.safe_load(value)
+
+
 def _symbols(spark: SparkSession, _: DataFrame | None, c: Mapping) -> DataFrame:
     known = {"kinds": "symbol_kinds", **{k: k for k in ("min_complexity", "exclude_namespaces", "include_generated", "include_tests", "max_body_lines")}}
     return read_symbols(spark, c.get("solution_path") or c["path"], **{k: c[v] for k, v in known.items() if c.get(v) is not None})
@@ -72,6 +106,10 @@ def _dedup(_: SparkSession, df: DataFrame | None, c: Mapping) -> DataFrame:
 STEPS: dict[str, Step] = {"SymbolExtractor": _symbols, "StratifiedSampler": _sample, "LlmStep": _generate, "LlmJudge": _judge, "MinHashDeduplicator": _dedup}
 
 
+# Names that stand for these steps in other tools' files.
+ALIASES = {"RoslynSymbolExtractor": "SymbolExtractor"}
+
+
 def register_step(name: str, step: Step) -> None:
     STEPS[name] = step
 
@@ -125,7 +163,7 @@ def build(spark: SparkSession, config: PipelineConfig, max_rows: int | None = No
         rows[s.name] = Observation(s.name)
         df = STEPS[s.type](spark, given, c).observe(rows[s.name], F.count(F.lit(1)).alias("rows"))
         if consumers[s.name] > 1 and s.type in ("LlmStep", "LlmJudge"):
-            df = df.persist(StorageLevel.MEMORY_AND_DISK_2)
+            df = written(df, s.name)  # a lost executor must not pay for the calls again
         frames[s.name] = df
     return Built(frames, union([frames[n] for n, k in consumers.items() if not k]), rows)
 
@@ -159,9 +197,7 @@ output:
   format: jsonl
 """
     for name, kind, rows, provider in (
-        ("mixed", "explanation", 50000, "openai"),
-        ("explanation", "explanation", 10000, "openai"),
-        ("unit-test", "unit-test", 10000, "openai"),
+        *((f"{prefix}{name}", kind, rows, "openai") for prefix in ("", "dotnet-") for name, kind, rows in (("mixed", "explanation", 50000), ("explanation", "explanation", 10000), ("unit-test", "unit-test", 10000))),
         ("custom", "explanation", 1000, "offline"),
     )
 }

@@ -26,11 +26,21 @@ def error_text(body: str) -> str:
     text = ""
     if isinstance(found, dict):
         error = found.get("error")
-        text = error.get("message") if isinstance(error, dict) else error if isinstance(error, str) else found.get("message")
+        said = (error.get("message") if isinstance(error, dict) else error, found.get("message"))
+        text = next((x for x in said if isinstance(x, str) and x), "")
     text = text if isinstance(text, str) and text else body[:200]
     return text.strip().splitlines()[0] if text.strip() else ""
 
 
+# What services say of a model that they don't have.
+NO_MODEL = ("model_not_found", "does not exist", "invalid_model", "model not found")
+
+
+def model_not_found(status: int, body: str | None) -> bool:
+    """Whether an answer says that there is no such model."""
+    return status in (400, 404) and any(x in (body or "").lower() for x in NO_MODEL)
+
+
 def delay(header: str | None, attempt: int, base: float) -> float:
     """Seconds to wait: what the service asks for, as seconds or a date, else doubling from base."""
     if header:
@@ -55,6 +65,8 @@ def send(url: str, headers: Mapping[str, str], body: dict | None, retries: int =
                 return json.loads(answer.read())
         except urllib.error.HTTPError as e:
             said = e.read().decode("utf-8", "replace")
+            if model_not_found(e.code, said):
+                raise ProviderError(f"HTTP {e.code}: no such model: {error_text(said)}") from e
             if e.code not in RETRIED or attempt == retries:
                 raise ProviderError(f"HTTP {e.code}: {error_text(said)}") from e
             time.sleep(delay(e.headers.get("Retry-After"), attempt, wait))

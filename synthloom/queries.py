@@ -6,6 +6,7 @@ rule holds for methods only, `en` is the method kind.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -320,6 +321,34 @@ def minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.minhash_dedup(docs, "text").select("doc_id")
 
 
+@query(
+    "dedup_pairs",
+    f"""WITH {SIGNED}, slots AS (SELECT doc_id, unnest(range(128)) AS k, unnest(sig) AS v FROM sig)
+SELECT b.doc_id AS late, a.doc_id AS early, count(*)::BIGINT AS equal FROM slots a JOIN slots b ON a.k = b.k AND a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 109""",
+)
+def dedup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("_ord"), "text")
+    return dedup.dedup_pairs(docs, "text")
+
+
+@query(
+    "cosine_dedup",
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x))) > 0), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), earlier AS (SELECT b AS n, list(a) AS a FROM pairs GROUP BY b), o AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, coalesce(a, []) AS a FROM embeddings LEFT JOIN earlier ON n = vec_id
+), walk AS (
+  SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+  UNION ALL
+  SELECT o.i, CASE WHEN list_has_any(walk.kept, o.a) THEN walk.kept ELSE list_append(walk.kept, o.vec_id) END FROM walk JOIN o ON o.i = walk.i + 1
+)
+SELECT unnest(kept) AS vec_id FROM walk WHERE i = (SELECT count(*) FROM embeddings)""",
+)
+def cosine_dedup(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("vec_id").alias("_ord"), "embedding")
+    return dedup.cosine_dedup(vectors, "embedding", 0.95).select("vec_id")
+
+
 @query("exact_dedup", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(coalesce(text, ''))")
 def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("_ord"), "text"), "text").select("doc_id")
@@ -330,8 +359,8 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d)
     now = sync.current_rows(s, "explanation").join(s.select(F.col("symbol.fully_qualified_name").alias("symbol_fqn"), "doc_id"), "symbol_fqn")
     was = F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("body_sha"))
-    had = now.filter(F.col("doc_id") % 5 != 0).select("id", was.alias("body_sha"), F.col("doc_id").cast("int").alias("row_offset"))
-    gone = table(spark, d, "supplier").select(F.concat(F.lit("gone"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("gone").alias("body_sha"), (F.col("s_suppkey") + 100_000_000).cast("int").alias("row_offset"))
+    had = now.filter(F.col("doc_id") % 5 != 0).select("id", was.alias("body_sha"), F.col("doc_id").cast("long").alias("row_offset"))
+    gone = table(spark, d, "supplier").select(F.concat(F.lit("gone"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("gone").alias("body_sha"), (F.col("s_suppkey") + 100_000_000).cast("long").alias("row_offset"))
     return had.unionByName(gone)
 
 
@@ -396,7 +425,7 @@ for _policy in sync.ORPHANS:
   FROM diff WHERE status IN ('stale', 'unchanged'{", 'orphan'" if _policy == "keep" else ""})
   UNION ALL SELECT id, NULL, new_sha, 'new ' || id FROM diff WHERE status = 'new' AND id NOT LIKE 'f%'
 )
-SELECT id, body_sha, response, (row_number() OVER (ORDER BY pos NULLS LAST, id) - 1)::INT AS row_offset FROM kept""",
+SELECT id, body_sha, response, (row_number() OVER (ORDER BY pos NULLS LAST, id) - 1)::BIGINT AS row_offset FROM kept""",
     )(_sync(_policy))
 query("sync_archived", f"WITH {SYNC} SELECT id, 'old ' || id AS response FROM diff WHERE status = 'orphan'")(_sync("archive", True))
 
@@ -433,7 +462,7 @@ def exported(spark: SparkSession, d: str) -> DataFrame:
     def where(test: Column, value: Column) -> Column:
         return F.when(test, value)
 
-    t = F.substring("text", 1, 40)
+    t = F.col("text")
     return table(spark, d, "documents").select(
         "doc_id",
         where(k.isin(0, 1, 2, 3), F.concat(F.lit("do "), F.col("doc_id").cast("string"))).alias("instruction"),
@@ -451,7 +480,7 @@ def exported(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-EXPORTED = """e AS (SELECT doc_id, doc_id % 6 AS k, 'do ' || doc_id AS i, substr(text, 1, 40) AS t, lang, source FROM documents), x AS (
+EXPORTED = """e AS (SELECT doc_id, doc_id % 6 AS k, 'do ' || doc_id AS i, text AS t, lang, source FROM documents), x AS (
   SELECT doc_id, CASE WHEN k <= 3 THEN i WHEN k = 4 THEN t ELSE '' END AS instruction, CASE WHEN k IN (0, 1, 3) THEN t ELSE '' END AS input,
          CASE k WHEN 0 THEN lang WHEN 1 THEN 'fixed ' || source WHEN 2 THEN 'fixed ' || source || chr(10) || chr(10) || 'why' WHEN 3 THEN 'better' || chr(10) || chr(10) || 'why' WHEN 4 THEN 'because' ELSE t END AS output
   FROM e)"""
@@ -525,7 +554,7 @@ def stream_incremental_dedup(spark: SparkSession, d: str) -> DataFrame:
     from synthloom.streaming.incremental import exact_stream_dedup, run_batches
     from synthloom.tables import scratch
 
-    at = f"{scratch(spark)}/stream-{abs(hash(d))}-{spark.sparkContext.applicationId}"
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     firsts = exact_stream_dedup(stream.select("user_id", "event_type"), ["user_id", "event_type"])
     run_batches(firsts, lambda x: x, f"{at}/out", f"{at}/checkpoint").awaitTermination()

@@ -10,10 +10,10 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthloom.operators.filters import DEFAULT_KINDS, is_generated, symbols_kept
+from synthloom.operators.filters import DEFAULT_KINDS, is_generated, is_test_project, symbols_kept
 from synthloom.functions.text import truncate_lines
 from synthloom.schema import SYMBOL
 
@@ -25,6 +25,8 @@ _MEMBER = re.compile(
     r"((?:\b(?:public|internal|protected|private|static|virtual|override|abstract|async|sealed|readonly|new|extern|partial|unsafe|required)\s+)+)"
     r"(?:([\w.<>\[\],?]+(?:\s*<[^>;{}()]*>)?)\s+)?(\w+)\s*(<[^>(){;]*>)?\s*(\([^{};]*?\))?\s*(?:where[^{;]*?|:\s*(?:base|this)\s*\([^{};]*\)\s*)?(\{|=>|;)"
 )
+# in an interface, members need no modifier
+_PLAIN_MEMBER = re.compile(_MEMBER.pattern.replace(r"\s+)+)", r"\s+)*)", 1))
 _BRANCH = re.compile(r"\b(?:if|while|for|foreach|catch)\b|&&|\|\||\?\?(?!=)|(?<![?\w>\])])\?(?![?.\[])|(?<=[\w)\]])\s+\?(?![?.\[])\s|\bcase\b(?=[^:{};]*:)")
 _ARM = re.compile(r"\bswitch\s*\{")
 
@@ -44,20 +46,34 @@ def _closing(quiet: str, at: int) -> int:
     return len(quiet)
 
 
+def _arms(inner: str) -> int:
+    """The arms of a switch expression: its parts between commas that hold an arrow, brackets left to themselves."""
+    depth, flat = 0, []
+    for m in re.finditer(r"[(\[{]|[)\]}]|,|=>", inner):
+        if m[0] in "([{":
+            depth += 1
+        elif m[0] in ")]}":
+            depth -= 1
+        elif not depth:
+            flat.append(m[0])
+    return sum("=>" in part for part in " ".join(flat).split(","))
+
+
 def complexity(body: str) -> int:
     """1 and one for each branch: if, loops, catch, labels of case, arms of switch expressions, ?:, &&, ||, ??."""
     quiet = quieted(body)
     arms = 0
     for m in _ARM.finditer(quiet):
-        inner = quiet[m.end() : _closing(quiet, m.end() - 1)]
-        arms += inner.count("=>")
+        arms += _arms(quiet[m.end() : _closing(quiet, m.end() - 1) - 1])
     return 1 + len(_BRANCH.findall(quiet)) + arms
 
 
-def visible(modifiers: str) -> bool:
-    """Public, internal or protected internal; without a word on it, a member is private."""
+def visible(modifiers: str, in_interface: bool = False) -> bool:
+    """Public, internal or protected internal; without a word on it, a member is private, and public in an interface."""
     words = set(modifiers.split())
-    return "public" in words or "internal" in words
+    if in_interface and words.isdisjoint(("public", "internal", "protected", "private")):
+        return True
+    return "private" not in words and ("public" in words or "internal" in words)
 
 
 def symbols_in(code: str, path: str) -> list[dict]:
@@ -88,6 +104,7 @@ def symbols_in(code: str, path: str) -> list[dict]:
                 "file_path": path,
                 "complexity": complexity(body) if kind in ("method", "constructor") else 1,
                 "kind": kind,
+                "_at": m.start(),
             }
         )
 
@@ -99,10 +116,9 @@ def symbols_in(code: str, path: str) -> list[dict]:
         if m and (visible(m[1]) or not holder(start) and not m[1].strip()):
             add({"record struct": "record-struct", "record class": "record"}.get(" ".join(kind.split()), kind), m, name, code[start:end], code[start : m.end() - 1])
     starts = {t[0] for t in types}
-    for m in _MEMBER.finditer(quiet):
-        inside = holder(m.start())
-        if not inside or m.start() in starts or not visible(m[1]) or (m[2] or "") in ("class", "struct", "record", "interface", "enum", "delegate", "event"):
-            continue
+
+    def member(m: re.Match, inside: list[tuple]) -> int:
+        """Add a member, and return where it ends."""
         if m[6] == "{":
             end = _closing(quiet, m.end() - 1)
         elif m[6] == "=>":
@@ -111,15 +127,84 @@ def symbols_in(code: str, path: str) -> list[dict]:
             end = m.end()
         own = inside[-1][2].split("<")[0]
         kind = "constructor" if m[5] and not m[2] and m[3] == own else "method" if m[5] and m[2] else "property" if m[2] and not m[5] and m[6] != ";" else None
-        if kind:
+        if kind and visible(m[1], inside[-1][3] == "interface") and m[2] not in ("class", "struct", "record", "interface", "enum", "delegate", "event"):
             add(kind, m, m[3] + re.sub(r"\s+", "", m[4] or ""), code[m.start() : end], code[m.start() : m.end() - len(m[6])])
-    return out
+        return end
+
+    for m in _MEMBER.finditer(quiet):
+        inside = holder(m.start())
+        if inside and m.start() not in starts and inside[-1][3] != "interface":
+            member(m, inside)
+    for start, end, *_ in (t for t in types if t[3] == "interface"):
+        at = quiet.find("{", start, end) + 1
+        while at and (m := _PLAIN_MEMBER.search(quiet, at, end - 1)):
+            inside = holder(m.start())
+            nested = [t for t in inside if t[0] > start]
+            at = max(nested[0][1], m.start() + 1) if nested else max(member(m, inside), m.start() + 1)
+    return sorted(out, key=lambda x: x["_at"])
 
 
 #: What precedes the first token of a file: blanks, comments and directives, of any length.
 LEADING = r"^\x{FEFF}?(?:\s++|//[^\r\n]*+|#[^\r\n]*+|/\*(?s:.*?)\*/)*+"
 
 
+_PROJECT_LINE = r'(?m)^\s*Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+\.csproj)"'
+_REFERENCE = r'(?i)<(?:PackageReference|Reference)\s[^>]*?Include\s*=\s*"([^"]+)"'
+
+
+def _bare(path: Column) -> Column:
+    """A path without its scheme and authority."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"/[^/]*$", "")
+
+
+def _below(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(path, value) of the files below a folder, whole."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
+    return files.select(_bare(F.col("_metadata.file_path")).alias("path"), "value")
+
+
+def root_of(path: str) -> str:
+    """The folder that paths of symbols are relative to: a solution's or a project's own, or the folder itself."""
+    path = path.rstrip("/")
+    return path.rpartition("/")[0] or "." if path.lower().endswith((".sln", ".csproj")) else path
+
+
+def projects(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, name, test) of the projects of a solution, of one project, or of a folder: those of its first solution, or
+    else all projects below it."""
+    wanted = _below(spark, root_of(path), "*.csproj")
+    solution = None
+    if path.lower().endswith(".sln"):
+        solution = spark.read.text(path, wholetext=True).select(_bare(F.col("_metadata.file_path")).alias("path"), "value")
+    elif path.lower().endswith(".csproj"):
+        wanted = wanted.filter(F.element_at(F.split("path", "/"), -1) == path.rpartition("/")[2])
+    else:
+        solution = _below(spark, path, "*.sln").orderBy("path").limit(1)
+    if solution is not None and not solution.isEmpty():
+        named = solution.select(_folder(F.col("path")).alias("root"), F.explode(F.regexp_extract_all("value", F.lit(_PROJECT_LINE), F.lit(1))).alias("at"))
+        at = F.concat("root", F.lit("/"), F.regexp_replace(F.translate("at", "\\", "/"), r"^(\./)+", ""))
+        # a step up takes back the folder before it
+        for _ in range(8):
+            at = F.regexp_replace(at, r"/[^/]+/\.\.(?=/)", "")
+        wanted = wanted.join(named.select(at.alias("path")), "path", "left_semi")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.csproj$", "")
+    test = is_test_project(name, F.regexp_extract_all("value", F.lit(_REFERENCE), F.lit(1)))
+    return wanted.select(_folder(F.col("path")).alias("folder"), name.alias("name"), test.alias("test"))
+
+
+def _of_projects(files: DataFrame, known: DataFrame, include_tests: bool) -> DataFrame:
+    """The files that lie below a project, the nearest one above a file being its own; without those of test projects."""
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))
+    own = files.select("path", F.explode(above).alias("folder")).join(known.groupBy("folder").agg(F.max("test").alias("test")), "folder")
+    own = own.groupBy("path").agg(F.max_by("test", F.length("folder")).alias("test"))
+    return files.join(own if include_tests else own.filter(~F.col("test")), "path", "left_semi")
+
+
 def read_symbols(
     spark: SparkSession,
     path: str,
@@ -130,13 +215,24 @@ def read_symbols(
     include_tests: bool = False,
     max_body_lines: int = 0,
 ) -> DataFrame:
-    """Symbols of all .cs files below a folder: `symbol`, its flat columns, and _ord by file and place."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.cs").text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("file_path"), "value")
+    """Symbols of a .sln, a .csproj or a folder: `symbol`, its flat columns, and _ord by file and place.
+
+    Paths are relative to the solution, project or folder. Where there are projects, files outside of any are left out, and
+    those of test projects too unless asked for; a folder without projects gives all of its .cs files.
+    """
+    root = root_of(path)
+    files = _below(spark, root, "*.cs")
+    known = projects(spark, path)
+    if not known.isEmpty():
+        files = _of_projects(files, known, include_tests)
+    elif not include_tests:
+        files = files.filter(~F.col("path").rlike(r"(?i)\.(?:Tests|Test|UnitTests|IntegrationTests|AcceptanceTests)/"))
     if not include_generated:
-        files = files.filter(~is_generated(F.col("file_path"), F.lower(F.regexp_extract("value", LEADING, 0))))
-    if not include_tests:
-        files = files.filter(~F.col("file_path").rlike(r"(?i)\.(?:Tests|Test|UnitTests|IntegrationTests|AcceptanceTests)/"))
+        head = F.regexp_extract("value", LEADING, 0)
+        files = files.filter(~is_generated(F.col("path"), F.lower(head)))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getRawPath().rstrip("/")
+    files = files.select(F.substr("path", F.lit(len(whole) + 2)).alias("file_path"), "value")
     names = [f.name for f in SYMBOL.fields]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from datetime import UTC, datetime
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,22 +19,47 @@ from synthloom.schema import MANIFEST, MANIFEST_ROW
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """The rows of JSON lines. With a schema, that of its columns; without, one column `row`, a variant that keeps each
-    value's kind. Blank lines and lines that aren't JSON objects are skipped."""
-    lines = spark.read.text(path).filter(trim_ws(F.col("value")) != "")
-    objects = lines.filter(trim_ws(F.col("value")).startswith("{")).select(F.try_parse_json("value").alias("row"), "value").filter("row is not null")
+    value's kind. Blank lines and lines that aren't JSON objects are skipped; of a key that repeats the last value counts."""
+    return json_rows(spark.read.text(path), schema)
+
+
+def json_rows(lines: DataFrame, schema: T.StructType | None = None, *keep: str) -> DataFrame:
+    """read_jsonl() on lines in a column `value`, with the columns `keep` of them."""
+    lines = lines.filter(trim_ws(F.col("value")).startswith("{"))
+    parsed = F.try_parse_json("value")
+    # a repeated key is what else makes a JSON object unreadable as a variant
+    objects = lines.withColumn("value", F.when(parsed.isNull(), last_wins(F.when(parsed.isNull(), F.col("value")))).otherwise(F.col("value")))
+    objects = objects.select(*keep, F.try_parse_json("value").alias("row"), "value").filter("row is not null")
     if schema is None:
-        return objects.select("row")
-    return objects.select(F.from_json("value", schema).alias("r")).select("r.*")
+        return objects.select(*keep, "row")
+    return objects.select(*keep, F.from_json("value", schema).alias("r")).select(*keep, "r.*")
+
+
+def last_wins(value: Column) -> Column:
+    """A JSON object's text with one value for each key, the last one; null if it is no JSON."""
+
+    @F.pandas_udf("string")
+    def again(batch: pd.Series) -> pd.Series:
+        return pd.Series([_reread(x) for x in batch], dtype=object)
+
+    return again(value)
 
 
-def variant_columns(rows: DataFrame, *names: str) -> DataFrame:
+def _reread(value: str | None) -> str | None:
+    try:
+        return None if value is None else json.dumps(json.loads(value, parse_float=Decimal), ensure_ascii=False, allow_nan=False, default=float)
+    except ValueError:
+        return None
+
+
+def variant_columns(rows: DataFrame, *names: str, keep: Sequence[str] = ()) -> DataFrame:
     """Columns of strings from `row` variants: null where the value is of another kind."""
 
     def text(name: str) -> Column:
         v = F.try_variant_get("row", f"$.{name}", "variant")
         return F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).alias(name)
 
-    return rows.select(*(text(n) for n in names))
+    return rows.select(*keep, *(text(n) for n in names))
 
 
 FORMATS = ("jsonl", "csv", "parquet")
@@ -64,6 +92,34 @@ def write_manifest(rows: DataFrame, directory: str, source: dict | None = None)
     rows.sparkSession.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{manifest_path(directory)}/head")
 
 
+def manifest_head(spark: SparkSession, directory: str) -> dict | None:
+    """Version, time and source of the manifest; None if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        head = spark.read.text(f"{manifest_path(directory)}/head").first()
+    except AnalysisException:
+        return None
+    return json.loads(head[0]) if head else None
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """The values of rows(row_offset, value) as lines in that order: ranges of offsets are sorted apart, and files are read by name."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select("row_offset", "value").repartitionByRange(n, "row_offset").sortWithinPartitions("row_offset")
+    ordered.select("value").write.text(path)
+
+
+def replace(spark: SparkSession, new: str, old: str) -> None:
+    """Put the folder `new` in the place of `old`, whichever file system they are on."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    a, b = hadoop.Path(new), hadoop.Path(old)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(b, True)
+    if not fs.rename(a, b):
+        raise OSError(f"can't rename {new} to {old}")
+
+
 def read_manifest(spark: SparkSession, directory: str) -> DataFrame | None:
     """The manifest's rows; None if there is none."""
     from pyspark.errors import AnalysisException
@@ -89,10 +145,12 @@ def lines_with_offsets(spark: SparkSession, path: str) -> DataFrame:
     counts = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")).drop("n")
     local = F.row_number().over(Window.partitionBy("f", "b").orderBy("i")) - 1
-    return lines.withColumn("k", local).join(F.broadcast(before), ["f", "b"]).select((F.col("before") + F.col("k")).cast("int").alias("row_offset"), "value")
+    return lines.withColumn("k", local).join(F.broadcast(before), ["f", "b"]).select((F.col("before") + F.col("k")).alias("row_offset"), "value")
 
 
 def existing_rows(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(id, row_offset, value) of the lines a manifest lists; blank and broken ones are left out."""
-    lines = lines_with_offsets(spark, path).filter(F.try_parse_json("value").isNotNull() & trim_ws(F.col("value")).startswith("{"))
+    lines = lines_with_offsets(spark, path).filter(trim_ws(F.col("value")).startswith("{"))
+    broken = F.try_parse_json("value").isNull()
+    lines = lines.withColumn("value", F.when(broken, last_wins(F.when(broken, F.col("value")))).otherwise(F.col("value"))).filter("value is not null")
     return manifest.select("id", "row_offset").join(lines, "row_offset").select("id", "row_offset", "value")

@@ -1,4 +1,6 @@
 import itertools
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,15 +23,65 @@ def kept(spark, texts, partitions=1, **how):
     return sorted(values(dedup.minhash_dedup(df, **how), "_ord"))
 
 
-A = "the quick brown fox jumps over the lazy dog today again"
+def test_dedup_of_copies_and_rewordings(spark):
+    rng = random.Random(8)
+    base = [f"{rng.choice('bcdfg')}{i}" for i in range(120)]
+    one, other = " ".join(base), " ".join(reversed(base))
+    changed = " ".join(["first", *base[1:]])  # 118 of 122 three-word shingles in common
+    half = " ".join(base[:60] + [f"z{i}" for i in range(60)])
+    texts = [other, one, half, one.upper(), changed, other.replace(" ", ", "), "b1 c2", "b1", ""]
+    assert kept(spark, texts) == [0, 1, 2, 6, 7, 8]
+    assert kept(spark, texts, threshold=1.0) == [0, 1, 2, 4, 6, 7, 8]
+    assert kept(spark, []) == []
 
 
-def test_dedup_cases(spark):
-    how = {"threshold": 0.85, "num_hashes": 64, "shingle_size": 2}
-    assert kept(spark, ["one two three four", "five six seven eight", "nine ten eleven twelve"], **how) == [0, 1, 2]
-    assert kept(spark, [A, "something else is written here", A], **how) == [0, 1]
-    assert kept(spark, ["alpha", "beta", "gamma"], **how) == [0, 1, 2]
-    assert kept(spark, [A, A.replace("again", "twice")], threshold=0.7, num_hashes=128, shingle_size=2) == [0]
+def test_symbols_are_deduplicated_by_their_place(spark, tmp_path):
+    from synthloom.sources.csharp import read_symbols
+
+    body = " ".join(f"total += table[{i}] * {i};" for i in range(60))
+    for name in "BAC":
+        (tmp_path / f"{name}.cs").write_text(f"namespace N {{ public class {name} {{ public int Sum() {{ {body} return total; }} public int Own{name}() {{ return {ord(name)} + {name}; }} }} }}")
+    symbols = read_symbols(spark, str(tmp_path), ("method",)).withColumn("body", F.col("symbol.body_text"))
+    stay = dedup.minhash_dedup(symbols, "body")
+    assert sorted(values(stay, "name")) == ["OwnA", "OwnB", "OwnC", "Sum"] and values(stay.filter("name = 'Sum'"), "file_path") == ["A.cs"]
+    made = generate.generate(sample.sample(stay, 2), Offline)
+    assert made.count() == 2
+
+
+def test_pairs_and_first_come(spark):
+    texts = [" ".join(f"w{j}" for j in range(i, i + 40)) for i in range(0, 12, 2)] + ["x y z"]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "_ord string, response string")
+    pairs = {(r.late, r.early): r.equal for r in dedup.dedup_pairs(df, threshold=0.7, num_hashes=64, shingle_size=2).collect()}
+    assert pairs and all(a > b and n >= 45 for (a, b), n in pairs.items())
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "b"), ("z", "y")], "late string, early string")
+    assert sorted(values(dedup.first_come(edges), "o")) == ["b", "d", "z"]
+
+
+def test_dedup_of_a_large_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 8)
+    rng = random.Random(3)
+    texts = []
+    for i in range(90):
+        words = [f"w{j}" for j in range(50)]
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(50)] = f"v{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    assert kept(spark, texts, threshold=0.6, num_hashes=64, shingle_size=2) == brute(texts, 0.6, 64, 2)
+
+
+def test_cosine_dedup(spark):
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(120)]
+    vectors += [[x + rng.gauss(0, 0.15) for x in v] for v in vectors[:60]] + [[0.0] * 16, None]
+    stay = []
+    for i, v in enumerate(vectors):
+        def cosine(a, b):
+            return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+        if not v or not any(v) or not any(vectors[j] and any(vectors[j]) and cosine(v, vectors[j]) >= 0.97 for j in stay):
+            stay.append(i)
+    df = spark.createDataFrame(list(enumerate(vectors)), "_ord int, embedding array<double>")
+    assert sorted(values(dedup.cosine_dedup(df, threshold=0.97), "_ord")) == stay and 120 < len(stay) < 180
 
 
 def test_dedup_of_blank_texts(spark):
@@ -71,18 +123,33 @@ def test_exact_dedup(spark):
 
 
 def test_samples(spark):
-    df = spark.range(100).select(F.col("id").alias("_ord"), F.when(F.col("id") < 80, 1).otherwise(10).alias("complexity"))
-    assert sample.sample(df, 0).count() == 100
-    assert sample.sample(df.limit(5), 10).count() == 5
-    assert sample.uniform_sample(df, 25).count() == 25
-    heavy = values(sample.weighted_sample(df, 30), "complexity")
-    assert len(heavy) == 30 and sum(x == 10 for x in heavy) > 10
-    one = values(sample.uniform_sample(df, 20, 123), "_ord")
-    assert one == values(sample.uniform_sample(df.repartition(7), 20, 123), "_ord") == sorted(one)
+    df = spark.range(60).select(F.col("id").alias("_ord"), F.when(F.col("id") % 4 == 0, 9).when(F.col("id") % 4 == 1, -3).otherwise(None).alias("complexity"))
+    assert sample.sample(df, -1).count() == 60 and sample.sample(df, 61).count() == 60
+    for strategy in sample.STRATEGIES:
+        drawn = values(sample.sample(df, 17, strategy, 9), "_ord")
+        assert len(set(drawn)) == 17 and drawn == sorted(drawn) == values(sample.sample(df.repartition(5), 17, strategy, 9), "_ord")
+        assert drawn != values(sample.sample(df, 17, strategy, 10), "_ord")
     with pytest.raises(ValueError, match="unknown sampling"):
         sample.sample(df, 1, "best")
 
 
+def test_samples_draw_by_weight(spark):
+    # one of two rows is drawn first with the share of its weight; the rest follow the same rule
+    df = spark.range(40).select(F.col("id").alias("_ord"), F.when(F.col("id") < 10, 4).otherwise(1).alias("complexity"))
+    heavy = [sum(x == 4 for x in values(sample.weighted_sample(df, 8, seed=s), "complexity")) for s in range(12)]
+    rng = random.Random(0)
+    simulated = []
+    for _ in range(4000):
+        left, drawn = [4] * 10 + [1] * 30, 0
+        for _ in range(8):
+            at = rng.choices(range(len(left)), left)[0]
+            drawn += left.pop(at) == 4
+        simulated.append(drawn)
+    want = sum(simulated) / len(simulated)
+    assert abs(sum(heavy) / len(heavy) - want) < 1.2
+    assert sum(x == 9 for x in values(sample.weighted_sample(spark.range(120).select(F.col("id").alias("_ord"), F.when(F.col("id") < 90, 1).otherwise(9).alias("complexity")), 30), "complexity")) > 15
+
+
 def test_stratified_sample_takes_all_of_small_strata(spark):
     df = spark.range(1000).select(F.col("id").alias("_ord"), F.when(F.col("id") < 3, "rare").otherwise("often").alias("s"))
     assert dict(values(sample.stratified_sample(df, 10, "s").groupBy("s").count(), "s", "count")) == {"rare": 3, "often": 10}
@@ -134,6 +201,15 @@ def test_generate_cases(spark):
         generate.maker("nobody")
 
 
+def test_bug_fixes_are_pairs_by_themselves(spark):
+    class Never(OfflineJudge):
+        def complete(self, messages, options):
+            raise AssertionError("a judge was asked")
+
+    pairs = generate.preference_pairs(symbol_rows(spark, "x"), Fixing, Never, dataset_type="bug-fix")
+    assert values(pairs, "chosen", "rejected", "margin") == [("b", "a", generate.BUG_FIX_MARGIN)]
+
+
 def test_judge_drops_empty_outputs_before_the_call(spark):
     class Strict(OfflineJudge):
         def complete(self, messages, options):
@@ -181,8 +257,11 @@ def test_diff_cases(spark):
     assert set(values(sync.diff(None, now), "status")) == {"new"}
     assert sync.diff(old.limit(0), now.limit(0)).count() == 0
     assert sync.plan(sync.diff(old, now)).first().estimated_calls == 2
-    with pytest.raises(ValueError, match="occurs 2 times"):
-        sync.refuse_repeats(old.union(old), "id", "id")
+    for a, b in ((old.union(old), now), (old, now.union(now)), (None, now.union(now))):
+        with pytest.raises(Exception, match="occurs 2 times"):
+            sync.diff(a, b).collect()
+    theirs = now.withColumn("body_sha", F.lit("9"))
+    assert set(values(sync.merge(now, theirs, "regenerate"), "merged", "body_sha")) == {("regenerate", "1"), ("regenerate", "2")}
 
 
 def test_second_sync_makes_nothing(spark):
