@@ -7,104 +7,160 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthloom.llm.common import discard, measured, slices, table, text_of, written
-from synthloom.llm.recompression import LONGEST_PAIRED, ROUNDS, recompress, window_hashes
+from synthloom.llm.common import discard, measured, slices, table, text_key, text_of, written
+from synthloom.llm.recompression import LONGEST_PAIRED, ROUNDS, mixed, recompress, window_hashes
 
 WINDOW = 35
+#: Rows that a task tells apart at a time before they are shuffled.
+CHUNK = 1 << 20
 
 
-def _words(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of each text (bytes.split() parts at just the six spaces), all their hashes, and their numbers."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts (bytes.split() parts at just the six spaces), and each text's number of them."""
     words = [x.split() for x in texts]
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(w) for ws in words for w in ws), np.uint64, sum(map(len, words)))
-    return words, hashes, np.fromiter(map(len, words), np.int64, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter((digest(w) for ws in words for w in ws), np.uint64, int(lengths.sum())), lengths
 
 
-def _witnesses(hashes: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the symbols whose context fits in a window: name, document, ordinal in it, and the span of windows that hold the context.
+def _symbols(hashes: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols after the last round: name, document, ordinal in it, the span of windows that hold the context, and
+    whether one can: then the symbol is a witness of these windows.
 
-    A window that occurs twice holds the same witnesses both times. So one witness that occurs once shows that a window does.
+    A window that occurs twice holds the same witnesses both times. So a witness whose name occurs once among all symbols
+    shows that its windows do. (Elsewhere the same symbol may have a wider context, and be no witness: it counts all the same.)
     """
     s = recompress(hashes, lengths, ROUNDS, LONGEST_PAIRED)
-    fits = s.high - s.low <= window
-    name, low, high = s.name[fits], s.low[fits], s.high[fits]
     begins = np.cumsum(lengths) - lengths
-    doc = np.searchsorted(begins + lengths, low, side="right")
+    doc = np.searchsorted(begins + lengths, s.start, side="right")
     ordinal = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    return name, doc, ordinal, np.maximum(high - window, begins[doc]), low
+    return s.name, doc, ordinal, np.maximum(s.high - window, begins[doc]), s.low, s.high - s.low <= window
+
+
+def _told_apart(*key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with a key of one or two columns: which are the first of theirs, and which have a key that repeats."""
+    n = len(key[0])
+    order = np.lexsort(key[::-1])
+    new = np.ones(n, bool)
+    for k in key:
+        k = k[order]
+        new[1:] &= k[1:] == k[:-1]
+    new[1:] = ~new[1:]
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, n))
+    first, repeats = np.zeros(n, bool), np.zeros(n, bool)
+    first[order[starts]] = True
+    repeats[order] = np.repeat(sizes > 1, sizes)
+    return first, repeats
+
+
+def _once_a_task(parts: Iterator[tuple[np.ndarray, ...]], keys: int, names: list[str], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Rows of arrays, the first `keys` of them a key, with _kind by what a task's rows show: 0 the key is seen once, 1 it
+    repeats, and this row stands for all of them, 2 it repeats, and another row stands for it. Tasks with more than `chunk`
+    rows tell apart so many at a time; so a key has a row of kind 0 or 1 at most for each chunk, however many rows it has.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        first, repeats = _told_apart(*columns[:keys])
+        kind = np.where(repeats, np.where(first, 1, 2), 0).astype(np.int8)
+        batch = pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns), pa.array(kind)], names=[*names, "_kind"])
+        for at in range(0, batch.num_rows, 1 << 16):
+            yield batch.slice(at, 1 << 16)
 
+    for part in parts:
+        held.append(part)
+        if sum(len(x[0]) for x in held) >= chunk:
+            yield from flush()
+    if held:
+        yield from flush()
 
-def _source_rows(docs: DataFrame) -> DataFrame:
-    """One row for each text that is its own source; of copies, the rows with the least id."""
-    return docs.filter(F.col("_copies").isNull() | F.col("_id").eqNullSafe(F.col("_rep"))).select("_key", "_text")
+
+def _repeated(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """The columns of the rows of _once_a_task() whose key occurs more than once: as their task knew, or as another task's row shows.
+
+    Only one row for each key and task is shuffled: a key that most texts hold is no more work than the number of tasks.
+    """
+    met = rows.filter("_kind < 2").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return rows.filter("_kind > 0").select(*columns).unionByName(met.filter("_kind = 0 and _n > 1").select(*columns))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_key, _whole, _starts, _ends): what to remove from each text, by the hash of the text; texts without it have no row.
 
     1. Texts that several rows share are wholly repeated; one row of each stands for them below.
-    2. Recompression names the symbols of every text. Counting the names shows which occur once.
-    3. Windows all of whose witnesses occur twice or more, or that have none, are hashed, and the hashes counted: an exact
-       test, as no repeated window is missing among them.
+    2. Recompression names the symbols of every text, the same in all tasks. Counting names shows which occur once.
+    3. Windows all of whose witnesses occur twice or more, or that have none, are named by 128 bits of their words, and
+       those names counted: no repeated window is missing among them.
     """
-    text = text_of(docs[text_col])
-    keyed = docs.select(F.xxhash64(text).alias("_key"), docs[id_col].alias("_id"), text.cast("binary").alias("_text"))
+    chunk = CHUNK
+    keyed = docs.select(text_key(docs[text_col]).alias("_key"), docs[id_col].alias("_id"), text_of(docs[text_col]).cast("binary").alias("_text"))
     copies = keyed.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
     copies = written(copies, "copies")
-    sources = _source_rows(keyed.join(measured(copies, row_bytes=64), "_key", "left"))
+    sources = keyed.join(measured(copies, row_bytes=64), "_key", "left").filter(F.col("_copies").isNull() | F.col("_id").eqNullSafe(F.col("_rep")))
+    sources = written(sources.select(F.monotonically_increasing_id().alias("_t"), "_key", "_text"), "sources")
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run, texts in slices(batch, "_text"):
-                _, hashes, lengths = _words(texts)
-                name, doc, ordinal, _, _ = _witnesses(hashes, lengths, window)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), run.column("_key").take(pa.array(doc)), pa.array(ordinal.astype(np.int32))], names=["_name", "_key", "_ordinal"])
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                for run, texts in slices(batch, "_text"):
+                    name, doc, ordinal, *_ = _symbols(*_words(texts), window)
+                    yield name, run.column("_t").to_numpy()[doc], ordinal.astype(np.int32)
+
+        return _once_a_task(parts(), 1, ["_name", "_t", "_ordinal"], chunk)
 
-    named = written(sources.mapInArrow(symbols, "_name long, _key long, _ordinal int"), "symbols")
-    shared = written(named.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_name"), "shared-symbols")
-    marks = written(named.join(shared, "_name").groupBy("_key").agg(F.collect_list("_ordinal").alias("_shared")), "marks")
+    named = written(sources.select("_t", "_text").mapInArrow(symbols, "_name long, _t long, _ordinal int, _kind byte"), "symbols")
+    marks = _repeated(named, ["_name"], "_t", "_ordinal").groupBy("_t").agg(F.collect_list("_ordinal").alias("_shared"))
+    marks = written(marks, "marks")
     discard(named)
-    discard(shared)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run, texts in slices(batch, "_text"):
-                _, hashes, lengths = _words(texts)
-                _, doc, _, first, last = _witnesses(hashes, lengths, window)
-                lists = run.column("_shared")
-                of = np.searchsorted(doc, np.arange(len(texts)))
-                single = np.ones(len(doc), bool)
-                counts = np.diff(lists.offsets.to_numpy()) if lists.null_count == 0 else np.array([len(x) if x is not None else 0 for x in lists.to_pylist()])
-                single[np.repeat(of, counts) + lists.flatten().to_numpy()] = False
-                open_ = np.zeros(len(hashes) + 1, np.int64)
-                np.add.at(open_, first[single], 1)
-                np.add.at(open_, last[single] + 1, -1)
-                begins = np.cumsum(lengths) - lengths
-                where = np.repeat(np.arange(len(lengths)), lengths)
-                place = np.arange(len(hashes)) - begins[where]
-                at = np.flatnonzero((np.cumsum(open_)[: len(hashes)] == 0) & (place + window <= lengths[where]))
-                digest = window_hashes(hashes, window)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), run.column("_key").take(pa.array(where[at])), pa.array(place[at].astype(np.int32))], names=["_window", "_key", "_place"])
-
-    candidates = sources.join(marks, "_key", "left")
-    hashed = written(candidates.mapInArrow(windows, "_window long, _key long, _place int"), "windows")
-    twice = written(hashed.groupBy("_window").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_window"), "repeated-windows")
-    places = hashed.join(twice, "_window").groupBy("_key").agg(F.sort_array(F.collect_set("_place")).alias("_places"))
-    spans = places.select("_key", F.lit(False).alias("_whole"), *_merged(F.col("_places"), window))
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                for run, texts in slices(batch, "_text"):
+                    hashes, lengths = _words(texts)
+                    at, where, place = _open(hashes, lengths, run.column("_shared"), window)
+                    yield *(x[at] for x in (window_hashes(hashes, window), window_hashes(mixed(hashes), window))), run.column("_t").to_numpy()[where], place
+
+        return _once_a_task(parts(), 2, ["_window", "_window2", "_t", "_place"], chunk)
+
+    candidates = sources.select("_t", "_text").join(marks, "_t", "left")
+    hashed = written(candidates.mapInArrow(windows, "_window long, _window2 long, _t long, _place int, _kind byte"), "windows")
+    places = _repeated(hashed, ["_window", "_window2"], "_t", "_place").groupBy("_t").agg(F.sort_array(F.collect_set("_place")).alias("_places"))
+    places = written(places, "places")
+    spans = sources.select("_t", "_key").join(measured(places, "_places"), "_t").select("_key", F.lit(False).alias("_whole"), *_merged(F.col("_places"), window))
     copied = copies.select("_key", F.lit(True).alias("_whole"), F.array().cast("array<int>").alias("_starts"), F.array().cast("array<int>").alias("_ends"))
     out = written(spans.join(measured(copies.select("_key")), "_key", "left_anti").unionByName(copied), "spans")
-    discard(hashed)
-    discard(twice)
-    discard(marks)
+    for done in (copies, sources, marks, hashed, places):
+        discard(done)
     return out
 
 
+def _open(hashes: np.ndarray, lengths: np.ndarray, shared: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that no witness of a name seen once shows to occur once: place in hashes, document, place in it."""
+    _, doc, _, first, last, witness = _symbols(hashes, lengths, window)
+    of = np.searchsorted(doc, np.arange(len(lengths)))
+    counts = pc.fill_null(pc.list_value_length(shared), 0).to_numpy(zero_copy_only=False)
+    single = witness.copy()
+    single[np.repeat(of, counts) + shared.flatten().to_numpy()] = False
+    closed = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(closed, first[single], 1)
+    np.add.at(closed, last[single] + 1, -1)
+    begins = np.cumsum(lengths) - lengths
+    where = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(hashes)) - begins[where]
+    at = np.flatnonzero((np.cumsum(closed)[: len(hashes)] == 0) & (place + window <= lengths[where]))
+    return at, where[at], place[at].astype(np.int32)
+
+
 def _merged(places: Column, window: int) -> tuple[Column, Column]:
     """The starts and ends of the unions of the windows at the given places, which are in order."""
     starts = F.filter(places, lambda x, i: (i == 0) | (x > F.coalesce(F.get(places, i - 1), F.lit(-window)) + window))
@@ -118,13 +174,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     A window is `window` consecutive words of one text; it is repeated if the same words begin anywhere else, in the same
     text, another one or a copy. Returns id_col, text (kept words joined by one space), n_words, n_removed and kept_sha256.
     Null, empty and short texts have no window and lose nothing; repeated rows are copies of each other and lose all their
-    words if they have a window; null ids are kept; an empty table gives no row; other columns are not read.
+    words if they have a window; null ids are kept; texts of any length are read whole; an empty table gives no row; other
+    columns are not read, whatever their names.
 
-    Texts, names and windows are told apart by 64-bit hashes.
+    Texts and windows are told apart by 128 bits. Names of symbols have 64: two that collide only leave windows to be counted.
     """
     spans = repeated_spans(docs, window, id_col, text_col)
     text = text_of(docs[text_col])
-    keyed = docs.select(docs[id_col].alias(id_col), F.xxhash64(text).alias("_key"), text.cast("binary").alias("_text"))
+    keyed = docs.select(docs[id_col].alias(id_col), text_key(text).alias("_key"), text.cast("binary").alias("_text"))
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,8 +97,9 @@ def brute_kept(texts, window):
     return [" ".join(x for i, x in enumerate(w) if (d, i) not in gone) for d, w in enumerate(words)]
 
 
-@pytest.mark.parametrize("window", [35, 12])
-def test_repeats(spark, window):
+@pytest.mark.parametrize(("window", "chunk"), [(35, 1 << 20), (12, 50)])
+def test_repeats(spark, monkeypatch, window, chunk):
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
     rng = random.Random(4)
     passages = [[f"p{k}_{i}" for i in range(rng.randrange(20, 90))] for k in range(4)]
     texts = []
@@ -131,6 +133,29 @@ def test_symbols_are_the_same_wherever_their_context_is():
     assert inside(one, 30) == inside(two, 7) and len(inside(one, 30)) > 5
 
 
+@pytest.mark.parametrize("window", [8, 12, 20, 35])
+def test_no_repeated_window_is_closed(window):
+    rng = np.random.default_rng(window)
+    for trial in range(40):
+        passages = [rng.integers(1, 3 + trial * 5, window + 12, dtype=np.uint64) for _ in range(3)]
+        docs = [np.concatenate([rng.integers(1, 3 + trial * 5, rng.integers(0, 30), dtype=np.uint64), passages[rng.integers(3)][rng.integers(0, 8) :], rng.integers(1, 3 + trial * 5, rng.integers(0, 30), dtype=np.uint64)]) for _ in range(25)]
+        hashes, lengths = recompression.mixed(np.concatenate(docs)), np.array([len(d) for d in docs])
+        name, doc, ordinal, *_ = substrings._symbols(hashes, lengths, window)
+        _, repeats = substrings._told_apart(name)
+        shared = pa.array([ordinal[(doc == d) & repeats].tolist() or None for d in range(len(docs))], pa.list_(pa.int32()))
+        at, _, _ = substrings._open(hashes, lengths, shared, window)
+        seen = {}
+        for d, begin in enumerate(np.cumsum(lengths) - lengths):
+            for i in range(lengths[d] - window + 1):
+                seen.setdefault(tuple(hashes[begin + i : begin + i + window].tolist()), []).append(begin + i)
+        assert {i for places in seen.values() if len(places) > 1 for i in places} <= set(at.tolist())
+
+
+def test_keys_told_apart():
+    first, repeats = substrings._told_apart(np.array([5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 1], np.uint64))
+    assert first.tolist() == [True, True, False, True] and repeats.tolist() == [True, False, True, False]
+
+
 def test_window_hashes():
     x = np.tile(np.random.default_rng(5).integers(1, 2**60, 10, dtype=np.uint64), 5)
     h = recompression.window_hashes(x, 7)
