@@ -31,10 +31,10 @@ LENGTH, STOP_DENSITY = 70, 0.12
 #: A block whose links hold more than this share of its characters is decided to be navigation.
 LINK_DENSITY = 0.5
 
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title head button option".split())
+RAW = frozenset("script style template iframe object svg canvas textarea select title head button option".split())
 BLOCKS = frozenset(
     """address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3
-    h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
+    h4 h5 h6 head header hr html legend li main nav noscript ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 #: Blocks that HTML lets go unclosed: they end where the next block begins, and hold no others.
 LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr hr pre caption legend summary".split())
@@ -49,6 +49,8 @@ AROUND = OTHERS | frozenset(
     notices notification overlay pager pagination popup promo promoted promotion search share sharebar sharing sidebar signup
     skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets""".split()
 )
+#: Words in the class or id of an element within a line that put its text out.
+ADVERTS = frozenset("ad ads adsense advert advertisement advertisements advertising adverts promo promoted promotion sponsor sponsored".split())
 #: Ids of sections that mark comments inside a region too, where other ids are anchors.
 COMMENTS = frozenset("comment comments commentlist disqus".split())
 #: Parts of a class that say what an element lacks, goes with or is filed under, and parts that only say how it is laid out.
@@ -58,6 +60,7 @@ LAYOUT = frozenset(
     right row section text top wrap wrapper""".split()
 )
 MAIN = frozenset(("article", "main"))
+VOID = frozenset("area base br col embed img input link meta param source track wbr".split())
 
 # a tag ends before the next "<": so whatever is left open, each place is read once
 _TAG = re.compile(
@@ -130,6 +133,7 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
     links = regions = at = 0
     depth: Counter[str] = Counter()
     endless: set[str] = set()
+    muted: list[str] = []  # an advert within a line and the elements of its name inside; any block ends it
 
     def close(tag: str) -> None:
         nonlocal block
@@ -141,7 +145,7 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
         block = Block(tag, top.region, out, frozenset() if top.barred or out and not top.out else top.by)
 
     def say(text: str) -> None:
-        if text:
+        if text and not muted:
             block.pieces.append(text)
             if links:
                 block.linked += len(" ".join(text.split()))
@@ -155,6 +159,17 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
         if not name:
             continue
         name = name.lower()
+        if name in BLOCKS:
+            muted.clear()
+        elif muted and name == muted[0]:
+            if closing:
+                muted.pop()
+            else:
+                muted.append(name)
+        elif not closing and not muted and name not in RAW and name not in VOID and ("class" in attributes or "id" in attributes):
+            marks = attributes_of(attributes)
+            if not ADVERTS.isdisjoint(words_of(f"{marks.get('class', '')} {marks.get('id', '')}")):
+                muted.append(name)
         if closing:
             if name == "a":
                 links = max(0, links - 1)
@@ -192,6 +207,8 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
         if name not in HEADINGS:  # the id of a heading is an anchor
             ids = words_of(marks.get("id", ""))
             names |= ids & COMMENTS if name == "section" and stack[-1].region else ids
+        if name == "noscript" and not top.region:  # outside of articles it holds notices
+            names.add("notice")
         names -= but
         hidden = is_hidden(marks)
         if name in ("html", "body"):
@@ -237,6 +254,8 @@ def is_prose(text: str, linked: int) -> bool:
 def main_text(page: str) -> str:
     """The article of a page: its blocks joined by newlines.
 
+    An empty page gives an empty text. What browsers don't show (hidden elements) is left out.
+
     First pass: a block is other if it lies in what surrounds articles or is mostly links, text if it is long enough and
     has stop words enough, and undecided else. Second pass: an undecided block takes the label of the nearest decided
     neighbours in its region, those that surround articles aside; of two as near that disagree, text wins; where nothing

@@ -5,23 +5,30 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthloom.llm.common import slices, table
+from synthloom.llm.common import discard, slices, small, table, written
 
-#: Labelled rows that the model is fitted on at most, drawn from all of them by a hash, and training sequences cut from these.
-TRAIN_ROWS = 1500
+#: Labelled rows of each language that the model is fitted on at most, drawn from all of them by a hash; pieces that are cut
+#: from each one's whole text where it lies; and training sequences that are made of these.
+TRAIN_ROWS = 400
+PIECES = 8
 SEQUENCES, SEQUENCE = 5000, 32
+#: Words of more letters are left out of pieces: what comes to the driver is bounded in bytes, too.
+LONGEST_WORD = 64
 #: Hashed feature space.
 BITS = 16
 STEPS, RATE, DECAY = 50, 0.15, 1e-6
 #: Words of a chain that are taken in one block, and distinct words whose scores a worker keeps.
 BLOCK = 64
+#: Words of a text that are held at once; a longer text is one chain all the same, read twice.
+AT_ONCE = 1 << 17
 KNOWN_WORDS = 300_000
 NGRAMS = (2, 3, 4)
 AFFIXES = (1, 2, 3, 5)
@@ -31,8 +38,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_in(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, in lower case; runs of other signs that count as parts of words are none."""
+    return [w for w in _LETTERS.findall(text.lower()) if _is_word(w)]
+
+
+def _is_word(run: str) -> bool:
+    return run.isalpha() or any(map(str.isalpha, run))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,34 +102,52 @@ class Crf:
     weights: np.ndarray
     transitions: np.ndarray
 
-    def marginals(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Label probabilities of every word of several chains that lie one after another, by forward-backward.
+    def carries(self, psi: np.ndarray, inside: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """For each block, the matrix that carries the forward vector before it to that of its last word."""
+        total, _, k = psi.shape
+        step = np.exp(self.transitions)
+        carry = np.tile(np.eye(k), (total, 1, 1))
+        for t in range(BLOCK):
+            moved = carry @ step if t else np.where(begins[:, None, None], carry, carry @ step)
+            moved = moved * psi[:, t, None, :]
+            moved /= moved.sum(axis=(1, 2), keepdims=True)
+            carry = np.where(inside[:, t, None, None], moved, carry)
+        return carry
 
-        Chains are cut into blocks of BLOCK words. The matrix that carries a block's first forward vector to its last is
-        made for all blocks at once; chaining these gives each block its ends, and the words inside follow, again for all
-        blocks at once. The result is that of the word-by-word recursion.
-        """
-        k = emissions.shape[1]
+    def blocks(self, emissions: np.ndarray, lengths: np.ndarray, goes_on: bool) -> tuple[np.ndarray, ...]:
+        """Of chains cut into blocks: the number of each chain's blocks, the words' potentials, which of them there are, and
+        which blocks begin a chain (none if the first one goes on with an earlier part)."""
         n_blocks = -(-lengths // BLOCK)
-        total = int(n_blocks.sum())
-        if not total:
-            return np.zeros((0, k))
-        first_block = np.cumsum(n_blocks) - n_blocks
         chain = np.repeat(np.arange(len(lengths)), n_blocks)
-        number = np.arange(total) - first_block[chain]
+        number = np.arange(int(n_blocks.sum())) - (np.cumsum(n_blocks) - n_blocks)[chain]
         size = np.minimum(BLOCK, lengths[chain] - number * BLOCK)
         begin = (np.cumsum(lengths) - lengths)[chain] + number * BLOCK
         at = np.minimum(begin[:, None] + np.arange(BLOCK), len(emissions) - 1)
         inside = np.arange(BLOCK) < size[:, None]
         psi = np.exp(emissions - emissions.max(axis=1, keepdims=True))[at]
+        return n_blocks, psi, inside, (number == 0) & (not goes_on)
+
+    def marginals(self, emissions: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of every word of several chains that lie one after another, by forward-backward.
+
+        Chains are cut into blocks of BLOCK words. The matrix that carries a block's first forward vector to its last is
+        made for all blocks at once; chaining these gives each block its ends, and the words inside follow, again for all
+        blocks at once. The result is that of the word-by-word recursion. `before` and `after` are the forward and backward
+        vectors at the ends of the words where these are part of one longer chain.
+        """
+        k = emissions.shape[1]
+        if not len(emissions):
+            return np.zeros((0, k))
+        n_blocks, psi, inside, begins = self.blocks(emissions, lengths, before is not None)
+        total = len(psi)
+        first_block = np.cumsum(n_blocks) - n_blocks
         step = np.exp(self.transitions)
-        carry = np.tile(np.eye(k), (total, 1, 1))
-        for t in range(BLOCK):
-            moved = carry @ step if t else np.where((number == 0)[:, None, None], carry, carry @ step)
-            moved = moved * psi[:, t, None, :]
-            moved /= moved.sum(axis=(1, 2), keepdims=True)
-            carry = np.where(inside[:, t, None, None], moved, carry)
+        carry = self.carries(psi, inside, begins)
         enter, leave = np.ones((total, k)), np.ones((total, k))
+        if before is not None:
+            enter[0] = before
+        if after is not None:
+            leave[-1] = after
         for b in range(1, int(n_blocks.max())):
             now = first_block[n_blocks > b] + b
             v = np.einsum("ni,nij->nj", enter[now - 1], carry[now - 1])
@@ -130,7 +159,7 @@ class Crf:
         forward, backward = np.empty((total, BLOCK, k)), np.empty((total, BLOCK, k))
         v = enter
         for t in range(BLOCK):
-            moved = v @ step if t else np.where((number == 0)[:, None], v, v @ step)
+            moved = v @ step if t else np.where(begins[:, None], v, v @ step)
             moved = moved * psi[:, t]
             v = np.where(inside[:, t, None], moved / moved.sum(axis=1, keepdims=True), v)
             forward[:, t] = v
@@ -142,6 +171,15 @@ class Crf:
         both = (forward * backward)[inside]
         return both / both.sum(axis=1, keepdims=True)
 
+    def carried(self, emissions: np.ndarray, goes_on: bool) -> np.ndarray:
+        """The matrix that carries the forward vector before a part of a chain to that of its last word."""
+        _, psi, inside, begins = self.blocks(emissions, np.array([len(emissions)]), goes_on)
+        whole = np.eye(emissions.shape[1])
+        for carry in self.carries(psi, inside, begins):
+            whole = whole @ carry
+            whole /= whole.sum()
+        return whole
+
 
 def fitted(texts: list[str], langs: list[str], seed: int = 3) -> Crf:
     """A field fitted by gradient ascent (Adam) on the conditional likelihood of labelled word sequences.
@@ -225,29 +263,88 @@ class Reader:
             at = list(map(self.known.__getitem__, words))
         return self.table[np.array(at, np.int64)]
 
-    def predicted(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The label with the largest share of each text's words, and that share, as expected by the field."""
-        words = [[w for w in words_in(x) if w.isalpha() or any(map(str.isalpha, w))] for x in texts]
-        lengths = np.array([len(w) for w in words], np.int64)
-        if not self.model.labels or not lengths.sum():
+    def predicted(self, texts: list[str], at_once: int = AT_ONCE) -> tuple[list[str], list[float]]:
+        """The label with the largest share of each text's words, and that share, as expected by the field. Of labels that
+        tie the first one is taken."""
+        if not self.model.labels:
             return [UNDECIDED] * len(texts), [0.0] * len(texts)
-        p = self.model.marginals(self.emissions([w for ws in words for w in ws]), lengths)
-        sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+        short = [len(x) <= 2 * at_once for x in texts]  # words are parted by something
+        words = [words_in(x) if s else [] for x, s in zip(texts, short, strict=True)]
+        lengths = np.array([len(w) for w in words], np.int64)
+        sums = np.zeros((1, len(self.model.labels)))
+        if lengths.sum():
+            p = self.model.marginals(self.emissions([w for ws in words for w in ws]), lengths)
+            sums = np.concatenate([sums, np.cumsum(p, axis=0)])
         ends = np.cumsum(lengths)
-        share = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)[:, None]
+        share = sums[ends] - sums[ends - lengths]
+        for i, text in enumerate(texts):
+            if not short[i]:
+                lengths[i], share[i] = self.long(text, at_once)
+        share = share / np.maximum(lengths, 1)[:, None]
         best = share.argmax(axis=1)
         label = [self.model.labels[k] if n else UNDECIDED for k, n in zip(best, lengths, strict=True)]
         return label, np.where(lengths > 0, np.clip(share.max(axis=1), 0, 1), 0.0).tolist()
 
-
-def sampled(labelled: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """At most `rows` texts and languages, those of least hash of the id: the same ones however the table lies."""
-    order = F.xxhash64(labelled[id_col])
-    n = labelled.count()
-    # twice the share that is wanted always holds the least hashes, but for a chance of nothing; others aren't sorted
-    bound = -(2**63) + min(2**64 - 1, int((2 * rows / max(1, n) + 0.01) * 2**64))
-    some = labelled.select(labelled[text_col].alias("x"), labelled[lang_col].alias("y"), order.alias("h")).filter(F.col("h") <= bound)
-    got = some.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).orderBy("h", "x").limit(rows).collect()
+    def long(self, text: str, at_once: int = AT_ONCE) -> tuple[int, np.ndarray]:
+        """The number of a text's words and the expected number of each label, with at_once words held at a time: a first
+        reading carries the ends of all parts, a second one gives the words inside their marginals."""
+        text = text.lower()
+        k = len(self.model.labels)
+        carries = [self.model.carried(self.emissions(part), i > 0) for i, part in enumerate(_parts(text, at_once))]
+        before, after = [np.ones(k)], [np.ones(k)]
+        for carry in carries[:-1]:
+            v = before[-1] @ carry
+            before.append(v / v.sum())
+        for carry in carries[:0:-1]:
+            v = carry @ after[-1]
+            after.append(v / v.sum())
+        n, total = 0, np.zeros(k)
+        for i, part in enumerate(_parts(text, at_once)):
+            p = self.model.marginals(self.emissions(part), np.array([len(part)]), before[i] if i else None, after[len(carries) - 1 - i])
+            n, total = n + len(part), total + p.sum(axis=0)
+        return n, total
+
+
+def _parts(text: str, at_once: int) -> Iterator[list[str]]:
+    """The words of a text in lower case, so many at a time."""
+    words = (m[0] for m in _LETTERS.finditer(text) if _is_word(m[0]))
+    while part := list(islice(words, at_once)):
+        yield part
+
+
+def sampled(
+    labelled: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: int = PIECES
+) -> tuple[list[str], list[str]]:
+    """Pieces of texts and their languages, from at most `rows` rows of each language: those of least hash of id and text.
+
+    The same rows are drawn however the table lies, and rows that repeat are drawn once. A language's hashes are first cut
+    in random parts, so a frequent one isn't ranked in one task. Pieces are cut where the texts lie, at places drawn from the
+    hash, from anywhere in the whole text.
+    """
+    some = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    hashed = some.select(F.col(lang_col).alias("y"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("x"))
+    drawn = hashed.select("y", "h").distinct().withColumn("_part", F.pmod("h", F.lit(64)))
+    for by in (["y", "_part"], ["y"]):
+        drawn = drawn.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("_r") <= rows)
+    drawn = written(drawn.select("y", "h"), "drawn")
+    chosen = hashed.join(small(drawn, 48), ["y", "h"]).dropDuplicates(["y", "h"]).select("y", "h", "x")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, h, n, x = [], [], [], []
+            for lang, number, text in zip(*(batch.column(c).to_pylist() for c in ("y", "h", "x")), strict=True):
+                words = [w for w in words_in(text) if len(w) <= LONGEST_WORD]
+                rng = np.random.default_rng(number & (2**63 - 1))
+                for k in range(min(pieces, -(-len(words) // SEQUENCE))):
+                    at = int(rng.integers(max(1, len(words) - SEQUENCE + 1)))
+                    y.append(lang)
+                    h.append(number)
+                    n.append(k)
+                    x.append(" ".join(words[at : at + SEQUENCE]))
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(x, pa.string())], names=["y", "h", "n", "x"])
+
+    got = chosen.mapInArrow(cut, "y string, h long, n int, x string").orderBy("h", "y", "n").collect()
+    discard(drawn)
     return [r.x for r in got], [r.y for r in got]
 
 
@@ -255,13 +352,16 @@ def identified(docs: DataFrame, model: Crf, text_col: str = "text", label_col: s
     """docs with its text's language and the share of its words that are of it.
 
     Null texts and texts without a letter get "und" and 0; whole texts are read; other columns and repeated rows are kept,
-    but for columns that already have the new names, which are replaced.
+    but for columns that already have the new names, which are replaced. Of labels that tie the first in order is taken; an
+    empty table gives no row; a very long text is one chain, but only a part of its words is held at a time.
     """
     others = [c for c in docs.columns if c not in (label_col, score_col)]
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(label_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
+        reader = Reader(shared.value)
         for batch in batches:
             for run, texts in slices(batch, text_col):
                 label, score = reader.predicted(texts)

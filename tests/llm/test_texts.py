@@ -215,6 +215,57 @@ def test_extraction_takes_whole_names_for_marks():
         assert extraction.main_text(f'<div><p>{STORY}</p></div><div class="{name}"><p>{MORE}</p></div>') == STORY, name
 
 
+def test_extraction_of_what_lies_within_lines_and_scripts_off():
+    assert extraction.main_text(f"<article><noscript><p>{STORY}</p></noscript><p>{MORE}</p></article>") == f"{STORY}\n{MORE}"
+    assert extraction.main_text(f"<noscript>Please let scripts run, as the page is not to be seen without them.</noscript><article><p>{STORY}</p></article>") == STORY
+    assert extraction.main_text(f"<article><p>{STORY} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>") == f"{STORY} x=2"
+    assert extraction.main_text(f'<article><p>{STORY} <span class="advert">Buy <span>it</span> now</span><em>Yes.</em></p><p>{MORE}</p></article>') == f"{STORY} Yes.\n{MORE}"
+    assert extraction.main_text(f'<article><p>{STORY} <ins id="ad">not closed</p><p>{MORE} <span class="lead">Lead.</span></p></article>') == f"{STORY}\n{MORE} Lead."
+
+
+def brute_two_passes(parts):
+    """The rules on (text, characters in links) by their definition, each undecided block looking at all others."""
+    words = extraction._WORDS
+
+    def first(text, linked):
+        if linked > extraction.LINK_DENSITY * len(text):
+            return False
+        found = words.findall(text.lower())
+        stops = sum(w in extraction.STOP_WORDS for w in found)
+        return True if len(text) >= extraction.LENGTH and found and stops / len(found) >= extraction.STOP_DENSITY and linked <= 0.2 * len(text) else None
+
+    labels = [first(*p) for p in parts]
+    out = []
+    for i, label in enumerate(labels):
+        before = next(((i - j, not labels[j]) for j in range(i - 1, -1, -1) if labels[j] is not None), None)
+        after = next(((j - i, not labels[j]) for j in range(i + 1, len(parts)) if labels[j] is not None), None)
+        out.append(label if label is not None else not min(x for x in (before, after) if x)[1] if before or after else True)
+    return out
+
+
+def test_two_passes_decide_where_no_mark_does():
+    rng = random.Random(6)
+    kept = [0, 0]
+    for _ in range(300):
+        parts, page = [], []
+        for k in range(rng.randrange(1, 14)):
+            shape = rng.randrange(4)
+            text, linked = {
+                0: (f"{k} {STORY}", 0),
+                1: (f"menu {k} about contact", len(f"menu {k} about contact")),
+                2: (f"Short line {k}.", 0),
+                3: (f"{k} Datenblatt Messwert Reglerkennlinie Sollwertgeber Drehzahlmesser Anschlussplan Klemmleiste", 0),
+            }[shape]
+            parts.append((text, linked))
+            tag = rng.choice(("p", "div", "li", "h2"))
+            page.append(f"<{tag}>{f'<a href=x>{text}</a>' if linked else text}</{tag}>")
+        want = [text for (text, _), keep in zip(parts, brute_two_passes(parts), strict=True) if keep]
+        assert extraction.main_text(f"<body><div>{''.join(page)}</div></body>") == "\n".join(want)
+        kept[0] += len(want)
+        kept[1] += len(parts)
+    assert 0.2 < kept[0] / kept[1] < 0.9
+
+
 def test_extraction_marks_never_empty_a_page():
     assert extraction.main_text(f'<h1>Title</h1><div class="page-sidebar"><p>{STORY}</p><div class="share">Tell us</div></div>') == f"Title\n{STORY}"
     assert extraction.main_text(f'<div class="x-widget"><p>{STORY}</p></div><div class="x-widget"><p>{MORE}</p></div>') == f"{STORY}\n{MORE}"
@@ -324,3 +375,16 @@ def test_damaged_files(spark):
     assert media.probed(struct.pack(">I4s", 4, b"moov")) is None
     df = spark.createDataFrame([(1, None, "x"), (2, b"junk", "x"), (3, whole, "x")], "k int, media binary, codec string")
     assert [r.n_samples for r in media.probe_media(df).collect()] == [None, None, 1]
+
+
+def test_long_texts_are_one_chain(spark):
+    rng = random.Random(1)
+    en, de = "the cat and the dog are in the old house", "der hund und die katze sind im alten haus"
+    model = language.fitted([en, de] * 20, ["en", "de"] * 20)
+    reader = language.Reader(model)
+    texts = [" ".join(rng.choice((en, de)).split()[rng.randrange(9)] for _ in range(900)), "\u00b2 \u00b3", "der " * 400, ""]
+    whole, parts = reader.predicted(texts), reader.predicted(texts, at_once=70)
+    assert whole[0] == parts[0] and whole[0][1] == whole[0][3] == "und" and np.allclose(whole[1], parts[1], atol=1e-9)
+    rows = [(i, (en, de)[i % 2], ("en", "de")[i % 2]) for i in range(40)] + [(7, de, "de")] * 500 + [(99, "x" * 100 + " un chat", "fr"), (100, None, "fr"), (101, en, None)]
+    pieces, langs = language.sampled(spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(3), rows=15)
+    assert {x: langs.count(x) for x in set(langs)} == {"en": 15, "de": 15, "fr": 1} and "un chat" in pieces
