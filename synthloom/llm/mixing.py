@@ -17,20 +17,15 @@ JUNK = "#*$%&|<>0123456789"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def quality_weight(text: Column, n_words: Column) -> Column:
+def quality_weight(n_chars: Column, n_clean: Column, n_plain: Column, n_words: Column) -> Column:
     """0.05 to 1.05, from what the quality rules also look at: few digits and markup, few capitals, and enough words.
 
-    The squared share of code points that are neither digits nor markup, times the share that are no capitals, times
-    n / (n + 50) of n words, above a floor.
+    The squared share of code points that are neither digits nor markup (n_clean), times the share that are no capitals
+    (n_plain), times n / (n + 50) of n words, above a floor.
     """
-    n = F.length(text)
-
-    def share(but: str) -> Column:
-        return F.length(F.translate(text, but, "")).cast("double") / n
-
-    clean = share(JUNK)
-    weight = clean * clean * share(CAPITALS) * (n_words.cast("double") / (n_words + 50))
-    return F.lit(0.05) + F.when(n == 0, F.lit(0.0)).otherwise(weight)
+    clean = n_clean.cast("double") / n_chars
+    weight = clean * clean * (n_plain.cast("double") / n_chars) * (n_words.cast("double") / (n_words + 50))
+    return F.lit(0.05) + F.when(n_chars == 0, F.lit(0.0)).otherwise(weight)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -82,8 +77,13 @@ def mix(
     text = text_of(docs[text_col])
     salt = F.md5(F.concat_ws(":", F.lit(str(seed)), docs[id_col].cast("string"), F.md5(text)))
     u = (F.conv(F.substring(salt, 1, 13), 16, 10).cast("double") + 1.0) / F.lit(float(2**52 + 1))
-    sized = docs.select(docs[id_col].alias("_id"), docs[source_col].alias("source"), n_words_of(text).alias("size"), text.alias("_text"), u.alias("_u"), *([] if quality is None else [quality.alias("_quality")]))
-    weight = quality_weight(F.col("_text"), F.col("size")) if quality is None else F.col("_quality")
+    if quality is None:
+        # lengths first, as columns: an expression that several others read is computed once
+        read = {"_chars": F.length(text), "_clean": F.length(F.translate(text, JUNK, "")), "_plain": F.length(F.translate(text, CAPITALS, ""))}
+        weight = quality_weight(F.col("_chars"), F.col("_clean"), F.col("_plain"), F.col("size"))
+    else:
+        read, weight = {"_quality": quality}, F.col("_quality")
+    sized = docs.select(docs[id_col].alias("_id"), docs[source_col].alias("source"), n_words_of(text).alias("size"), u.alias("_u"), *(c.alias(n) for n, c in read.items()))
     keyed = sized.select("_id", "source", "size", (-F.log("_u") / weight).alias("_key"))
     ordered = running(keyed, ["source"], ["_key", "_id"], "size", "mix")
     sizes = written(ordered.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
