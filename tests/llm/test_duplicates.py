@@ -179,3 +179,33 @@ def test_pipeline(spark, sf):
     assert kept.filter(F.col("text").rlike(r"@[a-z0-9]+\.")).count() == 0
     out = c.run(spark, sf).collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rng = random.Random(9)
+
+    def prose(n):
+        return " ".join(f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.choice('klmnrst')}{rng.randrange(9)}" for _ in range(n))
+
+    shared = prose(90)
+    rows = [(i, prose(60 + i), "en", "ab"[i % 2], None, i) for i in range(30)]
+    rows += [(50, shared, "en", "a", 5, 1)] * 6 + [(51, shared + " more", None, "b", 5, 1), (None, prose(80), "de", None, None, None), (52, prose(20000), "fr", "b", 1, 1)]
+    rows += [(53, None, "en", "a", None, 1), (54, "", "en", "a", 0, 1), (55, " \n ", "en", "a", 3, 1), (56, prose(70) + " mail me@x.org", "en", "a", 9, 1), (57, prose(60), "en", "c", 9, 2)]
+    columns = "doc_id long, text string, lang string, source string, n_chars int, _key int"
+    spark.createDataFrame(rows, columns).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = docs
+    for name, stage in c.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, str(tmp_path)).collect(), docs.schema)
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+        if name == "quality":
+            assert [i for _, i in ids if i >= 50] == [50] * 6 + [51, 52, 56, 57] and len(ids) == 41
+        if name == "near_duplicates":
+            assert [i for _, i in ids if i >= 50] == [50, 52, 56, 57] and len(ids) == 35
+    out = c.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {r.doc_id for r in kept.collect()}
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert c.run(spark, str(tmp_path / "none")).count() == 0
