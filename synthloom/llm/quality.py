@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthloom.functions.text import let
-from synthloom.llm.common import SPACES, n_words_of, table, text_of, trimmed, words_of, written
+from synthloom.llm.common import SPACES, table, text_of, trimmed, words_of, written
 
 #: Rows of the sample on which cost and selectivity are measured. The verdict doesn't depend on it, only the order does.
 SAMPLE_ROWS = 2000
@@ -90,18 +90,20 @@ def _covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
-def features(text: Column) -> dict[str, Column]:
-    """What the rules read, as expressions of a text; each is computed only where a rule asks for it."""
+def features(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """What the rules read, as expressions of a text (and its words, if they are at hand); each is computed only where a rule
+    asks for it."""
     text = text_of(text)
+    words = words_of(text) if words is None else words
     lines = F.filter(F.split(text, "\n"), lambda x: trimmed(x) != "")
     return {
-        "n_words": n_words_of(text),
+        "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_capitals": (F.length(text) - F.length(F.translate(text, CAPITALS, ""))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words_of(text)),
+        "n_repeat_words": repeated_words(words),
     }
 
 
@@ -163,9 +165,9 @@ def verdict(rules: Sequence[Rule], f: Mapping[str, Column]) -> Column:
 
 
 def rejections(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> Column:
-    """verdict() as an expression of docs' text, its rules in measured order."""
+    """verdict() as an expression of docs' text, its rules in measured order. A text is parted into words once for all rules."""
     order = [rule for rule, _, _ in ordered_rules(docs, rules, sample_rows, text_col)]
-    return verdict(order, features(docs[text_col]))
+    return let(words_of(docs[text_col]), lambda w: verdict(order, features(docs[text_col], w)))
 
 
 def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
@@ -185,9 +187,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     order = [rule for rule, _, _ in ordered_rules(docs)]
-    f = features(docs["text"])
     asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    counted = docs.select("doc_id", "text", *(f[k].alias(k) for k in asked))
+
+    def counts(words: Column) -> Column:
+        f = features(docs["text"], words)
+        return F.struct(*(f[k].alias(k) for k in asked))
+
+    counted = docs.select("doc_id", "text", let(words_of(docs["text"]), counts).alias("f")).select("doc_id", "text", *(F.col("f")[k].alias(k) for k in asked))
     columns = {**features(F.col("text")), **{k: F.col(k) for k in asked}}
     base = F.lit(False)
     for rule in BASE:
