@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from synthloom.llm import extraction, jaccard, language, media, mixing, packing, pii, quality, sharding, substrings
+from synthloom.llm import extraction, jaccard, language, media, mixing, packing, pii, quality, sharding, substrings, toxicity, trie, variants
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_substrings": substrings.op9_substrings,
     "op10_mixing": mixing.op10_mixing,
+    "op11_variants": variants.op11_variants,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_trie": trie.op13_trie,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op7_quality": quality.OP7_SQL,
     "op9_substrings": substrings.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_variants": variants.OP11_SQL,
+    "op13_trie": trie.OP13_SQL,
 }
