@@ -76,7 +76,7 @@ def _symbols(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def main(args: Sequence[str] | None = None) -> int:
-    """0: done; 1: failed; 2: wrong usage."""
+    """0: done; 1: failed; 2: wrong usage, or a manifest that is there already; 130: interrupted."""
     try:
         a = _parser().parse_args(args)
     except SystemExit as e:
@@ -110,6 +110,12 @@ def main(args: Sequence[str] | None = None) -> int:
             source, options = {"solution_path": a.path}, {} if a.dry_run else {"model": a.model, "workers": a.workers}
             rows = datasets.generate_dataset(spark, symbols, a.out, None if a.dry_run else make, a.dataset_type, a.format, source, **options)
             print(f"{rows.count()} rows")
+    except KeyboardInterrupt:
+        print("synthloom: interrupted", file=sys.stderr)
+        return 130
+    except FileExistsError as e:
+        print(f"synthloom: {e}", file=sys.stderr)
+        return 2
     except Exception as e:
         print(f"synthloom: {e}", file=sys.stderr)
         return 1

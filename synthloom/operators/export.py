@@ -74,18 +74,19 @@ def output_fields(df: DataFrame, write_metadata: bool = True) -> DataFrame:
     return df.select(*(c for c in df.columns if not c.startswith("_") and (write_metadata or c.lower() in core)))
 
 
-def stringified(df: DataFrame) -> DataFrame:
-    """Every column as a string, those that are none as JSON text."""
+def as_text(f: T.StructField) -> Column:
+    """A column as a string, one that is none as JSON text."""
+    c = F.col(f.name)
+    if isinstance(f.dataType, T.StringType):
+        return c
+    if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+        return F.to_json(c).alias(f.name)
+    return c.cast("string").alias(f.name)
 
-    def text(f: T.StructField) -> Column:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            return c
-        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
-            return F.to_json(c).alias(f.name)
-        return c.cast("string").alias(f.name)
 
-    return df.select(*(text(f) for f in df.schema.fields))
+def stringified(df: DataFrame) -> DataFrame:
+    """Every column as a string, those that are none as JSON text."""
+    return df.select(*(as_text(f) for f in df.schema.fields))
 
 
 def inspection(symbols: DataFrame, method: str = "method") -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -12,11 +13,10 @@ from pyspark.sql import functions as F
 from synthloom.functions.text import trim_ws
 from synthloom.operators import export, generate, sync
 from synthloom.operators.export import output_fields
-from synthloom.schema import MANIFEST_ROW
-from synthloom.sources import files
-from synthloom.tables import written
+from synthloom.sources import files, snapshots
+from synthloom.tables import small, written
 
-DATA, ARCHIVE = "data", "_archive"
+ARCHIVE = "_archive"
 
 
 def _keyed(symbols: DataFrame, dataset_type: str) -> DataFrame:
@@ -25,26 +25,149 @@ def _keyed(symbols: DataFrame, dataset_type: str) -> DataFrame:
     return symbols.withColumns({f"_{name}": column for name, column in facts.items()})
 
 
+def content(rows: DataFrame, format: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """rows with their content as it is written: columns beginning with an underscore, and `value` or the output columns.
+
+    With the columns of a dataset that exists, exactly those, null where rows have none."""
+    out = output_fields(rows)
+    names = list(columns) if columns is not None else out.columns
+    have = {c.lower(): c for c in out.columns}
+    facts = [c for c in rows.columns if c.startswith("_")]
+    kept = rows.select(*facts, *((F.col(have[n.lower()]) if n.lower() in have else F.lit(None).cast("string")).alias(n) for n in names))
+    if format == "parquet":
+        return kept
+    if format == "csv":
+        cells = F.struct(*(export.as_text(f) for f in kept.schema.fields if f.name not in facts))
+        return kept.select(*facts, F.to_csv(cells, files.CSV).alias("value"))
+    # rows that exist hold the fields they have; a JSON line names its own
+    return rows.select(*facts, F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def generate_dataset(
     spark: SparkSession, symbols: DataFrame, out: str, make: generate.Maker | None, dataset_type: str = "explanation", format: str = "jsonl", source: Mapping | None = None, **options
 ) -> DataFrame:
-    """Make a row of each symbol and write them with a manifest of the rows that were made; returns the manifest.
+    """Make a row of each symbol and publish them with a manifest of the rows that were made; returns the manifest.
 
     Without a maker, a dry run, the symbols themselves are written. Model replies are kept in a table before anything else
-    is done, so no call is made twice.
+    is done, so no call is made twice; names that occur twice, which no sync could tell apart, raise before the first call.
     """
+    format = format.lower()
+    if format not in snapshots.FORMATS:
+        raise ValueError(f"unknown format {format!r}; known: {', '.join(snapshots.FORMATS)}")
+    if snapshots.current(out) is not None or files.manifest_head(spark, out) is not None:
+        raise FileExistsError(f"{out} has a manifest")
     keyed = _keyed(symbols, dataset_type)
+    if make is not None:
+        sync.diff(None, sync.current_rows(symbols, dataset_type)).agg(F.count("new_sha")).first()
     made = keyed if make is None else generate.generate(keyed, make, dataset_type, **options)
-    names = [n for n in sync.facts(dataset_type) if n != "id"]
-    kept = output_fields(made).columns
-    rows = written(made.select(F.col("_id").alias("_row"), F.col("_ord").alias("_at"), *(F.col(f"_{n}").alias(f"_{n}") for n in names), *kept), "made")
-    placed = written(sync.numbered(rows, "_at", "_row"), "placed")
+    rows = written(made.withColumns({"_slot": F.lit(None).cast("int"), "_at": F.col("_ord")}).select(*PLACED, *output_fields(made).columns), "made")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(n, "row_offset").sortWithinPartitions("row_offset")
-    files.write_dataset(ordered.select(*kept), f"{out}/{DATA}", format)
-    manifest = placed.select(F.col("_row").alias("id"), *(F.col(f"_{x}").alias(x) for x in names), "row_offset")
-    files.write_manifest(manifest, out, dict(source or {}))
-    return manifest
+    ordered = content(rows, format).repartitionByRange(n, "_at", "_id").sortWithinPartitions("_at", "_id")
+    done = snapshots.write_version(ordered, out, format, output_fields(rows).columns, source=dict(source or {}))
+    return files.manifest_columns(snapshots.manifest(spark, out, done))
+
+
+PLACED = ("_slot", "_at", *(f"_{c}" for c in snapshots.FACTS))
+
+
+def synchronise(
+    spark: SparkSession,
+    out: str,
+    now: DataFrame,
+    make_rows: Callable[[DataFrame], DataFrame],
+    orphans: str = "drop",
+    dry_run: bool = False,
+    source: Mapping | None = None,
+) -> Row:
+    """Bring a dataset up to `now`, the manifest columns of what it should hold; returns the plan's counts.
+
+    make_rows gets the ids that are new or stale, with their hashes, and returns (_id, output columns) for those it could
+    make. Files without a stale row that was remade, or an orphan that goes, are left as they are, whatever their format.
+    Nothing is written before the rows are made, and nothing is deleted before the new version is published.
+    """
+    if orphans not in sync.ORPHANS:
+        raise ValueError(f"unknown orphan policy {orphans!r}; known: {', '.join(sync.ORPHANS)}")
+    old = snapshots.current(out) or _adopted(spark, out, dry_run)
+    if old is None:
+        raise ValueError(f"{out} was written before versions were kept, and can't be read row by row; generate it again")
+    now = written(now.select(*snapshots.FACTS), "current")
+    manifest = snapshots.manifest(spark, out, old)
+    status = written(sync.diff(manifest.select("id", "body_sha"), now), "diff")
+    planned = sync.plan(status).first()
+    if dry_run:
+        return planned
+    wanted = status.filter(F.col("status").isin("new", "stale")).select("id", "status", F.col("new_sha").alias("body_sha"))
+    facts = now.select(*(F.col(c).alias(f"_{c}") for c in snapshots.FACTS))
+    made = written(make_rows(wanted).join(facts, "_id"), "made")
+    columns = old.columns or output_fields(made).columns
+    fresh = written(content(made, old.format, columns), "fresh")
+    placed = written(manifest.join(status.select("id", "status"), "id").join(fresh.select(F.col("_id").alias("id"), F.lit(True).alias("remade")), "id", "left"), "placed")
+    goes = (F.col("status") == "orphan") & F.lit(orphans != "keep")
+    changed = goes | ((F.col("status") == "stale") & F.col("remade"))
+    touched = [r._slot for r in placed.filter(changed).select("_slot").distinct().collect()]  # at most the snapshot's files
+    if not touched and fresh.isEmpty():
+        return planned
+    again = placed.join(small(spark.createDataFrame([(s,) for s in touched], "_slot int"), 16, len(touched)), "_slot", "left_semi")
+    body = [c for c in fresh.columns if not c.startswith("_")]
+    spots = again.filter("remade").select(F.col("id").alias("_id"), "_slot", F.col("row_offset").alias("_at"))
+    rows = fresh.join(spots, "_id", "left").select(*PLACED, *body)
+    if old.files:
+        stay = snapshots.records(spark, out, old, again.filter(~goes & F.col("remade").isNull()))
+        rows = stay.withColumn("_at", F.col("_row_offset")).select(*PLACED, *body).unionByName(rows)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a file is rewritten by one task; new rows are dealt to all of them
+    task = F.coalesce(F.col("_slot"), -1 - F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int"))
+    dealt = rows.repartition(n, task).sortWithinPartitions("_slot", "_at", "_id")
+    if orphans == "archive" and planned.n_orphan:
+        _archive(snapshots.records(spark, out, old, placed.filter("status = 'orphan'")).select(*body), out, old.format)
+    snapshots.write_version(dealt, out, old.format, columns, old, touched, dict(source or {}))
+    return planned
+
+
+def _archive(rows: DataFrame, out: str, format: str) -> None:
+    at = f"{out}/{ARCHIVE}/{datetime.now(UTC):%Y%m%d-%H%M%S-%f}"
+    if format == "parquet":
+        rows.write.parquet(at)
+    else:
+        rows.select("value").write.text(at)
+
+
+def _adopted(spark: SparkSession, out: str, dry_run: bool) -> snapshots.Snapshot | None:
+    """Version 1 of a dataset without one: empty, or with the rows of JSON lines that an older manifest lists.
+
+    Each of its rows must be found in the lines, else nothing is done; the older files move to the archive.
+    """
+    manifest = files.read_manifest(spark, out)
+    if manifest is None or manifest.isEmpty():
+        first = snapshots.Snapshot(0, "jsonl")
+        return first if dry_run else _published(spark, out, first)
+    found = written(files.existing_rows(spark, f"{out}/{snapshots.DATA}", manifest), "existing")
+    if found.count() != manifest.count():
+        return None
+    rows = found.join(manifest.drop("row_offset"), "id").select(F.lit(None).cast("int").alias("_slot"), F.col("row_offset").alias("_at"), *(F.col(c).alias(f"_{c}") for c in snapshots.FACTS), "value")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    done = snapshots.write_version(rows.repartitionByRange(n, "_at").sortWithinPartitions("_at"), out, "jsonl", [])
+    _moved_to_archive(out)
+    return done
+
+
+def _published(spark: SparkSession, out: str, first: snapshots.Snapshot) -> snapshots.Snapshot:
+    """An empty first version; files of rows that no manifest ties to symbols move to the archive."""
+    done = replace(first, version=1, generated_at=datetime.now(UTC).isoformat())
+    snapshots.publish(out, done)
+    _moved_to_archive(out)
+    return done
+
+
+def _moved_to_archive(out: str) -> None:
+    fs, at = snapshots.opened(out)
+    now = {f[1] for f in snapshots.current(out).files}
+    loose = [f for f in snapshots._listed(fs, f"{at}/{snapshots.DATA}") if f.base_name not in now and not f.base_name.startswith((".", "_"))]
+    if loose:
+        folder = f"{at}/{ARCHIVE}/before-{datetime.now(UTC):%Y%m%d-%H%M%S-%f}"
+        fs.create_dir(folder)
+        for f in loose:
+            fs.move(f.path, f"{folder}/{f.base_name}")
 
 
 def sync_dataset(
@@ -58,51 +181,30 @@ def sync_dataset(
     source: Mapping | None = None,
     **options,
 ) -> Row:
-    """Bring a dataset of JSON lines up to its sources; returns the plan's counts.
+    """Bring a dataset of any format up to its sources; returns the plan's counts.
 
-    New and changed symbols are made again, unchanged rows stay as they are, and rows whose symbol is gone are dropped, kept,
-    or put in the archive. Data and manifest are replaced once the new ones are written.
+    New and changed symbols are made again, unchanged rows stay as they are, a stale row that can't be remade keeps its old
+    content and hash, and rows whose symbol is gone are dropped, kept, or put in the archive.
     """
-    manifest = files.read_manifest(spark, out)
-    now = written(sync.current_rows(symbols, dataset_type), "current")
-    planned = sync.plan(sync.diff(manifest, now)).first()
-    if dry_run:
-        return planned
-    if manifest is not None:
-        manifest = written(manifest, "manifest")  # the files behind it are replaced below
-    if manifest is None or manifest.isEmpty():
-        existing = spark.createDataFrame([], "id string, row_offset long, value string")
-    else:
-        existing = written(files.existing_rows(spark, f"{out}/{DATA}", manifest), "existing")
 
     def make_rows(ids: DataFrame) -> DataFrame:
         wanted = _keyed(symbols, dataset_type).join(ids.select(F.col("id").alias("_id")), "_id", "left_semi")
         made = generate.generate(wanted, make, dataset_type, **options)
-        line = F.to_json(F.struct(*output_fields(made).columns), {"ignoreNullFields": "false"})
-        return made.select(F.col("_id").alias("id"), F.col("_body_sha").alias("body_sha"), line.alias("value"))
-
-    rows, gone = sync.apply(existing, manifest, now, make_rows, orphans)
-    rows = written(rows, "synced")
-    files.write_lines(rows, f"{out}/{DATA}-next")
-    if orphans == "archive" and not gone.isEmpty():
-        files.write_lines(gone, f"{out}/{ARCHIVE}/{datetime.now(UTC):%Y%m%d-%H%M%S-%f}")
-    facts = now.drop("body_sha")
-    if manifest is not None:
-        old = manifest.select(*facts.columns).join(facts.select("id"), "id", "left_anti")
-        facts = facts.unionByName(old)
-    files.write_manifest(rows.select("id", "body_sha", "row_offset").join(facts, "id"), out, dict(source or {}))
-    files.replace(spark, f"{out}/{DATA}-next", f"{out}/{DATA}")
-    return planned
+        return made.select("_id", *output_fields(made).columns)
+
+    return synchronise(spark, out, sync.current_rows(symbols, dataset_type), make_rows, orphans, dry_run, source)
 
 
 def migrate_dataset(spark: SparkSession, out: str, source: Mapping | None = None) -> int:
-    """Seed an empty manifest for a dataset without one; returns its non-blank lines. They can't be tied to symbols, so the
-    next sync makes all rows anew."""
-    if files.manifest_head(spark, out) is not None:
-        raise ValueError(f"{out} has a manifest")
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(out)
-    n = lines.filter(trim_ws(F.col("value")) != "").count()
-    files.write_manifest(spark.createDataFrame([], MANIFEST_ROW), out, dict(source or {}))
+    """Seed an empty manifest for a dataset without one; returns the non-blank lines of its *.jsonl files. They can't be tied
+    to symbols: the next sync makes all rows anew and archives those in the data folder."""
+    if snapshots.current(out) is not None or files.manifest_head(spark, out) is not None:
+        raise FileExistsError(f"{out} has a manifest")
+    fs, at = snapshots.opened(out)
+    found = [f.path for folder in (at, f"{at}/{snapshots.DATA}") for f in snapshots._listed(fs, folder) if f.base_name.endswith(".jsonl")]
+    scheme = out.split("://")[0] + "://" if "://" in out else ""
+    n = spark.read.text([f"{scheme}{p}" for p in found]).filter(trim_ws(F.col("value")) != "").count() if found else 0
+    snapshots.publish(out, snapshots.Snapshot(1, "jsonl", source=dict(source or {}), generated_at=datetime.now(UTC).isoformat()))
     return n
 
 

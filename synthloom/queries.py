@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from synthloom.functions import identity, text
 from synthloom.functions.replies import string_keys
 from synthloom.operators import dedup, export, filters, generate, prompts, sample, sync
-from synthloom.plans import pipeline
+from synthloom.plans import datasets, pipeline
 from synthloom.providers.base import Offline, OfflineJudge
+from synthloom.sources import snapshots
+from synthloom.sources.files import CSV
+from synthloom.tables import scratch, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -428,6 +431,43 @@ for _policy in sync.ORPHANS:
 )
 SELECT id, body_sha, response, (row_number() OVER (ORDER BY pos NULLS LAST, id) - 1)::BIGINT AS row_offset FROM kept""",
     )(_sync(_policy))
+def _synced(format: str) -> Query:
+    """A dataset of an older state of documents, written and then brought up to the present by rewriting files."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        at = f"{scratch(spark)}/dataset-{uuid.uuid4().hex}"
+        s = symbols(spark, d)
+        now = sync.current_rows(s, "explanation")
+        told = written(s.select(sync.facts("explanation")["id"].alias("id"), F.coalesce("symbol.body_text", F.lit("")).alias("body")), "bodies")
+        facts = [F.lit(None).cast("int").alias("_slot"), F.col("row_offset").alias("_at"), *(F.coalesce(c, F.lit("gone")).alias(f"_{c}") for c in snapshots.FACTS)]
+        had = manifest(spark, d).join(now.drop("body_sha"), "id", "left").join(told, "id", "left")
+        rows = had.select(*facts, F.concat(F.lit("old "), "id").alias("response"), F.coalesce("body", F.lit(' a "quoted",\n line ')).alias("body"))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = datasets.content(rows, format).repartitionByRange(n, "_at").sortWithinPartitions("_at")
+        snapshots.write_version(ordered, at, format, ["response", "body"])
+
+        def make(ids: DataFrame) -> DataFrame:
+            # one id in 16 can't be made
+            return ids.filter(~F.col("id").startswith("f")).join(told, "id").select(F.col("id").alias("_id"), F.concat(F.lit("new "), "id").alias("response"), "body")
+
+        datasets.synchronise(spark, at, now, make)
+        kept = snapshots.current(at)
+        held = snapshots.records(spark, at, kept, snapshots.manifest(spark, at, kept))
+        if format != "parquet":
+            parsed = F.from_json("value", "response string, body string") if format == "jsonl" else F.from_csv("value", "response string, body string", CSV)
+            held = held.select("_id", "_body_sha", parsed.alias("r")).select("_id", "_body_sha", "r.*")
+        return held.select(F.col("_id").alias("id"), F.col("_body_sha").alias("body_sha"), "response", F.sha2(F.coalesce("body", F.lit("")), 256).alias("body_now"))
+
+    return run
+
+
+for _format in snapshots.FORMATS:
+    query(
+        f"sync_files_{_format}",
+        f"""WITH {SYNC} SELECT d.id, CASE WHEN status = 'unchanged' OR d.id LIKE 'f%' THEN old_sha ELSE new_sha END AS body_sha,
+  CASE WHEN status = 'unchanged' OR d.id LIKE 'f%' THEN 'old ' ELSE 'new ' END || d.id AS response, new_sha AS body_now
+FROM diff d WHERE status IN ('unchanged', 'stale') OR status = 'new' AND d.id NOT LIKE 'f%'""",
+    )(_synced(_format))
 query("sync_archived", f"WITH {SYNC} SELECT id, 'old ' || id AS response FROM diff WHERE status = 'orphan'")(_sync("archive", True))
 
 
@@ -553,7 +593,6 @@ def token_cost_estimate(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_incremental_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_incremental_dedup(spark: SparkSession, d: str) -> DataFrame:
     from synthloom.streaming.incremental import exact_stream_dedup, run_batches
-    from synthloom.tables import scratch
 
     at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)

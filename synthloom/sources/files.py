@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from decimal import Decimal
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from synthloom.functions.text import trim_ws
 from synthloom.operators.export import output_fields, stringified
 from synthloom.schema import MANIFEST, MANIFEST_ROW
+from synthloom.sources import snapshots
+from synthloom.tables import small
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -63,6 +66,7 @@ def variant_columns(rows: DataFrame, *names: str, keep: Sequence[str] = ()) -> D
 
 
 FORMATS = ("jsonl", "csv", "parquet")
+CSV = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_dataset(df: DataFrame, path: str, format: str = "jsonl", write_metadata: bool = True, as_strings: bool = False, mode: str = "errorifexists") -> DataFrame:
@@ -75,7 +79,7 @@ def write_dataset(df: DataFrame, path: str, format: str = "jsonl", write_metadat
     if format == "jsonl":
         writer.option("ignoreNullFields", False).json(path)
     elif format == "csv":
-        writer.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+        writer.csv(path, header=True, **CSV)
     else:
         writer.parquet(path)
     return out
@@ -94,40 +98,35 @@ def write_manifest(rows: DataFrame, directory: str, source: dict | None = None)
 
 def manifest_head(spark: SparkSession, directory: str) -> dict | None:
     """Version, time and source of the manifest; None if there is none."""
-    from pyspark.errors import AnalysisException
-
+    now = snapshots.current(directory)
+    if now is not None:
+        return {"format_version": now.format_version, "generated_at": now.generated_at, "source": now.source}
     try:
         head = spark.read.text(f"{manifest_path(directory)}/head").first()
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        return _absent(e)
     return json.loads(head[0]) if head else None
 
 
-def write_lines(rows: DataFrame, path: str) -> None:
-    """The values of rows(row_offset, value) as lines in that order: ranges of offsets are sorted apart, and files are read by name."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("row_offset", "value").repartitionByRange(n, "row_offset").sortWithinPartitions("row_offset")
-    ordered.select("value").write.text(path)
-
+def read_manifest(spark: SparkSession, directory: str) -> DataFrame | None:
+    """The manifest's rows, of the newest version where versions are kept; None if there is none."""
+    now = snapshots.current(directory)
+    if now is not None:
+        return manifest_columns(snapshots.manifest(spark, directory, now))
+    try:
+        return spark.read.schema(MANIFEST_ROW).parquet(f"{manifest_path(directory)}/rows")
+    except AnalysisException as e:
+        return _absent(e)
 
-def replace(spark: SparkSession, new: str, old: str) -> None:
-    """Put the folder `new` in the place of `old`, whichever file system they are on."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    a, b = hadoop.Path(new), hadoop.Path(old)
-    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    if not fs.rename(a, b):
-        raise OSError(f"can't rename {new} to {old}")
 
+def manifest_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f.name).cast(f.dataType) for f in MANIFEST_ROW.fields))
 
-def read_manifest(spark: SparkSession, directory: str) -> DataFrame | None:
-    """The manifest's rows; None if there is none."""
-    from pyspark.errors import AnalysisException
 
-    try:
-        return spark.read.schema(MANIFEST_ROW).parquet(f"{manifest_path(directory)}/rows")
-    except AnalysisException:
-        return None
+def _absent(e: AnalysisException) -> None:
+    """None for a path that isn't there; any other error goes on."""
+    if e.getCondition() != "PATH_NOT_FOUND":
+        raise e
 
 
 def read_manifest_document(spark: SparkSession, path: str) -> DataFrame:
@@ -145,7 +144,7 @@ def lines_with_offsets(spark: SparkSession, path: str) -> DataFrame:
     counts = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")).drop("n")
     local = F.row_number().over(Window.partitionBy("f", "b").orderBy("i")) - 1
-    return lines.withColumn("k", local).join(F.broadcast(before), ["f", "b"]).select((F.col("before") + F.col("k")).alias("row_offset"), "value")
+    return lines.withColumn("k", local).join(small(before, 200), ["f", "b"]).select((F.col("before") + F.col("k")).alias("row_offset"), "value")
 
 
 def existing_rows(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:

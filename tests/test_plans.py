@@ -190,7 +190,7 @@ def test_command_line_of_datasets(spark, tmp_path):
     assert cli.main(["generate", at, out, "--dry-run"]) == 0
     assert spark.read.json(f"{out}/data").first().kind == "class"
     assert cli.main(["sync", at, out, "--dry-run", "--exclude-namespaces", "X, Y,"]) == 0
-    assert cli.main(["migrate", at, out]) == 1  # it has a manifest
+    assert cli.main(["migrate", at, out]) == 2  # it has a manifest
     old = tmp_path / "old"
     old.mkdir()
     (old / "rows.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
