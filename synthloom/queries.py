@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from synthloom.functions import identity, text
 from synthloom.functions.replies import string_keys
-from synthloom.operators import dedup, export, filters, generate, prompts, sample, sync
+from synthloom.operators import dedup, dedup_index, export, filters, generate, prompts, sample, sync
 from synthloom.plans import datasets, pipeline
 from synthloom.providers.base import Offline, OfflineJudge
 from synthloom.sources import snapshots
@@ -324,6 +324,17 @@ def minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.minhash_dedup(docs, "text").select("doc_id")
 
 
+@query("minhash_dedup_batches", SQL["minhash_dedup"])
+def minhash_dedup_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches of documents one after another, each against the index of what the ones before kept."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("_ord"), "text")
+    at = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    cuts = docs.agg(F.expr("percentile(_ord, array(1 / 3D, 2 / 3D))").alias("c")).first().c
+    batches = [docs.filter(F.col("_ord") < cuts[0]), docs.filter((F.col("_ord") >= cuts[0]) & (F.col("_ord") < cuts[1])), docs.filter(F.col("_ord") >= cuts[1])]
+    kept = [written(dedup_index.near_dedup_batch(b, at, n, "text").select("doc_id"), "batch") for n, b in enumerate(batches)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
 @query(
     "dedup_pairs",
     f"""WITH {SIGNED}, slots AS (SELECT doc_id, unnest(range(128)) AS k, unnest(sig) AS v FROM sig)
