@@ -610,3 +610,21 @@ def stream_incremental_dedup(spark: SparkSession, d: str) -> DataFrame:
     firsts = exact_stream_dedup(stream.select("user_id", "event_type"), ["user_id", "event_type"])
     run_batches(firsts, lambda x: x, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_windowed_sample",
+    """SELECT day + INTERVAL 1 DAY AS window_end, event_type, event_id FROM (
+  SELECT date_trunc('day', ts) AS day, event_type, event_id, row_number() OVER (PARTITION BY date_trunc('day', ts), event_type
+    ORDER BY -(ln((('0x' || substr(md5('42:' || event_id), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE) / greatest(coalesce(value, 1), 1)), event_id) AS r
+  FROM events WHERE ts IS NOT NULL) WHERE r <= 20 AND day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def stream_windowed_sample(spark: SparkSession, d: str) -> DataFrame:
+    from synthloom.streaming.stateful import merged, windowed_reservoirs
+
+    at = f"{scratch(spark)}/sample-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    found = windowed_reservoirs(stream, 20, "ts", "1 day", "1 hour", "event_type", "value", order="event_id")
+    found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return merged(spark.read.schema(found.schema).parquet(f"{at}/out"), 20, schema).select("window_end", "event_type", "event_id")
