@@ -627,4 +627,4 @@ def stream_windowed_sample(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     found = windowed_reservoirs(stream, 20, "ts", "1 day", "1 hour", "event_type", "value", order="event_id")
     found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return merged(spark.read.schema(found.schema).parquet(f"{at}/out"), 20, schema).select("window_end", "event_type", "event_id")
+    return merged(spark.read.schema(found.schema).parquet(f"{at}/out"), 20, schema).select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "event_id")

@@ -73,14 +73,14 @@ def windowed_reservoirs(
     held = T.StructType([T.StructField("_key", T.DoubleType()), T.StructField("_ord", kind), T.StructField("_row", T.StringType())])
     out = T.StructType([T.StructField("_end", T.LongType()), T.StructField("_stratum", T.StringType()), *held.fields])
     named = (F.col(stratum) if stratum else F.lit(None)).cast("string")
-    rows = stream.withWatermark(time_col, watermark).select(
+    rows = stream.withColumn("_time", F.col(time_col).cast("timestamp")).withWatermark("_time", watermark).select(
         named.alias("_stratum"),
         F.pmod(F.xxhash64(order), F.lit(PARTS)).cast("int").alias("_part"),
-        F.unix_millis(F.window(time_col, window)["end"]).alias("_end"),
+        F.unix_millis(F.window("_time", window)["end"]).alias("_end"),
         sample_key(weight, seed, order).alias("_key"),
         F.col(order).alias("_ord"),
         F.to_json(F.struct(*stream.columns)).alias("_row"),
-        F.col(time_col),
+        "_time",
     )
     return rows.filter(F.col("_end").isNotNull()).groupBy("_stratum", "_part", "_end").transformWithState(Reservoir(k, held), out, "Append", "EventTime")
 
@@ -125,6 +125,7 @@ def first_arrivals(stream: DataFrame, columns: list[str], time_col: str, millis:
     """The rows of a stream whose key in `columns` was not given out within `millis` before their time; of one batch's rows of
     a key the earlier ones come first. A key's state ends when the watermark has passed that time."""
     keeps_state(stream.sparkSession)
-    rows = stream.withWatermark(time_col, watermark).select(F.xxhash64(*columns).alias("_h"), F.to_json(F.struct(*columns)).alias("_k"), F.unix_millis(time_col).alias("_at"), F.to_json(F.struct(*stream.columns)).alias("_row"), F.col(time_col))
+    timed = stream.withColumn("_time", F.col(time_col).cast("timestamp")).withWatermark("_time", watermark)
+    rows = timed.select(F.xxhash64(*columns).alias("_h"), F.to_json(F.struct(*columns)).alias("_k"), F.unix_millis("_time").alias("_at"), F.to_json(F.struct(*stream.columns)).alias("_row"), "_time")
     out = rows.filter("_at IS NOT NULL").groupBy("_h", "_k").transformWithState(Firsts(millis), T.StructType([T.StructField("_row", T.StringType())]), "Append", "EventTime")
     return out.select(F.from_json("_row", stream.schema).alias("r")).select("r.*")
