@@ -28,6 +28,8 @@ STOP_WORDS = frozenset(
 
 #: A block of at least this many characters and this share of stop words is decided to be text.
 LENGTH, STOP_DENSITY = 70, 0.12
+#: Share of a page's long blocks that must have so many stop words, else its language is taken for one without a list.
+KNOWN = 0.25
 #: A block whose links hold more than this share of its characters is decided to be navigation.
 LINK_DENSITY = 0.5
 
@@ -54,7 +56,8 @@ ADVERTS = frozenset("ad ads adsense advert advertisement advertisements advertis
 #: Ids of sections that mark comments inside a region too, where other ids are anchors.
 COMMENTS = frozenset("comment comments commentlist disqus".split())
 #: Parts of a class that say what an element lacks, goes with or is filed under, and parts that only say how it is laid out.
-MODIFIERS = frozenset("cat category has hide no not tag term topic with without".split())
+#: Builders of pages name each box of a text a widget; a hero banner is an article's head.
+MODIFIERS = frozenset("builder cat category elementor has hero hide no not tag term text topic with without".split())
 LAYOUT = frozenset(
     """area block body bottom box btn button buttons container content group inner item items left link links list main outer panel
     right row section text top wrap wrapper""".split()
@@ -62,9 +65,11 @@ LAYOUT = frozenset(
 MAIN = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed img input link meta param source track wbr".split())
 
-# a tag ends before the next "<": so whatever is left open, each place is read once
+# a tag ends before the next "<" that isn't in a quoted value of some 4,096 characters: whatever is left open, no place is read
+# often
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"<]*+\"|'[^'<]*+'|[^'\"<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'|[^'\"<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>",
+    re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _UNSEEN = re.compile(r"(?:^|[;\s])display\s*+:\s*+none\b", re.I)
@@ -131,6 +136,7 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
     found: list[tuple[str, Block]] = []
     block = Block()
     links = regions = at = 0
+    anchors: list[bool] = []  # open a elements: whether each is a link
     depth: Counter[str] = Counter()
     endless: set[str] = set()
     muted: list[str] = []  # an advert within a line and the elements of its name inside; any block ends it
@@ -171,8 +177,8 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
             if not ADVERTS.isdisjoint(words_of(f"{marks.get('class', '')} {marks.get('id', '')}")):
                 muted.append(name)
         if closing:
-            if name == "a":
-                links = max(0, links - 1)
+            if name == "a" and anchors:
+                links -= anchors.pop()
             elif name in BLOCKS:
                 if name not in LEAVES and depth[name]:
                     while True:
@@ -181,6 +187,7 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
                         if gone == name:
                             break
                     links = 0
+                    anchors.clear()
                 close("")
             continue
         if name in RAW:
@@ -196,8 +203,9 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
         if name in ("br", "img", "input", "wbr"):
             say(" " if name != "wbr" else "")
             continue
-        if name == "a":
-            links += 1
+        if name == "a":  # without href it is a place, no link
+            anchors.append("href" in attributes_of(attributes))
+            links += anchors[-1]
             continue
         if name not in BLOCKS:
             continue
@@ -244,11 +252,22 @@ def blocks(page: str, but: frozenset[str] = frozenset()) -> list[tuple[str, Bloc
     return found
 
 
-def is_prose(text: str, linked: int) -> bool:
-    """Whether a block is long enough and has stop words enough, and few links."""
+def stop_share(text: str) -> float:
+    """The share of stop words in the words of a text."""
     words = _WORDS.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    return len(text) >= LENGTH and density >= STOP_DENSITY and not linked > 0.2 * len(text)
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def is_prose(text: str, linked: int, known: bool = True) -> bool:
+    """Whether a block is long enough and has few links, and stop words enough if the page's language is a known one."""
+    return len(text) >= LENGTH and linked <= 0.2 * len(text) and (not known or stop_share(text) >= STOP_DENSITY)
+
+
+def is_known(texts: list[tuple[str, int]]) -> bool:
+    """Whether stop words can judge a page of these blocks (text, characters in links): not if of those that are long and have
+    few links less than a share of KNOWN, in characters, has stop words enough."""
+    long = [text for text, linked in texts if is_prose(text, linked, False)]
+    return sum(len(t) for t in long if stop_share(t) >= STOP_DENSITY) >= KNOWN * sum(map(len, long))
 
 
 def main_text(page: str) -> str:
@@ -257,7 +276,8 @@ def main_text(page: str) -> str:
     An empty page gives an empty text. What browsers don't show (hidden elements) is left out.
 
     First pass: a block is other if it lies in what surrounds articles or is mostly links, text if it is long enough and
-    has stop words enough, and undecided else. Second pass: an undecided block takes the label of the nearest decided
+    has stop words enough (in a language that the list of stop words doesn't know, if it is long enough and has few links),
+    and undecided else. Second pass: an undecided block takes the label of the nearest decided
     neighbours in its region, those that surround articles aside; of two as near that disagree, text wins; where nothing
     is decided it is text. If article and main elements hold text, and as much of what is text by the first pass as lies
     outside of them at least, what lies outside is other.
@@ -268,7 +288,8 @@ def main_text(page: str) -> str:
     found = blocks(page)
     decided = chosen(found)
     if all(b.tag in HEADINGS for (_, b), d in zip(found, decided, strict=True) if d):
-        lost = [(not b.by & OTHERS, len(text), b.by) for text, b in found if b.out and b.by and is_prose(text, b.linked)]
+        known = is_known([(text, b.linked) for text, b in found])
+        lost = [(not b.by & OTHERS, len(text), b.by) for text, b in found if b.out and b.by and is_prose(text, b.linked, known)]
         if lost:
             found = blocks(page, max(lost, key=lambda x: x[:2])[2])
             decided = chosen(found)
@@ -277,7 +298,8 @@ def main_text(page: str) -> str:
 
 def chosen(found: list[tuple[str, Block]]) -> list[bool]:
     """Whether each block belongs to the article."""
-    labels: list[bool | None] = [False if b.out or b.linked > LINK_DENSITY * len(text) else True if is_prose(text, b.linked) else None for text, b in found]
+    known = is_known([(text, b.linked) for text, b in found if not b.out])
+    labels: list[bool | None] = [False if b.out or b.linked > LINK_DENSITY * len(text) else True if is_prose(text, b.linked, known) else None for text, b in found]
     near: list[list[tuple[int, bool]]] = [[] for _ in found]  # (distance, whether it is other) of the decided neighbours
     for order in (range(len(found)), reversed(range(len(found)))):
         last: dict[int, int] = {}

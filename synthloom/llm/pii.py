@@ -42,6 +42,7 @@ TERM = r"[\p{L}\p{M}\p{N}]++(?:['\u2019-][\p{L}\p{M}\p{N}]++)*+"
 _PART_OF_TERM = r"[\p{L}\p{M}\p{N}]"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 SPANS = f"array<{SPAN}>"
+NO_ACTION = "_key binary, _told array<string>, _levels array<int>"
 #: Items after which a scan starts a new array, and code points of the blocks that long texts are cut in.
 SCAN_BLOCK, TEXT_BLOCK = 256, 4096
 
@@ -141,8 +142,10 @@ def terms_of(text: Column) -> Column:
 
 
 def classes_of(term: Column) -> Column:
-    """The classes that a term generalises to, from narrow to wide: words that share its first half, and its first letter."""
-    return F.array(F.concat(F.substr(term, F.lit(1), F.ceil(F.length(term) / 2).cast("int")), F.lit("*")), F.concat(F.substring(term, 1, 1), F.lit("**")))
+    """The classes that a term generalises to, from narrow to wide: terms of its kind (letters, digits, both) and length, and of
+    its kind. Neither says a letter of it."""
+    kind = F.when(term.rlike(r"^[\p{L}\p{M}]+$"), "word").when(term.rlike(r"^\p{N}+$"), "number").otherwise("code")
+    return F.array(F.concat(F.lit("["), kind, F.lit(" of "), F.length(term).cast("string"), F.lit("]")), F.concat(F.lit("["), kind, F.lit("]")))
 
 
 def spliced(text: Column, spans: Column, mask: Callable[[Column], Column]) -> Column:
@@ -201,10 +204,15 @@ def actions_on(rows: DataFrame, at: float = DISCLOSED_AT, support: int = SUPPORT
     named = written(spotted.select("_row", F.explode(entities(F.col("_base"))).alias("entity")), "pii-named")
     # no term can be in more texts with an entity than the entity is in: those below the support give no pair
     counted = written(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support), "pii-counted")
-    held = written(named.join(small(counted, 96), "entity"), "pii-held")
     (largest,) = counted.agg(F.max("n_entity")).first()
     if largest is None:
-        return rows.sparkSession.createDataFrame([], "_key binary, _told array<string>, _levels array<int>")
+        return rows.sparkSession.createDataFrame([], NO_ACTION)
+    # entities of the same texts have the same counts with every term: they are one, named by 128 bits of these texts
+    held = named.join(small(counted.drop("n_entity"), 96), "entity")
+    alike = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), *(F.bit_xor(F.xxhash64("_row", F.lit(k))).alias(f"x{k}") for k in (0, 1)))
+    alike = written(alike.select(F.col("entity").alias("_of"), F.concat_ws(":", "n_entity", "x0", "x1").alias("group"), "n_entity"), "pii-alike")
+    held = held.join(small(alike, 144), F.col("entity") == F.col("_of")).select("_row", F.col("group").alias("entity"), "n_entity").distinct()
+    held = written(held, "pii-held")
     near = spotted.join(small(held.select("_row").distinct(), 16), "_row", "left_semi")
     around = spliced(F.col("_text"), F.col("_base"), lambda s: F.lit(" "))
     beside = written(near.select("_row", F.explode(terms_of(around)).alias("term")), "pii-beside")
@@ -217,6 +225,8 @@ def actions_on(rows: DataFrame, at: float = DISCLOSED_AT, support: int = SUPPORT
     pairs = written(beside.join(small(rare, 64), "term").join(small(held, 112), "_row").filter(reach >= at), "pii-pairs")
     joint = pairs.groupBy("entity", "term", "n_entity", "n_near").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
     joint = written(joint.filter(disclosed(F.col("n_near"), F.col("n_entity"), F.col("both"), n_texts, prior) >= at), "pii-joint")
+    if joint.isEmpty():
+        return rows.sparkSession.createDataFrame([], NO_ACTION)
 
     asked = joint.select("term").distinct()
     asked = written(asked.select(F.explode(F.concat(F.array("term"), classes_of(F.col("term")))).alias("word")).distinct(), "pii-asked")
@@ -243,7 +253,7 @@ def actions_on(rows: DataFrame, at: float = DISCLOSED_AT, support: int = SUPPORT
     by_row = written(mine.groupBy("_row").agg(ordered.alias("t")), "pii-by-row")
     actions = rows.select("_row", "_key").join(small(by_row, 512), "_row").select("_key", F.col("t.term").alias("_told"), F.col("t.level").alias("_levels"))
     actions = written(actions, "pii-actions")
-    for done in (copies, extra, named, counted, held, beside, rare, pairs, joint, asked, n_word, told, classed, safe, by_row):
+    for done in (copies, extra, named, counted, alike, held, beside, rare, pairs, joint, asked, n_word, told, classed, safe, by_row):
         discard(done)
     return actions
 
@@ -267,7 +277,8 @@ def found(docs: DataFrame, text_col: str = "text", **how) -> tuple[DataFrame, di
     """docs with more columns, and their names: base (pattern spans), spans (all spans), told and levels (of terms).
 
     A term span is a whole-word occurrence, in any case, of a term that gives away an entity of this very text; it
-    never overlaps a pattern span. Null texts are empty; whole texts are read, in time about linear in their length;
+    never overlaps a pattern span. Null texts are empty; whole texts are read, in time linear in their length, times the
+    number of terms told in a text where there are any;
     repeated rows and copies of a text get the same spans; of spans that begin alike the first kind stands first; an empty
     table gives no row; columns of any names are carried along. The rows are written once with what the patterns find.
     """
