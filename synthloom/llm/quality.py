@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -10,12 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthloom.functions.text import let
-from synthloom.llm.common import SPACES, table, text_of, trimmed, words_of, written
+from synthloom.llm.common import SPACES, table, text_of, trimmed, words_of
 
 #: Rows of the sample on which cost and selectivity are measured. The verdict doesn't depend on it, only the order does.
 SAMPLE_ROWS = 2000
-#: Times that a rule is run on the sample; the fastest counts.
-TIMES = 3
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -128,31 +125,53 @@ RULES = (
 )
 
 
+class Asked(dict):
+    """Features that remember which of them were asked for."""
+
+    def __init__(self, found: Mapping[str, Column]):
+        super().__init__(found)
+        self.names: set[str] = set()
+
+    def __getitem__(self, name: str) -> Column:
+        self.names.add(name)
+        return super().__getitem__(name)
+
+
+def operations(text: Column, words: Column) -> dict[str, Column]:
+    """How many steps each feature takes on a text that is parted into words: code points read, items looked at, and items
+    times their logarithm where they are sorted or told apart."""
+    chars, n = F.length(text_of(text)).cast("double"), F.size(words).cast("double")
+    lines = chars - F.length(F.translate(text_of(text), "\n", "")) + 1
+    return {
+        "n_words": F.lit(1.0),
+        "word_chars": 2 * chars,
+        "n_symbols": 3 * chars,
+        "n_capitals": 3 * chars,
+        "n_lines": 2 * chars + lines,
+        "n_dup_lines": 3 * chars + 2 * lines,
+        "n_repeat_words": 3 * chars + 8 * n + n * F.log2(n + 2),
+    }
+
+
 def ordered_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", seed: int = 5) -> list[tuple[Rule, float, float]]:
-    """The rules by rejection per cost, with the seconds and the share of rows each one rejects on the sample.
+    """The rules by rejection per cost, with the steps that each takes on a text in the mean and the share of rows it rejects.
 
-    The sample is drawn from all rows. A rule's cost is the time of a job that applies it to the sample, the fastest of
-    TIMES, less that of a job that only reads it.
+    Both are measured on a sample drawn from all rows, in one job. Steps are those of operations() for the features that a
+    rule asks for: unlike seconds, they are the same in every run and beside any other work.
     """
     n = docs.count()
     text = docs.select(docs[text_col].alias("text"))
     if n > sample_rows:
         text = text.sample(fraction=min(1.0, sample_rows / n), seed=seed)
-    sample = written(text, "quality-sample")
-    f = features(F.col("text"))
-
-    def timed(fails: Column) -> tuple[float, float]:
-        began = time.perf_counter()
-        got = sample.agg(F.count(F.lit(1)), F.count_if(fails)).first()
-        return time.perf_counter() - began, got[1] / max(1, got[0])
-
-    def least(fails: Column) -> tuple[float, float]:
-        runs = [timed(fails) for _ in range(TIMES)]
-        return min(s for s, _ in runs), runs[0][1]
-
-    floor, _ = least(F.length(text_of("text")) < 0)
-    found = [(rule, *least(rule.fails(f))) for rule in rules]
-    found = [(rule, max(s - floor, 1e-3), share) for rule, s, share in found]
+    sample = text.withColumn("w", words_of(F.col("text")))
+    steps, asked, fails = operations(F.col("text"), F.col("w")), [], []
+    for rule in rules:
+        f = Asked(features(F.col("text"), F.col("w")))
+        fails.append(rule.fails(f))
+        asked.append(f.names)
+    costs = [sum((steps[name] for name in sorted(names)), F.lit(1.0)) for names in asked]
+    got = sample.agg(F.count(F.lit(1)), *(F.count_if(x) for x in fails), *(F.coalesce(F.avg(c), F.lit(1.0)) for c in costs)).first()
+    found = [(rule, got[1 + len(rules) + k], got[1 + k] / max(1, got[0])) for k, rule in enumerate(rules)]
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
@@ -189,11 +208,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [rule for rule, _, _ in ordered_rules(docs)]
     asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def counts(words: Column) -> Column:
-        f = features(docs["text"], words)
-        return F.struct(*(f[k].alias(k) for k in asked))
-
-    counted = docs.select("doc_id", "text", let(words_of(docs["text"]), counts).alias("f")).select("doc_id", "text", *(F.col("f")[k].alias(k) for k in asked))
+    parted = docs.select("doc_id", "text", words_of(docs["text"]).alias("w"))
+    found = features(F.col("text"), F.col("w"))
+    counted = parted.select("doc_id", "text", *(found[k].alias(k) for k in asked))
     columns = {**features(F.col("text")), **{k: F.col(k) for k in asked}}
     base = F.lit(False)
     for rule in BASE:

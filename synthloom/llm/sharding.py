@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthloom.llm.common import fresh, running, table, text_of
+from synthloom.llm.common import discard, fresh, running, table, text_of, written
 
 SHARDS = 8
 
@@ -40,14 +40,18 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs below path as shard=0, shard=1, ..., joined to its shard by id (ids must be unique and not null here).
+    """Write docs below path as shard=0, shard=1, ..., every row once, whatever its id: null and repeated ids are rows of
+    their own. Columns named shard or slot are replaced; an empty table writes no shard.
 
-    Each shard is written by several tasks, dealt by slot, so a large shard never meets in one.
+    docs are written first, each row with a number of its own, and joined to their places by it. Each shard is written by
+    several tasks, dealt by slot, so a large shard never meets in one.
     """
-    at = fresh(docs, "at")
-    where = byte_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias(at), "shard", "slot")
-    out = docs.drop("shard", "slot").join(where, docs[id_col] == F.col(at)).drop(at)
+    at, to = fresh(docs, "at"), fresh(docs, "to")
+    rows = written(docs.drop("shard", "slot").withColumn(at, F.monotonically_increasing_id()), "shard-rows")
+    where = byte_shards(rows.select(at, text_col), shards, at, text_col).select(F.col(at).alias(to), "shard", "slot")
+    out = rows.join(where, F.col(at) == F.col(to)).drop(at, to)
     out.repartition("shard", F.floor(F.col("slot") / 65536)).write.partitionBy("shard").parquet(path)
+    discard(rows)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,4 +181,13 @@ def test_cascade_keeps_clean_documents(spark):
     assert [r.doc_id for r in quality.kept_documents(docs).collect()] == ["clean"]
     order = [r.name for r, _, _ in quality.ordered_rules(docs)]
     assert sorted(order) == sorted(r.name for r in quality.RULES)
+    assert all([r.name for r, _, _ in quality.ordered_rules(docs)] == order for _ in range(10))
     assert quality.kept_documents(docs.limit(0)).count() == 0
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, "a"), (None, "b"), (1, "c"), (1, "c"), (1, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS shard", "7 AS slot", "text AS _at")
+    sharding.write_shards(docs, str(tmp_path / "s"), 2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(rows, key=str) and {r.shard for r in back.collect()} == {0, 1}
