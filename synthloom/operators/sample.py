@@ -8,9 +8,42 @@ from pyspark.sql import functions as F
 from synthloom.functions.text import uniform
 
 
+#: Rows that one task may merge; more are picked by a bound on their keys.
+MERGED = 100_000
+#: Parts in which a pass counts the keys between two bounds.
+BINS = 4096
+
+
 def _least(df: DataFrame, key: Column, k: int, tie: Column) -> DataFrame:
-    """The k rows of least key: each partition keeps k at most, and these are merged (no full sort)."""
-    return df.withColumn("_sample_key", key).orderBy("_sample_key", tie).limit(k).drop("_sample_key")
+    """The k rows of least key, of equal ones those of least tie. Few are merged from what each partition keeps; of many, all
+    below a bound are taken and only those at the bound, MERGED at most, are merged."""
+    keyed = df.withColumn("_sample_key", key.cast("double"))
+    if k <= MERGED:
+        return keyed.orderBy("_sample_key", tie).limit(k).drop("_sample_key")
+    low, high, before = _bounds(keyed.select("_sample_key"), k)
+    below = keyed.filter(F.col("_sample_key") < low)
+    at = keyed.filter(F.col("_sample_key").between(low, high)).orderBy("_sample_key", tie).limit(k - before)
+    return below.unionByName(at).drop("_sample_key")
+
+
+def _bounds(keys: DataFrame, k: int) -> tuple[float, float, int]:
+    """(low, high, keys below low): bounds that hold the k-th least key and MERGED keys at most, or one value.
+
+    Each pass counts the keys of BINS parts of what is left, so a few passes find the bounds among any number of keys."""
+    n, low, high = keys.agg(F.count("_sample_key"), F.min("_sample_key"), F.max("_sample_key")).first()
+    before = 0
+    while n > MERGED and low < high:
+        inside = keys.filter(F.col("_sample_key").between(low, high))
+        part = F.least(F.lit(BINS - 1), F.floor((F.col("_sample_key") - low) / (high - low) * BINS))
+        counts = inside.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("_sample_key").alias("low"), F.max("_sample_key").alias("high"))
+        for r in sorted(counts.collect(), key=lambda r: r.p):  # BINS rows at most
+            n, low, high = r.n, r.low, r.high
+            if before + n >= k:
+                break
+            before += n
+        else:  # fewer than k keys: all are taken
+            return float("inf"), float("inf"), before
+    return low, high, before
 
 
 def uniform_sample(df: DataFrame, max_rows: int, seed: int = 42, order: str = "_ord") -> DataFrame:

@@ -243,7 +243,6 @@ def read_symbols(
     flat = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SYMBOL.fields)
     found = files.mapInPandas(parse, f"{flat}, _place int")
     kept = symbols_kept(found, kinds, min_complexity, exclude_namespaces).withColumn("body_text", truncate_lines(F.col("body_text"), max_body_lines))
-    short = F.element_at(F.split("fully_qualified_name", r"\."), -1)
     return kept.select(
-        F.struct(*names).alias("symbol"), "kind", short.alias("name"), "namespace", "file_path", "complexity", F.concat_ws("#", "file_path", F.lpad(F.col("_place").cast("string"), 8, "0")).alias("_ord")
+        F.struct(*names).alias("symbol"), "kind", F.col("fully_qualified_name").alias("name"), "namespace", "file_path", "complexity", F.concat_ws("#", "file_path", F.lpad(F.col("_place").cast("string"), 8, "0")).alias("_ord")
     )

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,43 @@ def test_generated_files_are_known_by_all_that_precedes_the_code(spark, tmp_path
     (tmp_path / "D.cs").write_text(licence + body % "Plain")
     paths = {r.file_path.rsplit("/", 1)[-1] for r in read_symbols(spark, str(tmp_path)).select("file_path").collect()}
     assert paths == {"B.cs", "D.cs"}
+
+
+def test_cosine_clusters_make_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(3, 24))
+    vectors = [centres[0] + 0.02 * rng.normal(size=24) for _ in range(600)] + [centres[k % 3] + 0.35 * rng.normal(size=24) for k in range(120)] + list(rng.normal(size=(150, 24)))
+    order = rng.permutation(len(vectors))
+    df = spark.createDataFrame([(k, [float(x) for x in vectors[i]]) for k, i in enumerate(order)] + [(9000, None), (9001, [0.0] * 24)], "_ord long, embedding array<double>")
+    made = {}
+    real = dedup.written
+
+    def counted(rows, name):
+        out = real(rows, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "written", counted)
+    got = {r._ord for r in dedup.cosine_dedup(df, threshold=0.9).collect()}
+    unit = [vectors[i] / np.linalg.norm(vectors[i]) for i in order]
+    stay = []
+    for k, v in enumerate(unit):
+        if all(v @ unit[s] < 0.9 for s in stay):
+            stay.append(k)
+    assert got == {*stay, 9000, 9001} and 150 < len(stay) < 330
+    assert made["edges"] < 3 * len(unit)  # all pairs of the cluster would be 180,000
+    with pytest.raises(ValueError, match="can't be compared"):
+        dedup.cosine_dedup(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "_ord long, embedding array<double>"))
+
+
+def test_many_rows_are_picked_by_a_bound(spark, monkeypatch):
+    df = spark.range(20_000).selectExpr("id AS _ord", "CAST(id % 7 AS INT) AS complexity", "CAST(id % 3 AS INT) AS tied")
+    for k in (1, 4_000, 19_999, 20_000, 30_000):
+        want = [sorted(r._ord for r in f(df, k).select("_ord").collect()) for f in (sample.uniform_sample, sample.weighted_sample)]
+        monkeypatch.setattr(sample, "MERGED", 50)
+        assert [[r._ord for r in f(df, k).select("_ord").collect()] for f in (sample.uniform_sample, sample.weighted_sample)] == want
+        monkeypatch.undo()
+    monkeypatch.setattr(sample, "MERGED", 50)
+    low, high, before = sample._bounds(df.select(F.col("tied").cast("double").alias("_sample_key")), 10_000)
+    assert (low, high, before) == (1.0, 1.0, 6_667)
+    assert sample._least(df, F.col("tied"), 10_000, F.col("_ord")).groupBy("tied").count().filter("tied = 1").first()[1] == 3_333
