@@ -128,7 +128,20 @@ class Crf:
         return n_blocks, psi, inside, (number == 0) & (not goes_on)
 
     def marginals(self, emissions: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
-        """Label probabilities of every word of several chains that lie one after another, by forward-backward.
+        """Label probabilities of every word of several chains that lie one after another, by forward-backward."""
+        return self.forward_backward(emissions, lengths, before, after)[0]
+
+    def links(self, p: np.ndarray, forward: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Probabilities of the labels (from, to) of the words at the places `at` and of those after them, in one chain each.
+
+        The forward vector before a word's own potential is known from the word before; the word's marginal divided by it is
+        what the word and all after it say."""
+        step = np.exp(self.transitions)
+        joint = forward[at][:, :, None] * step * (p[at + 1] / (forward[at] @ step))[:, None, :]
+        return joint / joint.sum(axis=(1, 2), keepdims=True)
+
+    def forward_backward(self, emissions: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(label probabilities, forward vectors) of every word of several chains.
 
         Chains are cut into blocks of BLOCK words. The matrix that carries a block's first forward vector to its last is
         made for all blocks at once; chaining these gives each block its ends, and the words inside follow, again for all
@@ -137,7 +150,7 @@ class Crf:
         """
         k = emissions.shape[1]
         if not len(emissions):
-            return np.zeros((0, k))
+            return np.zeros((0, k)), np.zeros((0, k))
         n_blocks, psi, inside, begins = self.blocks(emissions, lengths, before is not None)
         total = len(psi)
         first_block = np.cumsum(n_blocks) - n_blocks
@@ -169,7 +182,7 @@ class Crf:
             moved = (psi[:, t] * v) @ step.T
             v = np.where(inside[:, t, None], moved / moved.sum(axis=1, keepdims=True), v)
         both = (forward * backward)[inside]
-        return both / both.sum(axis=1, keepdims=True)
+        return both / both.sum(axis=1, keepdims=True), forward[inside]
 
     def carried(self, emissions: np.ndarray, goes_on: bool) -> np.ndarray:
         """The matrix that carries the forward vector before a part of a chain to that of its last word."""
@@ -224,15 +237,12 @@ def fitted(texts: list[str], langs: list[str], seed: int = 3) -> Crf:
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, transitions)]
     for step in range(1, STEPS + 1):
         emissions = _gathered(model.weights, of, ids, len(vocabulary))[word]
-        p = model.marginals(emissions, lengths)
+        p, forward = model.forward_backward(emissions, lengths)
         error = -p
         error[np.arange(len(word)), label] += 1
         by_word = np.stack([np.bincount(word, error[:, k], len(vocabulary)) for k in range(len(labels))], axis=1)
         g_weights = np.stack([np.bincount(ids, by_word[of, k], 1 << BITS) for k in range(len(labels))], axis=1) / len(word)
-        # expected transitions, from the marginals on either side of each link
-        a, b = p[from_at], p[from_at + 1]
-        joint = (a[:, :, None] * np.exp(model.transitions)[None]) * b[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
+        joint = model.links(p, forward, from_at)
         seen = np.zeros_like(transitions)
         np.add.at(seen, (label[from_at], label[from_at + 1]), 1)
         g_transitions = (seen - joint.sum(axis=0)) / len(word)

@@ -1,3 +1,4 @@
+import itertools
 """Extraction, personal data, language, media: against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
@@ -367,6 +368,33 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_gradient_is_that_of_the_likelihood():
+    """What fitting takes for expected labels and transitions, against finite differences of the sum over all label sequences."""
+    rng = np.random.default_rng(3)
+    k, lengths = 3, np.array([4, 1, 5])
+    e, t = rng.normal(size=(10, k)), rng.normal(size=(k, k))
+
+    def log_z(e, t):
+        total, at = 0.0, 0
+        for n in lengths:
+            total += math.log(sum(math.exp(sum(e[at + i, y] for i, y in enumerate(ys)) + sum(t[a, b] for a, b in itertools.pairwise(ys))) for ys in itertools.product(range(k), repeat=int(n))))
+            at += n
+        return total
+
+    model = language.Crf(list("abc"), np.zeros((1, k)), t)
+    p, forward = model.forward_backward(e, lengths)
+    links = model.links(p, forward, np.array([0, 1, 2, 5, 6, 7, 8])).sum(axis=0)
+    h = 1e-5
+    for i, j in itertools.product(range(k), range(k)):
+        d = np.zeros((k, k))
+        d[i, j] = h
+        assert links[i, j] == pytest.approx((log_z(e, t + d) - log_z(e, t - d)) / (2 * h), abs=1e-6)
+    for i, j in itertools.product(range(10), range(k)):
+        d = np.zeros((10, k))
+        d[i, j] = h
+        assert p[i, j] == pytest.approx((log_z(e + d, t) - log_z(e - d, t)) / (2 * h), abs=1e-6)
+
+
 def test_marginals_equal_word_by_word_recursion():
     rng = np.random.default_rng(1)
     k, lengths = 3, np.array([1, 0, 5, 64, 65, 200])
