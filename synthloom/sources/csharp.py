@@ -205,6 +205,23 @@ def _of_projects(files: DataFrame, known: DataFrame, include_tests: bool) -> Dat
     return files.join(own if include_tests else own.filter(~F.col("test")), "path", "left_semi")
 
 
+def source_files(spark: SparkSession, path: str, include_generated: bool = False, include_tests: bool = False) -> DataFrame:
+    """(file_path, value) of the .cs files of a .sln, a .csproj or a folder, as read_symbols takes them."""
+    root = root_of(path)
+    files = _below(spark, root, "*.cs")
+    known = projects(spark, path)
+    if not known.isEmpty():
+        files = _of_projects(files, known, include_tests)
+    elif not include_tests:
+        files = files.filter(~F.col("path").rlike(r"(?i)\.(?:Tests|Test|UnitTests|IntegrationTests|AcceptanceTests)/"))
+    if not include_generated:
+        head = F.regexp_extract("value", LEADING, 0)
+        files = files.filter(~is_generated(F.col("path"), F.lower(head)))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getRawPath().rstrip("/")
+    return files.select(F.substr("path", F.lit(len(whole) + 2)).alias("file_path"), "value")
+
+
 def read_symbols(
     spark: SparkSession,
     path: str,
@@ -220,19 +237,7 @@ def read_symbols(
     Paths are relative to the solution, project or folder. Where there are projects, files outside of any are left out, and
     those of test projects too unless asked for; a folder without projects gives all of its .cs files.
     """
-    root = root_of(path)
-    files = _below(spark, root, "*.cs")
-    known = projects(spark, path)
-    if not known.isEmpty():
-        files = _of_projects(files, known, include_tests)
-    elif not include_tests:
-        files = files.filter(~F.col("path").rlike(r"(?i)\.(?:Tests|Test|UnitTests|IntegrationTests|AcceptanceTests)/"))
-    if not include_generated:
-        head = F.regexp_extract("value", LEADING, 0)
-        files = files.filter(~is_generated(F.col("path"), F.lower(head)))
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getRawPath().rstrip("/")
-    files = files.select(F.substr("path", F.lit(len(whole) + 2)).alias("file_path"), "value")
+    files = source_files(spark, path, include_generated, include_tests)
     names = [f.name for f in SYMBOL.fields]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
