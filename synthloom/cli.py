@@ -48,6 +48,7 @@ def _parser() -> argparse.ArgumentParser:
         v.add_argument("--provider", default="offline")
         v.add_argument("--model")
         v.add_argument("--workers", type=int, default=4)
+        v.add_argument("--ledger", help="folder of replies that later runs need not pay for again")
         v.add_argument("--dry-run", action="store_true")
         if name == "generate":
             v.add_argument("--max-rows", type=int, default=0)
@@ -102,12 +103,12 @@ def main(args: Sequence[str] | None = None) -> int:
         elif a.verb == "sync":
             spark, make = session(), generate.maker(a.provider)
             source = {"solution_path": a.path}
-            done = datasets.sync_dataset(spark, _symbols(spark, a), a.out, make, a.dataset_type, a.orphans, a.dry_run, source, model=a.model, workers=a.workers)
+            done = datasets.sync_dataset(spark, _symbols(spark, a), a.out, make, a.dataset_type, a.orphans, a.dry_run, source, model=a.model, workers=a.workers, ledger=a.ledger)
             print(*(f"{k}: {v}" for k, v in done.asDict().items()), sep="\n")
         else:
             spark, make = session(), generate.maker(a.provider)
             symbols = sample.sample(_symbols(spark, a), a.max_rows, seed=a.seed)
-            source, options = {"solution_path": a.path}, {} if a.dry_run else {"model": a.model, "workers": a.workers}
+            source, options = {"solution_path": a.path}, {} if a.dry_run else {"model": a.model, "workers": a.workers, "ledger": a.ledger}
             rows = datasets.generate_dataset(spark, symbols, a.out, None if a.dry_run else make, a.dataset_type, a.format, source, **options)
             print(f"{rows.count()} rows")
     except KeyboardInterrupt:

@@ -9,35 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthloom.tables import BROADCAST_BYTES, discard, written
+from synthloom.tables import looked_up, written
 
-#: A key that holds more than this share of the rows is joined by broadcast: there are at most 1 / HOT such keys.
-HOT = 1e-3
-#: What a row of a lookup table may take; HOT keys of that size stay below the broadcast bound.
-_ROW_BYTES = 4096
 # Caps of the lists that go into a prompt.
 MAX_CALLEES, MAX_INTERFACES, MAX_DEPTH = 20, 10, 5
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """rows joined with a table of unique keys `on`, without a task for a key that many rows share.
-
-    rows is read three times, so it should be a written table. Keys above HOT of the rows are few by their definition, and
-    their part of the table is broadcast; the others are shuffled. Under "left", rows of null keys are kept and not shuffled.
-    """
-    assert _ROW_BYTES / HOT <= BROADCAST_BYTES
-    keyed = rows.filter(F.col(on).isNotNull())
-    n = keyed.count()
-    hot = keyed.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(1000.0, HOT * n)).select(on)
-    hot = F.broadcast(written(hot, "hot"))
-    often = keyed.join(hot, on, "left_semi").join(F.broadcast(table.join(hot, on, "left_semi")), on, how)
-    out = keyed.join(hot, on, "left_anti").join(table, on, how).unionByName(often)
-    if how != "left":
-        return out
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields if f.name != on]
-    return out.unionByName(rows.filter(F.col(on).isNull()).select("*", *none))
-
-
 def ancestors(parents: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(child, ancestor, depth): what is reached from a child over (child, parent) rows in at most `depth` steps, each once
     and at its least depth. Children of a circle reach the others in it, never themselves. Rows with a null side are left out.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthloom.functions.replies import judged
+from synthloom.operators.ledger import replied
 from synthloom.operators.prompts import message, prompt, rendered
 from synthloom.providers.base import Options, Provider, provider
 
@@ -19,7 +20,12 @@ Maker = Callable[[], Provider]
 def maker(name: str, settings: Mapping | None = None) -> Maker:
     """A provider to be made once in each worker; the name is looked up at once, so a wrong one fails at planning."""
     provider(name, **(settings or {}))
-    return lambda: provider(name, **(settings or {}))
+
+    def made() -> Provider:
+        return provider(name, **(settings or {}))
+
+    made.label = f"{name.lower()} {(settings or {}).get('base_url', '')}".strip()  # what a ledger tells providers apart by
+    return made
 
 
 def completed(messages: Column, make: Maker, options: Options, workers: int = 4) -> Column:
@@ -42,6 +48,13 @@ def completed(messages: Column, make: Maker, options: Options, workers: int = 4)
     return call.asNondeterministic()(messages)
 
 
+def answered(df: DataFrame, messages: Column, make: Maker, options: Options, workers: int, ledger: str | None) -> DataFrame:
+    """df with `_reply`: lazily from completed(), or at once and through the ledger of replies in that folder."""
+    if ledger is None:
+        return df.withColumn("_reply", completed(messages, make, options, workers))
+    return replied(df.withColumn("_asked", messages), make, options, ledger, workers, messages="_asked").drop("_asked")
+
+
 def generate(
     df: DataFrame,
     make: Maker,
@@ -52,15 +65,19 @@ def generate(
     workers: int = 4,
     system_prompt: str | None = None,
     drop_on_error: bool = True,
+    ledger: str | None = None,
+    keep_reply: bool = False,
 ) -> DataFrame:
     """Rows with the prepared and the parsed columns of their dataset type; parsed ones win.
 
     Rows without a symbol go. Where a call fails or its reply can't be read, the row goes, or keeps `error` (and
     `response_raw`) if drop_on_error is off. The call is made once a row: it is the only expression that isn't deterministic,
-    so persist or write the result before using it twice.
+    so persist or write the result before using it twice. With a ledger, a folder that all tasks share, calls are made at
+    once, each different one once, and those that an earlier run or attempt made are not made again (see ledger.py); keep_reply
+    adds `reply_kept`, whether the ledger held a row's reply before.
     """
     p = prompt(dataset_type)
-    asked = rendered(df, dataset_type, system_prompt).withColumn("_reply", completed(F.col("_messages"), make, Options(model, temperature, max_tokens), workers))
+    asked = answered(rendered(df, dataset_type, system_prompt), F.col("_messages"), make, Options(model, temperature, max_tokens), workers, ledger)
     read = p.read(F.col("_reply.raw"))
     out = asked.withColumns(dict(read))
     unread = F.col("_reply.raw").isNull() | F.col(p.fields[0]).isNull()
@@ -69,6 +86,8 @@ def generate(
     else:
         out = out.withColumn("error", F.when(F.col("_reply.error").isNotNull(), F.col("_reply.error")).when(unread, F.lit("response did not parse")))
         out = out.withColumn("response_raw", F.when(F.col("_reply.error").isNull() & unread, F.col("_reply.raw")))
+    if keep_reply:
+        out = out.withColumn("reply_kept", F.col("_reply.kept") if ledger else F.lit(False))
     return out.drop("_messages", "_reply")
 
 
@@ -90,6 +109,7 @@ def judge(
     model: str | None = None,
     temperature: float | None = 0.0,
     workers: int = 2,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Rows with judge_score and judge_reason, of which those scored at least min_score stay.
 
@@ -99,7 +119,7 @@ def judge(
     ask = F.concat(F.lit("Input:\n"), F.coalesce(F.col(input_col), F.lit("")), F.lit("\n\nOutput:\n"), text)
     system = system_prompt or f"{RUBRICS.get(rubric, RUBRICS['default'])} {JUDGE_FORM}"
     turns = F.array(message("system", F.lit(system)), message("user", ask))
-    scored = df.filter(text != "").withColumn("_reply", completed(turns, make, Options(model, temperature, None), workers))
+    scored = answered(df.filter(text != ""), turns, make, Options(model, temperature, None), workers, ledger)
     scored = scored.withColumn("_judged", judged(F.col("_reply.raw")))
     kept = scored.filter(F.col("_judged.score") >= F.lit(min_score).cast("float"))
     return kept.withColumn("judge_score", F.col("_judged.score")).withColumn("judge_reason", F.col("_judged.reason")).drop("_reply", "_judged")

@@ -90,12 +90,12 @@ def _sample(_: SparkSession, df: DataFrame | None, c: Mapping) -> DataFrame:
 
 
 def _generate(_: SparkSession, df: DataFrame | None, c: Mapping) -> DataFrame:
-    keys = ("dataset_type", "model", "temperature", "max_tokens", "workers", "system_prompt", "drop_on_error")
+    keys = ("dataset_type", "model", "temperature", "max_tokens", "workers", "system_prompt", "drop_on_error", "ledger")
     return generate.generate(df, generate.maker(c["provider"], c.get("settings")), **{k: c[k] for k in keys if k in c})
 
 
 def _judge(_: SparkSession, df: DataFrame | None, c: Mapping) -> DataFrame:
-    keys = ("min_score", "rubric", "model", "temperature", "workers", "input_col", "output_col")
+    keys = ("min_score", "rubric", "model", "temperature", "workers", "input_col", "output_col", "ledger")
     return generate.judge(df, generate.maker(c["provider"], c.get("settings")), system_prompt=c.get("prompt"), **{k: c[k] for k in keys if k in c})
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from synthloom.functions import identity, text
 from synthloom.functions.replies import string_keys
-from synthloom.operators import dedup, dedup_index, export, filters, generate, prompts, sample, sync
+from synthloom.operators import context, dedup, dedup_index, export, filters, generate, prompts, sample, sync
 from synthloom.plans import datasets, pipeline
 from synthloom.providers.base import Offline, OfflineJudge
 from synthloom.sources import snapshots
@@ -591,6 +591,57 @@ def mixed_fanout(spark: SparkSession, d: str) -> DataFrame:
     return prompts.fan_out(symbols(spark, d, _KINDS), max_rows=500).select("doc_id", "dataset_type")
 
 
+@query(
+    "generate_by_ledger",
+    f"WITH {S}, {G} SELECT g.*, lang = 'en' OR lang = 'de' AS kept FROM g JOIN documents USING (doc_id)",
+)
+def generate_by_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A run over some languages, then one over all of them, which pays only for what the first one did not ask."""
+    at = f"{scratch(spark)}/ledger-{uuid.uuid4().hex}"
+    s, make = symbols(spark, d), generate.maker("offline")
+    generate.generate(s.filter(F.col("kind").isin("en", "de")), make, ledger=at)
+    return generate.generate(s, make, ledger=at, keep_reply=True).select("doc_id", "instruction", "response", F.col("reply_kept").alias("kept"))
+
+
+_PARENTS = """SELECT 'o' || o_orderkey AS child, 'c' || o_custkey AS parent FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"""
+
+
+@query(
+    "context_ancestors",
+    f"""WITH RECURSIVE p AS MATERIALIZED ({_PARENTS}), a AS (SELECT child, parent AS ancestor, 1 AS depth FROM p UNION ALL SELECT a.child, p.parent, depth + 1 FROM a JOIN p ON p.child = a.ancestor WHERE depth < 5)
+SELECT child, ancestor, min(depth)::INT AS depth FROM a WHERE child != ancestor GROUP BY child, ancestor""",
+)
+def context_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """Orders, customers, suppliers, nations and regions stand in for types: a region has a fifth of all heirs."""
+    links = [("orders", "o", "o_orderkey", "c", "o_custkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
+    parents = [table(spark, d, t).select(F.concat(F.lit(a), k).alias("child"), F.concat(F.lit(b), of).alias("parent")) for t, a, k, b, of in links]
+    return context.ancestors(pipeline.union(parents))
+
+
+@query(
+    "context_resolution",
+    """WITH w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), f AS (SELECT lang, source, w[1] AS first FROM w WHERE len(w) > 0),
+decl AS (SELECT key, min(kind) AS kind FROM (SELECT source || '.' || first AS key, lang AS kind FROM f UNION ALL SELECT first, lang FROM f WHERE lang = 'fr') GROUP BY key),
+asked AS (SELECT DISTINCT source, unnest(w) AS word FROM w), scope AS (SELECT *, 0 AS rank, source || '.' || word AS key FROM asked
+  UNION ALL SELECT *, 1, word FROM asked UNION ALL SELECT asked.*, 1, u || '.' || word FROM asked, (VALUES ('src1'), ('src2'), ('src3')) v(u)),
+hits AS (SELECT DISTINCT source, word, rank, key, kind FROM scope JOIN decl USING (key)),
+near AS (SELECT source, word, min(key) AS target, min(kind) AS target_kind FROM (SELECT *, min(rank) OVER (PARTITION BY source, word) AS best FROM hits) WHERE rank = best GROUP BY source, word HAVING count(*) = 1)
+SELECT source, word, target, target_kind FROM asked LEFT JOIN near USING (source, word)""",
+)
+def context_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Each source declares the first words of its documents; every word of its documents is looked for there, then among the
+    French ones, which all see, and in three sources that all use."""
+    w = table(spark, d, "documents").select("source", "lang", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    first = w.filter(F.size("w") > 0).select("source", F.col("w")[0].alias("first"), F.col("lang").alias("kind"))
+    declared = first.select(F.concat("source", F.lit("."), "first").alias("key"), "kind").unionByName(first.filter("kind = 'fr'").select(F.col("first").alias("key"), "kind"))
+    asked = w.select("source", F.explode("w").alias("name")).distinct()
+    used = F.array(*(F.lit(x) for x in ("src1", "src2", "src3")))
+    asked = asked.select(F.concat_ws(":", "source", "name").alias("id"), "source", "name", context.scopes(F.col("source"), F.lit(None).cast("string"), used).alias("scopes"))
+    found = context.resolved(written(asked, "asked"), declared.filter("key is not null"))
+    return found.select(F.split("id", ":")[0].alias("source"), F.col("name").alias("word"), "target", "target_kind")
+
+
 @query(
     "token_cost_estimate",
     """SELECT lang, count(*)::BIGINT AS n_rows, round(avg(n), 6) AS mean_tokens, round(quantile_cont(n, 0.1), 6) AS p10_tokens, round(quantile_cont(n, 0.9), 6) AS p90_tokens, sum(n)::BIGINT AS total_tokens, round(sum(n) * (0.0025 / 1000)::DOUBLE, 6) AS price

@@ -3,9 +3,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from synthloom.operators.context import ancestors, context, enriched, looked_up, resolved, scopes
+from synthloom.operators.context import ancestors, context, enriched, resolved, scopes
 from synthloom.sources import csharp
 from synthloom.sources.references import arity, bases_of, key_of, read_references, references_in
+from synthloom.tables import looked_up
 
 FILES = {
     "Core/Entity.cs": """namespace Shop.Core;
