@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from synthloom.operators import dedup, generate, sample
+from synthloom.operators.context import enriched
 from synthloom.operators.prompts import prompt
 from synthloom.sources.csharp import read_symbols
 from synthloom.sources.files import write_dataset
+from synthloom.sources.references import read_references
 from synthloom.tables import written
 
 Step = Callable[[SparkSession, DataFrame | None, Mapping], DataFrame]
@@ -82,7 +84,12 @@ def _put(raw: object, keys: Sequence[str], value: str) -> None:
 
 def _symbols(spark: SparkSession, _: DataFrame | None, c: Mapping) -> DataFrame:
     known = {"kinds": "symbol_kinds", **{k: k for k in ("min_complexity", "exclude_namespaces", "include_generated", "include_tests", "max_body_lines")}}
-    return read_symbols(spark, c.get("solution_path") or c["path"], **{k: c[v] for k, v in known.items() if c.get(v) is not None})
+    path = c.get("solution_path") or c["path"]
+    found = read_symbols(spark, path, **{k: c[v] for k, v in known.items() if c.get(v) is not None})
+    if not c.get("include_context"):
+        return found
+    refs = read_references(spark, path, bool(c.get("include_generated")), bool(c.get("include_tests")))
+    return enriched(found, refs, **{k: int(c[k]) for k in ("max_depth", "max_callees", "max_interfaces") if c.get(k) is not None})
 
 
 def _sample(_: SparkSession, df: DataFrame | None, c: Mapping) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from synthloom.operators.context import ancestors, context, enriched, resolved, scopes
+from synthloom.plans import pipeline
 from synthloom.sources import csharp
 from synthloom.sources.references import arity, bases_of, key_of, read_references, references_in
 from synthloom.tables import looked_up
@@ -223,3 +224,14 @@ def test_resolution_by_nearest_scope(spark):
     declared = spark.createDataFrame([("A.X", "class"), ("U.X", "class"), ("U.Y", "class"), ("V.Y", "class"), ("A.T.Z", "enum"), ("A.Z", "class"), ("Q", "class"), ("Q", "class")], "key string, kind string")
     got = {r.id: (r.target, r.target_kind) for r in resolved(asked, declared).collect()}
     assert got == {1: ("A.X", "class"), 2: (None, None), 3: ("A.T.Z", "enum"), 4: ("Q", "class")}
+
+
+def test_context_in_a_pipeline(spark, solution):
+    c = pipeline.load(f"""
+name: t
+solution: {{path: {solution}, include_context: true, max_callees: 1}}
+steps: [{{name: s, type: SymbolExtractor}}]
+""")
+    rows = {r["name"]: r for r in pipeline.build(spark, c).leaves.collect()}
+    assert rows["Shop.Data.Store.Save"].called_symbols == ["Shop.Core.Named<T>.Format"]
+    assert rows["Shop.Data.Store"].inheritance_chain == ["Shop.Core.Named<T>", "Shop.Core.Entity"]
