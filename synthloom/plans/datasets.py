@@ -208,6 +208,25 @@ def migrate_dataset(spark: SparkSession, out: str, source: Mapping | None = None
     return n
 
 
+def merge_regenerated(ours: DataFrame, theirs: DataFrame, symbols: DataFrame, make: generate.Maker, dataset_type: str = "explanation", **options) -> DataFrame:
+    """sync.merge() under "regenerate", carried out: rows that both sides have and that differ are made anew.
+
+    A row that was made holds its symbol's present hash, `generated_at` of now where there is such a column, and merged
+    "regenerated"; one whose symbol is gone, or whose call fails, keeps our content and says "conflict". Only the rows that
+    differ are asked for. Ids must be unique on either side; names of symbols that occur twice raise before the first call.
+    """
+    rows = written(sync.merge(ours, theirs, "regenerate"), "merged")
+    wanted = _keyed(symbols, dataset_type).join(rows.filter("merged = 'regenerate'").select(F.col("id").alias("_id")), "_id", "left_semi")
+    sync.diff(None, sync.current_rows(wanted, dataset_type)).agg(F.count("new_sha")).first()
+    made = generate.generate(wanted, make, dataset_type, **options)
+    fresh = {"body_sha": F.col("_body_sha"), **{c: F.col(c) for c in output_fields(made).columns}, "generated_at": F.lit(datetime.now(UTC).isoformat())}
+    new = [c for c in rows.columns if c in fresh]
+    made = written(made.select(F.col("_id").alias("id"), F.lit(True).alias("_made"), *(fresh[c].alias(f"_new_{c}") for c in new)), "remade")
+    done = F.when(F.col("_made"), "regenerated").when(F.col("merged") == "regenerate", "conflict").otherwise(F.col("merged"))
+    kept = {c: F.when(F.col("_made"), F.col(f"_new_{c}").cast(rows.schema[c].dataType)).otherwise(F.col(c)) if c in new else F.col(c) for c in rows.columns}
+    return rows.join(made, "id", "left").select(*(c.alias(name) for name, c in {**kept, "merged": done}.items()))
+
+
 FIELDS = (
     *("instruction", "question", "input", "context", "code", "original_code", "output", "response", "answer", "completion"),
     *("fixed_code", "refactored_code", "explanation", "chosen", "rejected"),
