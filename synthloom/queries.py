@@ -18,6 +18,7 @@ from synthloom.operators import context, dedup, dedup_index, export, filters, ge
 from synthloom.plans import datasets, pipeline
 from synthloom.providers.base import Offline, OfflineJudge
 from synthloom.sources import snapshots
+from synthloom.sources.declarations import read_declarations
 from synthloom.sources.files import CSV
 from synthloom.tables import scratch, written
 
@@ -679,3 +680,21 @@ def stream_windowed_sample(spark: SparkSession, d: str) -> DataFrame:
     found = windowed_reservoirs(stream, 20, "ts", "1 day", "1 hour", "event_type", "value", order="event_id")
     found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return merged(spark.read.schema(found.schema).parquet(f"{at}/out"), 20, schema).select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "event_id")
+
+
+@query(
+    "source_pushdown",
+    """WITH d AS (SELECT doc_id, source, lang, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')) AS w FROM documents),
+c AS (SELECT *, (1 + (length(w) - length(replace(w, 'E ', ''))) // 2)::INT AS complexity FROM d)
+SELECT 'doc' || doc_id AS type_name, source || '.' || lang AS namespace, complexity, md5('public int Run() { return ' || replace(w, 'E ', 'E && ') || '; }') AS body_md5
+FROM c WHERE complexity >= 20 AND source <> 'src1' AND NOT (source = 'src2' AND lang = 'de')""",
+)
+def source_pushdown(spark: SparkSession, d: str) -> DataFrame:
+    """All documents written as C# files, 64 types a file, and the methods of some namespaces and a least complexity read back."""
+    words = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""))
+    body = F.concat(F.lit("public int Run() { return "), F.replace(words, F.lit("E "), F.lit("E && ")), F.lit("; }"))
+    code = F.concat(F.lit("namespace "), "source", F.lit(" { namespace "), "lang", F.lit(" { public class doc"), "doc_id", F.lit(" { "), body, F.lit(" } } }"))
+    at = f"{scratch(spark)}/sources-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select(code.alias("value")).write.option("maxRecordsPerFile", 64).text(at)
+    found = read_declarations(spark, at, ("method",), 20, ("src1", "src2.de"), glob="*.txt")
+    return found.select(F.col("containing_type").alias("type_name"), "namespace", "complexity", F.md5("body_text").alias("body_md5"))

@@ -7,7 +7,7 @@ that need a compiler (types of expressions, inherited documentation) are out of
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,9 +76,47 @@ def visible(modifiers: str, in_interface: bool = False) -> bool:
     return "private" not in words and ("public" in words or "internal" in words)
 
 
-def symbols_in(code: str, path: str) -> list[dict]:
+_DOC = re.compile(r"((?:[ \t]*///[^\n]*\n)+)[ \t]*(?:\[[^\n]*\]\s*)*$")
+
+
+def _doc_above(code: str, at: int) -> str | None:
+    """The documentation comment above a declaration, past attributes. Only the lines that can belong to it are read."""
+    start, end = at, at
+    while end >= 0:
+        a = code.rfind("\n", 0, end) + 1
+        line = code[a:end].strip()
+        if line and not line.startswith(("[", "///")):
+            break
+        start, end = a, a - 1
+    m = _DOC.search(code, start, at)
+    return "\n".join(re.sub(r"^\s*/// ?", "", x) for x in m[1].splitlines()).strip() or None if m else None
+
+
+def _without_spaces(quiet: str, spaces: list[tuple], wanted: Callable[[str], bool]) -> str:
+    """The code with the namespaces that aren't wanted blanked, down to those within them that are."""
+    named = sorted((a, b, ".".join(n for x, y, n in spaces if x < a + 1 < y)) for a, b, _ in spaces)
+    if wanted("") and all(wanted(name) for *_, name in named):
+        return quiet
+    parts, at, open_ = [], 0, [(len(quiet), wanted(""))]
+    edges = sorted([(a, 1, b, name) for a, b, name in named] + [(b, 0, b, name) for a, b, name in named])
+    for place, opens, end, name in edges:
+        parts.append(quiet[at:place] if open_[-1][1] else " " * (place - at))
+        at = place
+        if opens:
+            open_.append((end, wanted(name)))
+        elif len(open_) > 1:
+            open_.pop()
+    parts.append(quiet[at:] if open_[-1][1] else " " * (len(quiet) - at))
+    return "".join(parts)
+
+
+def symbols_in(code: str, path: str, kinds: Callable[[str], bool] | None = None, wanted: Callable[[str], bool] | None = None) -> list[dict]:
+    """The declarations of one file, those of some kinds and of wanted namespaces only if these are given; what lies in
+    other namespaces isn't looked through."""
     quiet = quieted(code)
     spaces = [(m.start(), _closing(quiet, m.end() - 1) if m[2] == "{" else len(code), m[1]) for m in _NAMESPACE.finditer(quiet)]
+    if wanted is not None:
+        quiet = _without_spaces(quiet, spaces, wanted)
     types, out = [], []
 
     def within(at: int) -> str:
@@ -88,17 +126,17 @@ def symbols_in(code: str, path: str) -> list[dict]:
         return [t for t in types if t[0] < at < t[1]]
 
     def add(kind: str, m: re.Match, name: str, body: str, signature: str) -> None:
+        if kinds is not None and not kinds(kind):
+            return
         inside = holder(m.start())
         outer = ".".join(t[2] for t in inside)
         space = within(m.start())
-        doc = re.search(r"((?:[ \t]*///[^\n]*\n)+)[ \t]*(?:\[[^\n]*\]\s*)*$", code[: m.start()])
-        doc_text = "\n".join(re.sub(r"^\s*/// ?", "", x) for x in doc[1].splitlines()).strip() if doc else None
         out.append(
             {
                 "fully_qualified_name": ".".join(x for x in (space, outer, name) if x),
                 "signature_text": signature.strip(" ;\r\n\t"),
                 "body_text": body.strip(),
-                "xml_doc_comment": doc_text or None,
+                "xml_doc_comment": _doc_above(code, m.start()),
                 "containing_type": outer,
                 "namespace": space,
                 "file_path": path,
@@ -148,6 +186,11 @@ def symbols_in(code: str, path: str) -> list[dict]:
 LEADING = r"^\x{FEFF}?(?:\s++|//[^\r\n]*+|#[^\r\n]*+|/\*(?s:.*?)\*/)*+"
 
 
+def head_of(code: str) -> str:
+    """What precedes the first token of a file, as LEADING finds it."""
+    return re.match(LEADING.replace(r"\x{FEFF}", "\ufeff"), code)[0]
+
+
 _PROJECT_LINE = r'(?m)^\s*Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+\.csproj)"'
 _REFERENCE = r'(?i)<(?:PackageReference|Reference)\s[^>]*?Include\s*=\s*"([^"]+)"'
 
@@ -162,9 +205,10 @@ def _folder(path: Column) -> Column:
 
 
 def _below(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """(path, value) of the files below a folder, whole."""
+    """(path, value) of the files below a folder, whole, without byte order marks; bytes that are no UTF-8 become U+FFFD."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
-    return files.select(_bare(F.col("_metadata.file_path")).alias("path"), "value")
+    text = F.regexp_replace(F.make_valid_utf8("value"), r"^\x{FEFF}", "")
+    return files.select(_bare(F.col("_metadata.file_path")).alias("path"), text.alias("value"))
 
 
 def root_of(path: str) -> str:
@@ -222,6 +266,16 @@ def source_files(spark: SparkSession, path: str, include_generated: bool = False
     return files.select(F.substr("path", F.lit(len(whole) + 2)).alias("file_path"), "value")
 
 
+def outside_of(excluded: Sequence[str]) -> Callable[[str], bool]:
+    """Whether a namespace is none of these nor below one."""
+    return lambda space: not any(space == x or space.startswith(x + ".") for x in excluded)
+
+
+def place_of(path: str, at: str) -> Column:
+    """A key that sorts declarations by file and by where they begin in it, whichever of them are kept."""
+    return F.concat_ws("#", path, F.lpad(F.col(at).cast("string"), 10, "0"))
+
+
 def read_symbols(
     spark: SparkSession,
     path: str,
@@ -239,15 +293,17 @@ def read_symbols(
     """
     files = source_files(spark, path, include_generated, include_tests)
     names = [f.name for f in SYMBOL.fields]
+    some = {k.lower() for k in kinds}.__contains__
+    outside = outside_of(exclude_namespaces)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{**s, "_place": k} for path, code in zip(batch.file_path, batch.value, strict=True) for k, s in enumerate(symbols_in(code, path))]
-            yield pd.DataFrame(rows, columns=[*names, "_place"])
+            for path, code in zip(batch.file_path, batch.value, strict=True):
+                yield pd.DataFrame(symbols_in(code, path, some, outside), columns=[*names, "_at"])
 
     flat = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SYMBOL.fields)
-    found = files.mapInPandas(parse, f"{flat}, _place int")
+    found = files.mapInPandas(parse, f"{flat}, _at int")
     kept = symbols_kept(found, kinds, min_complexity, exclude_namespaces).withColumn("body_text", truncate_lines(F.col("body_text"), max_body_lines))
     return kept.select(
-        F.struct(*names).alias("symbol"), "kind", F.col("fully_qualified_name").alias("name"), "namespace", "file_path", "complexity", F.concat_ws("#", "file_path", F.lpad(F.col("_place").cast("string"), 8, "0")).alias("_ord")
+        F.struct(*names).alias("symbol"), "kind", F.col("fully_qualified_name").alias("name"), "namespace", "file_path", "complexity", place_of("file_path", "_at").alias("_ord")
     )

@@ -69,12 +69,12 @@ def references_in(code: str, path: str) -> list[dict]:
     declared = symbols_in(code, path)
     types = [(s["_at"], s["_at"] + len(s["body_text"])) for s in declared if s["kind"] in TYPES]
     out: list[dict] = []
-    for k, s in enumerate(declared):
+    for s in declared:
         at, end = s["_at"], s["_at"] + len(s["body_text"])
         is_type = s["kind"] in TYPES
         outer = ".".join(x for x in (s["namespace"], s["containing_type"]) if x)
         head = {
-            "_ord": f"{path}#{k:08d}",
+            "_ord": f"{path}#{at:010d}",
             "fqn": s["fully_qualified_name"],
             "key": key_of(s["fully_qualified_name"]),
             "kind": s["kind"],
