@@ -255,17 +255,24 @@ def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
     return generate.preference_pairs(symbols(spark, d), Offline, OfflineJudge).select("doc_id", "chosen", "rejected", F.col("margin").cast("double").alias("margin"))
 
 
-_REPLY = """CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || '{"question": "q' || doc_id || '", "answer": "a"}' || chr(10) || '```'
-  WHEN 1 THEN ' {"question": "q' || doc_id || '", "answer": 1} ' WHEN 2 THEN '{"question": "x", "answer": "y", "more": null}' ELSE '{"question": "x", "answer": "y"} trailing' END"""
+_QUOTED = """'"' || replace(replace(replace(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"'"""
+_REPLY = f"""CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || '{{"question": "q' || doc_id || '", "answer": ' || {_QUOTED} || '}}' || chr(10) || '```'
+  WHEN 1 THEN ' {{"question": ' || {_QUOTED} || ', "answer": ' || n_chars || '}} ' WHEN 2 THEN '{{"question": "' || lang || '", "answer": ' || {_QUOTED} || ', "more": null}}'
+  ELSE '{{"question": "x", "answer": ' || {_QUOTED} || '}} trailing' END"""
 
 
 def replies(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("doc_id").cast("string")
+    """Texts as a model would send them in JSON: between fences, with a number, with a null, and with words after the end."""
+    quoted = F.coalesce("text", F.lit(""))
+    for plain, escaped in (("\\", r"\\"), ('"', r"\""), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t")):
+        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
+    quoted = F.concat(F.lit('"'), quoted, F.lit('"'))
     k = F.col("doc_id") % 4
-    fenced = F.concat(F.lit('```json\n{"question": "q'), n, F.lit('", "answer": "a"}\n```'))
-    kind = F.concat(F.lit(' {"question": "q'), n, F.lit('", "answer": 1} '))
-    reply = F.when(k == 0, fenced).when(k == 1, kind).when(k == 2, F.lit('{"question": "x", "answer": "y", "more": null}')).otherwise(F.lit('{"question": "x", "answer": "y"} trailing'))
-    return table(spark, d, "documents").select("doc_id", reply.alias("reply"))
+    fenced = F.concat(F.lit('```json\n{"question": "q'), "doc_id", F.lit('", "answer": '), quoted, F.lit("}\n```"))
+    number = F.concat(F.lit(' {"question": '), quoted, F.lit(', "answer": '), "n_chars", F.lit("} "))
+    more = F.concat(F.lit('{"question": "'), "lang", F.lit('", "answer": '), quoted, F.lit(', "more": null}'))
+    trailing = F.concat(F.lit('{"question": "x", "answer": '), quoted, F.lit("} trailing"))
+    return table(spark, d, "documents").select("doc_id", F.when(k == 0, fenced).when(k == 1, number).when(k == 2, more).otherwise(trailing).alias("reply"))
 
 
 @query("strip_fences", f"""WITH r AS (SELECT doc_id, {_REPLY} AS reply FROM documents) SELECT doc_id, trim(CASE WHEN doc_id % 4 = 0 THEN regexp_replace(regexp_replace(reply, '^```json\\n', ''), '```$', '') ELSE reply END, ' ' || chr(10)) AS body FROM r""")
@@ -273,7 +280,7 @@ def strip_fences(spark: SparkSession, d: str) -> DataFrame:
     return replies(spark, d).select("doc_id", text.strip_fences(F.col("reply")).alias("body"))
 
 
-@query("parse_json_keys", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'q' || doc_id WHEN 2 THEN 'x' END AS question, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 2 THEN 'y' END AS answer FROM documents")
+@query("parse_json_keys", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'q' || doc_id WHEN 2 THEN lang END AS question, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') END AS answer FROM documents")
 def parse_json_keys(spark: SparkSession, d: str) -> DataFrame:
     found = string_keys(F.col("reply"), "question", "answer")
     return replies(spark, d).select("doc_id", found.alias("f")).select("doc_id", "f.question", "f.answer")
