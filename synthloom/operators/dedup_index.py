@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from synthloom.operators.dedup import BLOCK, _banded, greedy_keep, required, signature
+from synthloom.operators.dedup import BLOCK, _banded, greedy_keep, in_groups, pairs_in, required, signature
 from synthloom.tables import small, written
 
 #: Clusters of the bands' table; a batch shuffles its own bands to as many.
@@ -50,12 +50,15 @@ def gone_by(news: DataFrame, known: DataFrame, signatures: DataFrame, t: int) ->
     """
     kind = news.schema["o"].dataType.simpleString()
 
-    def compare(group: pa.Table) -> pa.Table:
-        new = group.column("new").to_numpy(zero_copy_only=False)
+    def compare(group: pa.Table, starts: np.ndarray) -> pa.Table:
+        new = group.column("new").to_numpy()
         sig = group.column("_sig").combine_chunks().flatten().to_numpy().reshape(len(new), -1)
-        at, old = np.flatnonzero(new), sig[~new]
-        lost = [i for i in at if len(old) and ((old == sig[i]).sum(axis=1) >= t).any()]
-        return pa.table({"o": group.column("o").take(pa.array(lost, pa.int64()))})
+        lost = np.zeros(len(new), bool)
+        for i, j in pairs_in(starts):
+            i, j = i[new[i] != new[j]], j[new[i] != new[j]]
+            near = (sig[i] == sig[j]).sum(axis=1) >= t
+            lost[np.where(new[i], i, j)[near]] = True
+        return pa.table({"o": group.column("o").filter(pa.array(lost))})
 
     counts = news.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(known.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "b")
     blocks = counts.select("b", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n", "m")))
@@ -65,7 +68,7 @@ def gone_by(news: DataFrame, known: DataFrame, signatures: DataFrame, t: int) ->
         return rows.join(blocks, "b").select("o", "b", own.alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)).select("o", "b", "n", "m")
 
     met = dealt(news, "n", "m").withColumn("new", F.lit(True)).unionByName(dealt(known, "m", "n").withColumn("new", F.lit(False)))
-    return met.join(signatures, ["o", "new"]).groupBy("b", "n", "m").applyInArrow(compare, f"o {kind}").distinct()
+    return in_groups(met.join(signatures, ["o", "new"]), ["b", "n", "m"], compare, f"o {kind}").distinct()
 
 
 def near_dedup_batch(

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,26 @@ def test_pairs_and_first_come(spark):
     assert sorted(values(dedup.first_come(edges), "o")) == ["b", "d", "z"]
 
 
+def test_small_groups_share_a_call(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "GROUPED", 50)
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(40)) for i in range(400)] + [(1000 + i, 99) for i in range(120)]
+
+    def pairs(group, starts):
+        o = group.column("o").to_numpy()
+        assert starts[-1] == len(o)
+        found = [(o[i], o[j], len(starts) - 1) for x, y in dedup.pairs_in(starts) for i, j in zip(x, y)]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))], ["i", "j", "groups"])
+
+    got = dedup.in_groups(spark.createDataFrame(rows, "o long, b long"), ["b"], pairs, "i long, j long, groups long").collect()
+    assert sorted(sorted((r.i, r.j)) for r in got) == sorted([a, b] for a, x in rows for b, y in rows if x == y and a < b)
+    assert max(r.groups for r in got) > 1
+    signed = spark.createDataFrame([(i, [i // 3, 1, 2]) for i in range(9)], "o long, _sig array<long>")
+    plan = dedup.matches(signed.selectExpr("o", "_sig[0] AS b"), signed, 3)
+    assert plan.count() == 9
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+
+
 def test_dedup_of_a_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 8)
     rng = random.Random(3)
