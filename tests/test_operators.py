@@ -59,6 +59,16 @@ def test_pairs_and_first_come(spark):
     assert sorted(values(dedup.first_come(edges), "o")) == ["b", "d", "z"]
 
 
+def test_preference_pairs_take_one_worker(spark, monkeypatch):
+    monkeypatch.setattr(generate, "HELD", 3, raising=False)
+    symbols = spark.range(40).selectExpr("id AS _ord", """named_struct('fully_qualified_name', concat('A.', id), 'signature_text', 'void M()', 'body_text', concat('return ', id), 'xml_doc_comment',
+        CAST(NULL AS STRING), 'containing_type', 'A', 'namespace', 'N', 'file_path', 'a.cs', 'complexity', 1, 'kind', 'method') AS symbol""")
+    pairs = generate.preference_pairs(symbols, Offline, OfflineJudge)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    rows = pairs.collect()
+    assert 5 < len(rows) < 40 and all(r.margin > 0 and r.chosen_score >= 3 and r.chosen != r.rejected for r in rows)
+
+
 def test_small_groups_share_a_call(spark, monkeypatch):
     monkeypatch.setattr(dedup, "GROUPED", 50)
     rng = random.Random(11)
