@@ -32,6 +32,8 @@ from synthloom.tables import small
 
 #: A file is closed beyond so many bytes, which is what one changed row makes a sync write again.
 FILE_BYTES = 64 << 20
+#: Records that are Python objects at one time; Spark's batches hold 10,000.
+HELD = 256
 FORMATS = ("jsonl", "csv", "parquet")
 DATA, ROWS, VERSIONS = "data", "_manifest/rows", "_manifest/versions"
 FACTS = [f.name for f in MANIFEST_ROW.fields if f.name != "row_offset"]
@@ -205,13 +207,14 @@ class _File:
             self.table.write_batch(batch.select(self.content))
             self.bytes += batch.nbytes
         else:
-            records = [v.encode() for v in batch.column("value").to_pylist()]
-            lengths = [len(r) for r in records]
-            starts = []
-            for r in records:
-                starts.append(self.bytes)
-                self.bytes += len(r) + 1
-            self.out.write(b"\n".join(records) + b"\n")
+            starts, lengths = [], []
+            for at in range(0, n, HELD):
+                records = [v.encode() for v in batch.column("value").slice(at, HELD).to_pylist()]
+                for r in records:
+                    starts.append(self.bytes)
+                    lengths.append(len(r))
+                    self.bytes += len(r) + 1
+                self.out.write(b"\n".join(records) + b"\n")
         facts = [batch.column(f"_{c}").cast(pa.string()) for c in FACTS]
         place = [pa.array([self.slot] * n, pa.int32()), pa.array([self.name] * n), pa.array(range(self.rows, self.rows + n), pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())]
         self.side.write_batch(pa.RecordBatch.from_arrays([*facts, *place], schema=self._schema()))
@@ -286,7 +289,7 @@ def records(spark: SparkSession, path: str, snapshot: Snapshot, wanted: DataFram
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = opened(base)
         name, file = None, None
-        for batch in batches:
+        for batch in (whole.slice(k, HELD) for whole in batches for k in range(0, whole.num_rows, HELD)):
             values = []
             for n, start, length in zip(*(batch.column(c).to_pylist() for c in ("_name", "_start", "_length")), strict=True):
                 if n != name:

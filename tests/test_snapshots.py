@@ -127,3 +127,28 @@ def test_older_datasets_are_adopted_or_refused(spark, tmp_path):
     bring_up(spark, out, bodies | {"b": "22"})
     assert held(spark, out) == {"a": ("1", "old"), "b": ("22", "new"), "c": ("3", "old")}
     assert [p.read_text().count("old") for p in (tmp_path / "out" / "_archive").rglob("part-0.csv")] == [3]
+
+
+def test_records_are_written_in_slices(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(snapshots, "HELD", 2, raising=False)
+    texts = ["a", "é" * 3, "", "dd", "e"]
+    facts = {f"_{c}": [c] * 5 for c in snapshots.FACTS}
+    batch = pa.RecordBatch.from_pydict({**facts, "value": texts})
+    file = snapshots._File({"path": str(tmp_path), "format": "jsonl"}, 0, 0, batch.schema)
+    real, sizes = file.out, []
+
+    class Out:
+        def write(self, data):
+            sizes.append(data.count(b"\n"))
+            return real.write(data)
+
+        def close(self):
+            real.close()
+
+    file.out = Out()
+    file.add(batch)
+    _, name, rows, size = file.closed()
+    assert (tmp_path / snapshots.DATA / name).read_text() == "".join(x + "\n" for x in texts)
+    assert sizes == [2, 2, 1] and rows == 5 and size == 17
