@@ -151,4 +151,4 @@ def test_records_are_written_in_slices(tmp_path, monkeypatch):
     file.add(batch)
     _, name, rows, size = file.closed()
     assert (tmp_path / snapshots.DATA / name).read_text() == "".join(x + "\n" for x in texts)
-    assert sizes == [2, 2, 1] and rows == 5 and size == 17
+    assert sizes == [2, 2, 1] and rows == 5 and size == 15
