@@ -66,7 +66,7 @@ def answered(df: DataFrame, messages: Column, make: Maker, options: Options, wor
     """df with `_reply`: lazily from completed(), or at once and through the ledger of replies in that folder."""
     if ledger is None:
         return df.withColumn("_reply", completed(messages, make, options, workers))
-    return replied(df.withColumn("_asked", messages), make, options, ledger, workers, messages="_asked").drop("_asked")
+    return replied(df.withColumn("_asked", messages).drop("_messages"), make, options, ledger, workers, messages="_asked", keep=False)
 
 
 def generate(

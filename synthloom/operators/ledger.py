@@ -58,8 +58,9 @@ def _keep(fs: pa.fs.FileSystem, path: str, replies: dict[str, str]) -> None:
     fs.move(half, path)
 
 
-def replied(asked: DataFrame, make: Callable[[], Provider], options: Options, path: str, workers: int = 4, chunk: int = CHUNK, messages: str = "_messages") -> DataFrame:
-    """asked with `_reply`, a struct (raw, error, kept): kept if the ledger held the reply before this run.
+def replied(asked: DataFrame, make: Callable[[], Provider], options: Options, path: str, workers: int = 4, chunk: int = CHUNK, messages: str = "_messages", keep: bool = True) -> DataFrame:
+    """asked with `_reply`, a struct (raw, error, kept): kept if the ledger held the reply before this run. Without keep, the
+    messages go, and are not shuffled with the rows.
 
     The calls are made at once, one for each different key: rows that ask the same get one reply. Rows of null messages get a
     null reply. A key that many rows share is joined by broadcast. Another run may write to the ledger at the same time; both
@@ -67,12 +68,13 @@ def replied(asked: DataFrame, make: Callable[[], Provider], options: Options, pa
     """
     spark = asked.sparkSession
     label = getattr(make, "label", "")
-    keyed = written(asked.withColumn("_key", F.when(F.col(messages).isNotNull(), fingerprint(F.col(messages), options, label))), "asked")
+    keyed = written(asked.withColumn("_key", F.when(F.col(messages).isNotNull(), fingerprint(F.col(messages), options, label))), "asked", "zstd")
     known = written(read(spark, path), "ledger")
     want = keyed.filter("_key is not null").groupBy("_key").agg(F.min_by(messages, "_key").alias("messages"))
     want = want.join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
     # tasks read a table, so that an attempt gets the rows of the one before it, in their order
-    want = written(want.repartition("_key").sortWithinPartitions("_key"), "calls")
+    # (the grouping has dealt them by key already)
+    want = written(want.sortWithinPartitions("_key"), "calls", "zstd")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, at = opened(path)
@@ -101,7 +103,7 @@ def replied(asked: DataFrame, make: Callable[[], Provider], options: Options, pa
     held = known.select(F.col("key").alias("_key"), "raw", F.lit(None).cast("string").alias("error"), F.lit(True).alias("kept"))
     held = held.join(keyed.select("_key"), "_key", "left_semi")
     answers = written(fresh.unionByName(held).select("_key", F.struct("raw", "error", "kept").alias("_reply")), "replies")
-    return looked_up(keyed, answers, "_key", "left").drop("_key")
+    return looked_up(keyed if keep else keyed.drop(messages), answers, "_key", "left").drop("_key")
 
 
 def compacted(spark: SparkSession, path: str, files: int = 16) -> int:
