@@ -640,10 +640,11 @@ SELECT source, word, target, target_kind FROM asked LEFT JOIN near USING (source
 def context_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Each source declares the first words of its documents; every word of its documents is looked for there, then among the
     French ones, which all see, and in three sources that all use."""
-    w = table(spark, d, "documents").select("source", "lang", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
-    first = w.filter(F.size("w") > 0).select("source", F.col("w")[0].alias("first"), F.col("lang").alias("kind"))
+    docs = table(spark, d, "documents")
+    first = docs.select("source", F.regexp_extract("text", "[A-Za-z]+", 0).alias("first"), F.col("lang").alias("kind")).filter("first != ''")
     declared = first.select(F.concat("source", F.lit("."), "first").alias("key"), "kind").unionByName(first.filter("kind = 'fr'").select(F.col("first").alias("key"), "kind"))
-    asked = w.select("source", F.explode("w").alias("name")).distinct()
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    asked = docs.select("source", F.explode(words).alias("name")).distinct()
     used = F.array(*(F.lit(x) for x in ("src1", "src2", "src3")))
     asked = asked.select(F.concat_ws(":", "source", "name").alias("id"), "source", "name", context.scopes(F.col("source"), F.lit(None).cast("string"), used).alias("scopes"))
     found = context.resolved(written(asked, "asked"), declared.filter("key is not null"))
