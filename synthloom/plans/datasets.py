@@ -68,6 +68,7 @@ def generate_dataset(
 
 
 PLACED = ("_slot", "_at", *(f"_{c}" for c in snapshots.FACTS))
+SPOT = ("_name", "_pos", "_start", "_length")
 
 
 def synchronise(
@@ -96,11 +97,12 @@ def synchronise(
     planned = sync.plan(status).first()
     if dry_run:
         return planned
-    wanted = status.filter(F.col("status").isin("new", "stale")).select("id", "status", F.col("new_sha").alias("body_sha"))
-    facts = now.select(*(F.col(c).alias(f"_{c}") for c in snapshots.FACTS))
-    made = written(make_rows(wanted).join(facts, "_id"), "made")
+    asked = status.filter(F.col("status").isin("new", "stale"))
+    facts = now.join(asked.select("id"), "id").join(manifest.select("id", "_slot", F.col("row_offset").alias("_at")), "id", "left")
+    facts = facts.select("_slot", "_at", *(F.col(c).alias(f"_{c}") for c in snapshots.FACTS))
+    made = make_rows(asked.select("id", "status", F.col("new_sha").alias("body_sha"))).join(facts, "_id")
     columns = old.columns or output_fields(made).columns
-    fresh = written(content(made, old.format, columns), "fresh")
+    fresh = written(content(made, old.format, columns), "fresh", "zstd")
     placed = written(manifest.join(status.select("id", "status"), "id").join(fresh.select(F.col("_id").alias("id"), F.lit(True).alias("remade")), "id", "left"), "placed")
     goes = (F.col("status") == "orphan") & F.lit(orphans != "keep")
     changed = goes | ((F.col("status") == "stale") & F.col("remade"))
@@ -109,11 +111,11 @@ def synchronise(
         return planned
     again = placed.join(small(spark.createDataFrame([(s,) for s in touched], "_slot int"), 16, len(touched)), "_slot", "left_semi")
     body = [c for c in fresh.columns if not c.startswith("_")]
-    spots = again.filter("remade").select(F.col("id").alias("_id"), "_slot", F.col("row_offset").alias("_at"))
-    rows = fresh.join(spots, "_id", "left").select(*PLACED, *body)
+    rows = fresh.select(*PLACED, *body)
     if old.files:
-        stay = snapshots.records(spark, out, old, again.filter(~goes & F.col("remade").isNull()))
-        rows = stay.withColumn("_at", F.col("_row_offset")).select(*PLACED, *body).unionByName(rows)
+        # rows that stay are dealt by their places; the task that writes a file reads them where they lie
+        stay = again.filter(~goes & F.col("remade").isNull()).withColumns({f"_{c}": F.col(c) for c in snapshots.FACTS} | {"_at": F.col("row_offset")})
+        rows = stay.select(*PLACED, *SPOT).unionByName(rows, allowMissingColumns=True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a file is rewritten by one task; new rows are dealt to all of them
     task = F.coalesce(F.col("_slot"), -1 - F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int"))

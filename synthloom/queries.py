@@ -377,14 +377,21 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("_ord"), "text"), "text").select("doc_id")
 
 
+def _before(spark: SparkSession, d: str) -> DataFrame:
+    """What a dataset of documents held before: one in 5 was not there, one in 7 had another body; and some that are gone."""
+    known = sync.facts("explanation")
+    was = F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(known["body_sha"])
+    s = symbols(spark, d).filter(known["symbol_fqn"].isNotNull() & (F.col("doc_id") % 5 != 0))
+    body = F.coalesce("symbol.body_text", F.lit("")).alias("body")
+    had = s.select(*(c.alias(n) for n, c in (known | {"body_sha": was, "row_offset": F.col("doc_id").cast("long")}).items()), body)
+    key = F.col("s_suppkey")
+    gone = {"id": F.concat(F.lit("gone"), key.cast("string")), "body_sha": F.lit("gone"), "row_offset": (key + 100_000_000).cast("long")}
+    return had.unionByName(table(spark, d, "supplier").select(*(c.alias(n) for n, c in gone.items())), allowMissingColumns=True)
+
+
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest of documents, as of before: one in 5 was not there, one in 7 had another body; and some that are gone."""
-    s = symbols(spark, d)
-    now = sync.current_rows(s, "explanation").join(s.select(F.col("symbol.fully_qualified_name").alias("symbol_fqn"), "doc_id"), "symbol_fqn")
-    was = F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("body_sha"))
-    had = now.filter(F.col("doc_id") % 5 != 0).select("id", was.alias("body_sha"), F.col("doc_id").cast("long").alias("row_offset"))
-    gone = table(spark, d, "supplier").select(F.concat(F.lit("gone"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("gone").alias("body_sha"), (F.col("s_suppkey") + 100_000_000).cast("long").alias("row_offset"))
-    return had.unionByName(gone)
+    """The manifest of a dataset as of before."""
+    return _before(spark, d).select("id", "body_sha", "row_offset")
 
 
 ID = "substr(sha256(fqn || chr(10) || 'explanation' || chr(10) || 'explanation@1'), 1, 16)"
@@ -457,10 +464,9 @@ def _synced(format: str) -> Query:
         at = f"{scratch(spark)}/dataset-{uuid.uuid4().hex}"
         s = symbols(spark, d)
         now = sync.current_rows(s, "explanation")
-        told = written(s.select(sync.facts("explanation")["id"].alias("id"), F.coalesce("symbol.body_text", F.lit("")).alias("body")), "bodies")
+        told = s.select(sync.facts("explanation")["id"].alias("id"), F.coalesce("symbol.body_text", F.lit("")).alias("body"))
         facts = [F.lit(None).cast("int").alias("_slot"), F.col("row_offset").alias("_at"), *(F.coalesce(c, F.lit("gone")).alias(f"_{c}") for c in snapshots.FACTS)]
-        had = manifest(spark, d).join(now.drop("body_sha"), "id", "left").join(told, "id", "left")
-        rows = had.select(*facts, F.concat(F.lit("old "), "id").alias("response"), F.coalesce("body", F.lit(' a "quoted",\n line ')).alias("body"))
+        rows = _before(spark, d).select(*facts, F.concat(F.lit("old "), "id").alias("response"), F.coalesce("body", F.lit(' a "quoted",\n line ')).alias("body"))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = datasets.content(rows, format).repartitionByRange(n, "_at").sortWithinPartitions("_at")
         snapshots.write_version(ordered, at, format, ["response", "body"])

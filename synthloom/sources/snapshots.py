@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from synthloom.schema import MANIFEST_ROW
 from synthloom.tables import small
@@ -34,6 +36,8 @@ from synthloom.tables import small
 FILE_BYTES = 64 << 20
 #: Records that are Python objects at one time; Spark's batches hold 10,000.
 HELD = 256
+#: Bytes and rows of a row group of a Parquet file.
+GROUP_BYTES, GROUP_ROWS = 16 << 20, 10_000
 FORMATS = ("jsonl", "csv", "parquet")
 DATA, ROWS, VERSIONS = "data", "_manifest/rows", "_manifest/versions"
 FACTS = [f.name for f in MANIFEST_ROW.fields if f.name != "row_offset"]
@@ -118,8 +122,10 @@ def vacuum(path: str) -> int:
 class SnapshotSource(DataSource):
     """df.write.format("synthloom").mode("append"): rows (_slot, _at, the manifest's columns with an underscore before, content).
 
-    Content is `value`, a record's text, for jsonl and csv, and the columns themselves for Parquet. Options: path, format,
-    version (that is gone on from, 0 for none), next (slot of this write's first new file), columns, source, replaced (slots).
+    Content is `value`, a record's text, for jsonl and csv, and the columns themselves for Parquet. Rows that have a place in
+    the last version (`_name` and what PLACE has beside it) stay: the task that writes them reads their content there. Options:
+    path, format, version (that is gone on from, 0 for none), next (slot of this write's first new file), columns, source,
+    replaced (slots).
     """
 
     @classmethod
@@ -145,7 +151,7 @@ class SnapshotWriter(DataSourceArrowWriter):
 
         first = int(self.options["next"]) + TaskContext.get().partitionId()
         files, out = [], None
-        for batch in iterator:
+        for batch in with_content(self.options["path"], self.options["format"], iterator):
             slots = batch.column("_slot").fill_null(-1).to_numpy()
             a = 0
             while a < batch.num_rows:
@@ -192,6 +198,7 @@ class _File:
         self.content = [n for n in schema.names if not n.startswith("_")]
         self.table = pq.ParquetWriter(self.out, pa.schema([schema.field(n) for n in self.content])) if self.format == "parquet" else None
         self.side = pq.ParquetWriter(f"{at}/{ROWS}/{stem}.parquet", self._schema(), filesystem=self.fs)
+        self.waiting, self.waiting_bytes, self.waiting_rows = [], 0, 0
         if self.format == "csv":
             self.out.write((header := ",".join(_quoted(c) for c in json.loads(options["columns"])).encode() + b"\n"))
             self.bytes = len(header)
@@ -203,8 +210,9 @@ class _File:
     def add(self, batch: pa.RecordBatch) -> None:
         n = batch.num_rows
         starts = lengths = [None] * n
+        data = None
         if self.table is not None:
-            self.table.write_batch(batch.select(self.content))
+            data = batch.select(self.content)
             self.bytes += batch.nbytes
         else:
             starts, lengths = [], []
@@ -217,10 +225,23 @@ class _File:
                 self.out.write(b"\n".join(records) + b"\n")
         facts = [batch.column(f"_{c}").cast(pa.string()) for c in FACTS]
         place = [pa.array([self.slot] * n, pa.int32()), pa.array([self.name] * n), pa.array(range(self.rows, self.rows + n), pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())]
-        self.side.write_batch(pa.RecordBatch.from_arrays([*facts, *place], schema=self._schema()))
+        self.waiting.append((data, pa.RecordBatch.from_arrays([*facts, *place], schema=self._schema())))
+        self.waiting_bytes += batch.nbytes
+        self.waiting_rows += n
         self.rows += n
+        if self.waiting_bytes >= GROUP_BYTES or self.waiting_rows >= GROUP_ROWS:
+            self._flush()
+
+    def _flush(self) -> None:
+        """Write what waits as one row group, of the manifest's rows and of the data if it is Parquet."""
+        if self.waiting:
+            if self.table is not None:
+                self.table.write_table(pa.Table.from_batches([data for data, _ in self.waiting]))
+            self.side.write_table(pa.Table.from_batches([side for _, side in self.waiting]))
+        self.waiting, self.waiting_bytes, self.waiting_rows = [], 0, 0
 
     def closed(self) -> list:
+        self._flush()
         for x in (self.table, self.side, self.out):
             if x is not None:
                 x.close()
@@ -273,32 +294,99 @@ def manifest(spark: SparkSession, path: str, snapshot: Snapshot) -> DataFrame:
     return rows.join(small(base, 128, len(starts)), "_name").withColumn("row_offset", F.col("_base") + F.col("_pos")).drop("_base")
 
 
+def _spans(names: list[str | None]) -> Iterator[tuple[int, int]]:
+    """First and past the last row of each run of equal names."""
+    a = 0
+    for b in range(1, len(names) + 1):
+        if b == len(names) or names[b] != names[a]:
+            yield a, b
+            a = b
+
+
+class _Texts:
+    """Records of a data file of JSON lines or CSV, by their first bytes and lengths."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def read(self, places: pa.RecordBatch) -> list[pa.RecordBatch]:
+        values = []
+        for start, length in zip(places.column("_start").to_pylist(), places.column("_length").to_pylist(), strict=True):
+            self.file.seek(start)
+            values.append(self.file.read(length).decode())
+        return [pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})]
+
+
+class _Rows:
+    """Rows of a Parquet data file by their numbers, which ascend; row groups that none of them lies in aren't read."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = pq.ParquetFile(file)
+        self.ends = np.cumsum([self.file.metadata.row_group(k).num_rows for k in range(self.file.num_row_groups)])
+        self.group, self.at, self.batch = -1, 0, None
+
+    def read(self, places: pa.RecordBatch) -> list[pa.RecordBatch]:
+        wanted, out = places.column("_pos").to_numpy(), []
+        while len(wanted):
+            group = int(np.searchsorted(self.ends, wanted[0], "right"))
+            if group != self.group or wanted[0] < self.at:
+                self.batches = self.file.iter_batches(HELD, row_groups=[group])
+                self.group, self.at, self.batch = group, int(self.ends[group - 1]) if group else 0, next(self.batches)
+            while wanted[0] >= self.at + self.batch.num_rows:
+                self.at, self.batch = self.at + self.batch.num_rows, next(self.batches)
+            n = int(np.searchsorted(wanted, self.at + self.batch.num_rows))
+            out.append(self.batch.take(pa.array(wanted[:n] - self.at)))
+            wanted = wanted[n:]
+        return out
+
+
+def with_content(path: str, format: str, batches: Iterator[pa.RecordBatch], columns: pa.Schema | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches whose rows with a place have the content that is found there. columns: those of the content, where rows have
+    none of their own. Rows of one file should be side by side, in its order: it is then opened once and read through once."""
+    fs, at = opened(path)
+    name, file, reader = None, None, None
+    for whole in batches:
+        if "_name" not in whole.schema.names:
+            yield whole
+            continue
+        own = [n for n in whole.schema.names if not n.startswith("_")] if columns is None else []
+        schema = pa.schema([whole.schema.field(n) for n in own]) if columns is None else columns
+        for k in range(0, whole.num_rows, HELD):
+            batch = whole.slice(k, HELD)
+            found, names = [], batch.column("_name").to_pylist()
+            for a, b in _spans(names):
+                if names[a] is None:
+                    found.append(batch.slice(a, b - a).select(own))
+                    continue
+                if names[a] != name:
+                    if file is not None:
+                        file.close()
+                    name, file = names[a], fs.open_input_file(f"{at}/{DATA}/{names[a]}")
+                    reader = _Rows(file) if format == "parquet" else _Texts(file)
+                found += [r.select(schema.names).cast(schema) for r in reader.read(batch.slice(a, b - a))]
+            content = pa.Table.from_batches(found, schema).combine_chunks()
+            rest = [n for n in batch.schema.names if n not in own]
+            fields = [*(batch.schema.field(n) for n in rest), *schema]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *(c.chunk(0) for c in content.columns)], schema=pa.schema(fields))
+    if file is not None:
+        file.close()
+
+
 def records(spark: SparkSession, path: str, snapshot: Snapshot, wanted: DataFrame) -> DataFrame:
     """wanted (rows of manifest(), other columns carried), each column with an underscore before it, and the rows' content:
     `value`, or the columns of a Parquet dataset.
 
-    Texts are read by the byte ranges that the manifest keeps, so a file that no wanted row lies in isn't opened."""
+    Places are dealt by file and the content is read where it lies, so it isn't shuffled, and a file that no wanted row lies
+    in isn't opened."""
     wanted = wanted.toDF(*(c if c.startswith("_") else f"_{c}" for c in wanted.columns))
-    if snapshot.format == "parquet":
-        names = [r._name for r in wanted.select("_name").distinct().collect()]  # at most the snapshot's files, which the driver holds
-        rows = spark.read.parquet(*_paths(path, DATA, names or [snapshot.files[0][1]]))
-        rows = rows.select(F.col("_metadata.file_name").alias("_n"), F.col("_metadata.row_index").alias("_i"), "*")
-        return wanted.join(rows, (F.col("_name") == F.col("_n")) & (F.col("_pos") == F.col("_i"))).drop("_n", "_i")
-    base = _absolute(path)
+    base, format = _absolute(path), snapshot.format
+    content = T.StructType([T.StructField(c, T.StringType()) for c in (snapshot.columns if format == "parquet" else ["value"])])
+    if format == "parquet" and snapshot.files:
+        content = spark.read.parquet(*_paths(path, DATA, [snapshot.files[0][1]])).schema
+    columns = to_arrow_schema(content)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = opened(base)
-        name, file = None, None
-        for batch in (whole.slice(k, HELD) for whole in batches for k in range(0, whole.num_rows, HELD)):
-            values = []
-            for n, start, length in zip(*(batch.column(c).to_pylist() for c in ("_name", "_start", "_length")), strict=True):
-                if n != name:
-                    if file is not None:
-                        file.close()
-                    name, file = n, fs.open_input_file(f"{at}/{DATA}/{n}")
-                file.seek(start)
-                values.append(file.read(length).decode())
-            yield batch.append_column("value", pa.array(values, pa.string()))
+        return with_content(base, format, batches, columns)
 
-    near = wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_name").sortWithinPartitions("_name", "_start")
-    return near.mapInArrow(read, T.StructType([*wanted.schema.fields, T.StructField("value", T.StringType())]))
+    near = wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_name").sortWithinPartitions("_name", "_pos")
+    return near.mapInArrow(read, T.StructType([*wanted.schema.fields, *content.fields]))

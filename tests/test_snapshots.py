@@ -1,7 +1,10 @@
 import csv
 import json
+import random
 from dataclasses import replace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +155,37 @@ def test_records_are_written_in_slices(tmp_path, monkeypatch):
     _, name, rows, size = file.closed()
     assert (tmp_path / snapshots.DATA / name).read_text() == "".join(x + "\n" for x in texts)
     assert sizes == [2, 2, 1] and rows == 5 and size == 15
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    hosts = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(hosts.apply(k).totalShuffleWrite() for k in range(hosts.size()))
+
+
+@pytest.mark.parametrize("format", snapshots.FORMATS)
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path, format):
+    out = str(tmp_path / "out")
+    bodies = {f"m{k:03d}": random.Random(k).randbytes(5000).hex() for k in range(120)}
+    write(spark, out, bodies, format)
+    before = shuffled(spark)
+    # each of the four files is rewritten
+    changed = bodies | {f"m{k:03d}": "changed" for k in (3, 40, 70, 110)}
+    bring_up(spark, out, changed)
+    assert held(spark, out) == {n: (b, "new" if b == "changed" else "old") for n, b in changed.items()}
+    # held() sorts all rows by their numbers, which writes each text once
+    assert shuffled(spark) - before < 1.5 * sum(map(len, bodies.values()))
+
+
+def test_rows_of_parquet_files_are_read_by_their_numbers(tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "HELD", 3)
+    (tmp_path / snapshots.DATA).mkdir()
+    for name, a in (("one", 0), ("two", 100)):
+        table = pa.table({"body": [None if k == 4 else str(a + k) for k in range(20)], "n": pa.array(range(20), pa.int64())})
+        pq.write_table(table, tmp_path / snapshots.DATA / name, row_group_size=7)
+    schema = pa.schema([("_name", pa.string()), ("_pos", pa.int64()), ("body", pa.string()), ("n", pa.int64())])
+    places = [("one", 0), ("one", 4), ("one", 5), ("one", 19), (None, None), ("two", 6), ("two", 7), ("two", 8), (None, None), ("one", 2)]
+    batch = pa.RecordBatch.from_pylist([{"_name": n, "_pos": p, "body": None if n else "own", "n": None if n else -1} for n, p in places], schema)
+    got = [r for b in snapshots.with_content(str(tmp_path), "parquet", iter([batch, batch.slice(0, 0), batch.slice(9, 1)])) for r in b.to_pylist()]
+    text = {"one": lambda p: None if p == 4 else str(p), "two": lambda p: str(100 + p), None: lambda p: "own"}
+    assert [(r["_name"], r["_pos"], r["body"], r["n"]) for r in got] == [(n, p, text[n](p), -1 if n is None else p) for n, p in [*places, places[9]]]
