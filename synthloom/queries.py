@@ -705,7 +705,8 @@ FROM c WHERE complexity >= 20 AND source <> 'src1' AND NOT (source = 'src2' AND
 )
 def source_pushdown(spark: SparkSession, d: str) -> DataFrame:
     """All documents written as C# files, 64 types a file, and the methods of some namespaces and a least complexity read back."""
-    words = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""))
+    # what is kept is found in runs, in half of the time that dropping every other character takes
+    words = F.upper(F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z ]+"), F.lit(0)), ""))
     body = F.concat(F.lit("public int Run() { return "), F.replace(words, F.lit("E "), F.lit("E && ")), F.lit("; }"))
     code = F.concat(F.lit("namespace "), "source", F.lit(" { namespace "), "lang", F.lit(" { public class doc"), "doc_id", F.lit(" { "), body, F.lit(" } } }"))
     at = f"{scratch(spark)}/sources-{uuid.uuid4().hex}"

@@ -19,16 +19,39 @@ from synthloom.schema import SYMBOL
 
 # strings, characters and comments, which hold no code
 _QUIET = re.compile(r"//[^\n]*|/\*.*?\*/|@\"(?:[^\"]|\"\")*\"|\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'", re.S)
-_NAMESPACE = re.compile(r"\bnamespace\s+([\w.]+)\s*([{;])")
+
+
+def _words(words: str, then: str = "") -> re.Pattern:
+    """Whole words, as \\b(?:...)\\b finds them. Each begins with its letter, so that the engine passes over all other letters
+    at once and doesn't try the pattern at them."""
+    return re.compile("|".join(rf"{w[0]}(?<!\w{w[0]}){w[1:]}\b{then}" for w in words.split()))
+
+
+_NAMESPACE = re.compile(r"namespace(?<!\wnamespace)\s+([\w.]+)\s*([{;])")
 _TYPE = re.compile(r"((?:\b(?:public|internal|protected|private|static|sealed|abstract|partial|readonly|ref)\s+)*)\b(class|struct|record\s+struct|record\s+class|record|interface|enum)\s+(\w+)\s*(<[^>{;]*>)?[^{;]*?([{;])")
 _MEMBER = re.compile(
     r"((?:\b(?:public|internal|protected|private|static|virtual|override|abstract|async|sealed|readonly|new|extern|partial|unsafe|required)\s+)+)"
     r"(?:([\w.<>\[\],?]+(?:\s*<[^>;{}()]*>)?)\s+)?(\w+)\s*(<[^>(){;]*>)?\s*(\([^{};]*?\))?\s*(?:where[^{;]*?|:\s*(?:base|this)\s*\([^{};]*\)\s*)?(\{|=>|;)"
 )
+# what a type or a member can begin with
+_TYPE_FIRST = _words("public internal protected private static sealed abstract partial readonly ref class struct record interface enum", r"(?=\s)")
+_MEMBER_FIRST = _words("public internal protected private static virtual override abstract async sealed readonly new extern partial unsafe required", r"(?=\s)")
 # in an interface, members need no modifier
 _PLAIN_MEMBER = re.compile(_MEMBER.pattern.replace(r"\s+)+)", r"\s+)*)", 1))
-_BRANCH = re.compile(r"\b(?:if|while|for|foreach|catch)\b|&&|\|\||\?\?(?!=)|(?<![?\w>\])])\?(?![?.\[])|(?<=[\w)\]])\s+\?(?![?.\[])\s|\bcase\b(?=[^:{};]*:)")
-_ARM = re.compile(r"\bswitch\s*\{")
+# branches, parted so that none has to be tried at every letter; no two of these share a character that they consume
+_BRANCH = _words("if while for foreach catch")
+_CASE = _words("case", r"(?=[^:{};]*:)")
+_ASK = re.compile(r"\?\?(?!=)|(?<![?\w>\])])\?(?![?.\[])|(?<=[\w)\]])\s+\?(?![?.\[])\s")
+_ARM = _words("switch", r"\s*\{")
+
+
+def _found(pattern: re.Pattern, first: re.Pattern, code: str) -> Iterator[re.Match]:
+    """pattern.finditer(code) for a pattern that matches nowhere but where first does."""
+    end = 0
+    for start in first.finditer(code):
+        if start.start() >= end and (m := pattern.match(code, start.start())):
+            end = m.end()
+            yield m
 
 
 def quieted(code: str) -> str:
@@ -65,7 +88,8 @@ def complexity(body: str) -> int:
     arms = 0
     for m in _ARM.finditer(quiet):
         arms += _arms(quiet[m.end() : _closing(quiet, m.end() - 1) - 1])
-    return 1 + len(_BRANCH.findall(quiet)) + arms
+    asks = len(_ASK.findall(quiet)) if "?" in quiet else 0
+    return 1 + quiet.count("&&") + quiet.count("||") + len(_BRANCH.findall(quiet)) + len(_CASE.findall(quiet)) + asks + arms
 
 
 def visible(modifiers: str, in_interface: bool = False) -> bool:
@@ -146,7 +170,7 @@ def symbols_in(code: str, path: str, kinds: Callable[[str], bool] | None = None,
             }
         )
 
-    for m in _TYPE.finditer(quiet):
+    for m in _found(_TYPE, _TYPE_FIRST, quiet):
         end = _closing(quiet, m.end() - 1) if m[5] == "{" else m.end()
         types.append((m.start(), end, m[3] + re.sub(r"\s+", "", m[4] or ""), m[2]))
     for start, end, name, kind in types:
@@ -169,7 +193,7 @@ def symbols_in(code: str, path: str, kinds: Callable[[str], bool] | None = None,
             add(kind, m, m[3] + re.sub(r"\s+", "", m[4] or ""), code[m.start() : end], code[m.start() : m.end() - len(m[6])])
         return end
 
-    for m in _MEMBER.finditer(quiet):
+    for m in _found(_MEMBER, _MEMBER_FIRST, quiet):
         inside = holder(m.start())
         if inside and m.start() not in starts and inside[-1][3] != "interface":
             member(m, inside)

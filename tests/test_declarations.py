@@ -1,7 +1,12 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from synthloom.sources.csharp import _without_spaces, quieted, read_symbols, symbols_in
+from synthloom.sources import csharp
+from synthloom.sources.csharp import _without_spaces, complexity, quieted, read_symbols, symbols_in
 from synthloom.sources.declarations import OPEN_BYTES, DeclarationReader, read_declarations
 
 CODE = """// licence
@@ -138,3 +143,41 @@ def test_other_columns_are_refused(spark, folder):
     read_declarations(spark, str(folder))
     with pytest.raises(Exception, match="fixed"):
         spark.read.format("synthloom-csharp").schema("kind string").load(str(folder)).count()
+
+
+#: What branches are, in one pattern.
+BRANCH = re.compile(r"\b(?:if|while|for|foreach|catch)\b|&&|\|\||\?\?(?!=)|(?<![?\w>\])])\?(?![?.\[])|(?<=[\w)\]])\s+\?(?![?.\[])\s|\bcase\b(?=[^:{};]*:)")
+
+
+def test_code_is_passed_over_faster_than_by_patterns_tried_at_every_letter():
+    body = "THE OLD MAN AND THE && SEA OF WORDS " * 20_000
+    code = f"namespace A {{ public class B {{ public int Run() {{ return {body}; }} }} }}"
+    plain = [re.compile(r"\bnamespace\s+([\w.]+)\s*([{;])"), csharp._TYPE, csharp._MEMBER, BRANCH]
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert [s["complexity"] for s in symbols_in(code, "x.cs", {"method"}.__contains__)] == [20_001]
+    assert least(lambda: symbols_in(code, "x.cs", {"method"}.__contains__)) < 0.6 * least(lambda: [p.findall(code) for p in plain])
+
+
+def test_declarations_and_branches_are_those_that_whole_patterns_find():
+    words = "public internal private static sealed partial readonly ref class struct record interface enum new async override xpublic publicx public_ class1 _class é A B int if while for foreach catch case xcase iff switch".split()
+    marks = ["(", ")", "()", "{", "}", ";", "=>", ":", ",", "<", ">", "&&", "&", "|", "||", "|||", "?", "??", "??=", "?.", "?[", "]", "\n", "  ", ""]
+    r = random.Random(7)
+    seen = [0, 0, 0]
+    for _ in range(4000):
+        code = "".join(r.choice(words) + r.choice(marks) + r.choice((" ", "", "\n", " ")) if r.random() < 0.8 else r.choice(marks) for _ in range(r.randrange(1, 40)))
+        for k, (whole, first) in enumerate(((csharp._TYPE, csharp._TYPE_FIRST), (csharp._MEMBER, csharp._MEMBER_FIRST))):
+            want = [(m.span(), m.groups()) for m in whole.finditer(code)]
+            assert [(m.span(), m.groups()) for m in csharp._found(whole, first, code)] == want
+            seen[k] += len(want)
+        want = len(BRANCH.findall(code))
+        assert 1 + want + sum(csharp._arms(code[m.end() : csharp._closing(code, m.end() - 1) - 1]) for m in re.finditer(r"\bswitch\s*\{", code)) == complexity(code)
+        seen[2] += want
+    assert min(seen) > 200
